@@ -1,7 +1,14 @@
 """The queries of this folder and their SQL, for __spark_entry__.py."""
 
+from hubflow.llm.huffman import op7_huffman_token_files
+from hubflow.llm.matroska import op2_matroska
+from hubflow.llm.mixing import op8_mixing
+from hubflow.llm.packing import op5_packing
+from hubflow.llm.quality import op10_quality
 from hubflow.llm.substring_dedup import op1_substring_dedup
+from hubflow.llm.token_counts import op3_token_counts
+from hubflow.llm.top_k import OP9_SQL, op9_kd_tree_top_k
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_matroska, op3_token_counts, op5_packing, op7_huffman_token_files, op8_mixing, op9_kd_tree_top_k, op10_quality)}
 
-SQL: dict[str, str] = {}
+SQL = {"op9_kd_tree_top_k": OP9_SQL}
