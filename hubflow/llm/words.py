@@ -89,12 +89,12 @@ def shifted(x: np.ndarray, by: int) -> np.ndarray:
     return np.concatenate((x[by:], np.zeros(min(by, len(x)), x.dtype)))
 
 
-def slices(texts: pa.Array, most: int = 2_000_000):
-    """(begin, end) of runs of rows with at most so many bytes of text, or of one row."""
+def slices(texts: pa.Array, most: int = 2_000_000, rows: int = 20_000):
+    """(begin, end) of runs of at most so many rows with at most so many bytes of text, or of one row."""
     sizes = np.diff(text_bytes(texts)[1])
     begin, total = 0, 0
     for i, size in enumerate(sizes.tolist()):
-        if i > begin and total + size > most:
+        if i > begin and (total + size > most or i - begin == rows):
             yield begin, i
             begin, total = i, 0
         total += size
