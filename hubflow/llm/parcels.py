@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 4_000_000
 
 
-def deal(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """doc_id, text and chunk of docs, and the number of chunks; null texts count as empty.
+def deal(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, keep: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """doc_id, text, chunk and the columns keep (as keep0, keep1, ...) of docs, and the number of chunks; null texts count as empty.
 
     The chunk depends on the row's content alone, so a task that runs again after a lost executor deals alike.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(F.col(f"`{c}`").alias(f"keep{i}") for i, c in enumerate(keep)))
     total, rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     n = max(1, -(-(total or 0) // chunk_bytes), rows // 50_000)
     return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))), n

@@ -96,16 +96,18 @@ def five_bytes(x: np.ndarray) -> np.ndarray:
     return x.astype("<u8").view(np.uint8).reshape(len(x), 8)[:, :5]
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, chunk_bytes: int = parcels.CHUNK_BYTES) -> DataFrame:
-    """doc_id, kept (text of the kept words, joined by one space), n_words, n_removed, for each row of docs (doc_id, text, ...).
+def remove_repeats(docs: DataFrame, window: int = 20, chunk_bytes: int = parcels.CHUNK_BYTES, keep: tuple[str, ...] = (), as_is: bool = False) -> DataFrame:
+    """doc_id, kept (text of the kept words, joined by one space), n_words, n_removed and the columns keep, for each row of docs (doc_id, text, ...).
 
     A word goes if a window of so many words that covers it also starts earlier: in a smaller doc_id, or in the same
     document further left. Null texts and texts without words give an empty kept text and zeros; texts shorter than
     the window lose nothing. Null doc_ids come last; rows with equal doc_ids count in order of their chunk, equal ones
-    in any order. Other columns of docs are ignored. An empty table gives an empty one.
+    in any order. Other columns of docs are ignored. An empty table gives an empty one. With as_is, kept is the text itself
+    where nothing goes.
     """
-    docs, chunks = parcels.deal(docs, chunk_bytes)
-    n_buckets = parcels.buckets(chunks)
+    given = docs.schema
+    docs, chunks = parcels.deal(docs, chunk_bytes, keep)
+    n_buckets, names = parcels.buckets(chunks), ["doc_id", "kept", "n_words", "n_removed"]
 
     def anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         w = Windows(table, window, n_buckets)
@@ -157,7 +159,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, chunk_bytes: int = parcels
 
     def kept(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return KEPT.empty_table()
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.string()), *[pa.array([], pa.int64())] * 2, *(table[f"keep{i}"] for i in range(len(keep)))], names=[*names, *(f"keep{i}" for i in range(len(keep)))])
         by_kind = {k: {b: x for kind, b, x in zip(replies["kind"].to_pylist(), replies["bucket"].to_pylist(), replies["load"].to_pylist(), strict=True) if kind == k} for k in (1, 2)}
         w = Windows(table, window, n_buckets)
         c = w.candidates(by_kind[1])
@@ -174,16 +176,16 @@ def remove_repeats(docs: DataFrame, window: int = 20, chunk_bytes: int = parcels
         for i, text in enumerate(w.docs["text"].to_pylist()):
             words, here = text.encode().split(), stay[first[i] : first[i + 1]]
             removed.append(len(words) - int(here.sum()))
-            out.append(b" ".join([x for x, ok in zip(words, here.tolist(), strict=True) if ok] if removed[-1] else words).decode())
-        return pa.table([w.docs["doc_id"].combine_chunks(), pa.array(out, pa.string()), pa.array(np.diff(first), pa.int64()), pa.array(removed, pa.int64())], schema=KEPT)
+            out.append(text if as_is and not removed[-1] else b" ".join([x for x, ok in zip(words, here.tolist(), strict=True) if ok] if removed[-1] else words).decode())
+        return pa.table([w.docs["doc_id"], pa.array(out, pa.string()), pa.array(np.diff(first), pa.int64()), pa.array(removed, pa.int64()), *(w.docs[f"keep{i}"] for i in range(len(keep)))], names=[*names, *(f"keep{i}" for i in range(len(keep)))])
 
     dealt = docs.groupBy("chunk")
     level1 = dealt.applyInArrow(anchors, SENT).groupBy("bucket").applyInArrow(repeated_anchors, SENT)
     level2 = dealt.cogroup(level1.groupBy("chunk")).applyInArrow(windows, SENT).groupBy("bucket").applyInArrow(later_windows, SENT)
-    return dealt.cogroup(level1.unionByName(level2).groupBy("chunk")).applyInArrow(kept, "doc_id long, kept string, n_words long, n_removed long")
-
-
-KEPT = pa.schema([("doc_id", pa.int64()), ("kept", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())])
+    kinds = ["long", "string", "long", "long", *(given[c].dataType.simpleString() for c in keep)]
+    schema = ", ".join(f"{n} {k}" for n, k in zip([*names, *(f"keep{i}" for i in range(len(keep)))], kinds, strict=True))
+    out = dealt.cogroup(level1.unionByName(level2).groupBy("chunk")).applyInArrow(kept, schema)
+    return out.select(*names, *(F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)))
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
