@@ -1,4 +1,51 @@
-"""Every query of the library by name, each with the DuckDB SQL that gives the same rows."""
+"""Every query of the library by name, each with the DuckDB SQL that gives the same rows.
+
+A query is declared beside the operators it shows: query(name, sql) registers a function (spark, sf_dir) -> DataFrame.
+SQL may name the views of hubflow.adapters; those it uses are put before it as common table expressions.
+"""
+
+import importlib
+import re
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+MODULES = ("rollups", "windows", "dates", "formulas", "scores", "network", "ledgers", "audits", "ingest", "models")
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = with_views(sql)
+        return f
+
+    return register
+
+
+def with_views(sql: str) -> str:
+    """sql behind the definitions of the views that it uses, directly or through others."""
+    from hubflow.adapters import VIEWS
+
+    used: list[str] = []
+
+    def need(text: str) -> None:
+        for name in VIEWS:
+            if name not in used and re.search(rf"\b{name}\b", text):
+                need(VIEWS[name])
+                used.append(name)
+
+    need(sql)
+    views = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in used)
+    if not views:
+        return sql
+    body = sql.strip()
+    return f"WITH {views},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {views}\n{body}"
+
+
+for _name in MODULES:
+    try:
+        importlib.import_module(f"hubflow.plans.{_name}")
+    except ModuleNotFoundError as e:
+        if e.name != f"hubflow.plans.{_name}":
+            raise
