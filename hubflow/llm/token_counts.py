@@ -106,8 +106,9 @@ def count_tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
             out = []
             for text in batch["text"].to_pylist():
                 words = (text or "").encode().lower().split()
-                for w in set(words) - known.keys():
-                    known[w] = machine.count(w)
+                for w in set(words):
+                    if w not in known:
+                        known[w] = machine.count(w)
                 found = list(map(known.__getitem__, words))
                 unknown = found.count(-1)
                 out.append((len(words), sum(found) + 2 * unknown, unknown))
