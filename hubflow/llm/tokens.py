@@ -1,6 +1,7 @@
 """Token ids of whole texts, by a public tokenizer that splits at white space and forgets it."""
 
 import json
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -11,8 +12,31 @@ from pyspark.sql import functions as F
 
 #: Marks that end a run of letters or digits and start a run of their own, and are in no special token or contraction.
 TAIL = '!"#$%&()*+,-./:;=?@[\\]^_`{}~'
-#: Entries that a worker remembers, of words as written and of words in lower case without marks at their end.
-REMEMBERED = 250_000
+#: How a byte-level tokenizer shows bytes over 127 that aren't printable characters of Latin-1.
+SHOWN = {b: chr(256 + i) for i, b in enumerate([*range(33), *range(127, 161), 173])}
+#: Entries that a worker remembers at least, of words as written and of runs of letters or marks.
+REMEMBERED = 300_000
+
+
+class Memory:
+    """A dictionary that forgets what it hasn't been asked for since it was last full."""
+
+    def __init__(self):
+        self.now: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def unknown(self, keys: set[str]) -> list[str]:
+        """Which of keys are still to be learned; all others can be looked up in now until the next call."""
+        if len(self.now) > REMEMBERED:
+            self.now, self.old = {"": b""}, self.now
+        out = []
+        for k in keys:
+            if k not in self.now:
+                if (v := self.old.get(k)) is None:
+                    out.append(k)
+                else:
+                    self.now[k] = v
+        return out
 
 
 class Ids:
@@ -27,27 +51,28 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_str(tokenizer)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {}
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.model, self.words, self.runs = self.tokenizer.model, Memory(), Memory()
+
+    def _run(self, run: str) -> bytes:
+        """Ids of letters in lower case, or of marks of TAIL: what the tokenizer's splitting leaves whole."""
+        if (out := self.runs.now.get(run) or self.runs.old.get(run)) is None:
+            shown = run if run.isascii() else run.encode().decode("latin-1").translate(SHOWN)
+            out = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+        self.runs.now[run] = out
+        return out
 
-    def _parts(self, word: str) -> tuple[str, str]:
-        if "<|" in word or max(word) > "ſ":
-            return word, ""
-        word = word.lower()
-        core = word.rstrip(TAIL)
-        return (core, word[len(core) :]) if core and core[-1].isalnum() else (word, "")
+    def _ids(self, word: str) -> bytes:
+        core = word if word.isalpha() else word.rstrip(TAIL)
+        low = core.lower()
+        if low.isalpha() and (low.isascii() or max(low) <= "\u017f" >= max(core)):
+            return self._run(low) if core is word else self._run(low) + self._run(word[len(core) :])
+        return array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.words) > REMEMBERED:
-            self.words = {"": b""}
-        if len(self.cores) > REMEMBERED:
-            self.cores = {}
-        parts = {w: self._parts(w) for w in words}
-        new = list({x for pair in parts.values() for x in pair if x and x not in self.cores})
-        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.cores[x] = np.array(e.ids, self.dtype).tobytes()
-        for w, (core, tail) in parts.items():
-            self.words[w] = self.cores[core] + self.cores[tail] if tail else self.cores[core]
+        self.runs.unknown(set())
+        for w in self.words.unknown(words):
+            self.words.now[w] = self._ids(w)
 
     def encode(self, texts: list[str], most: int = 1_000_000) -> list[bytes]:
         out, batch, total = [], [], 0
@@ -55,11 +80,8 @@ class Ids:
             batch.append(text.replace("\n", " ").split(" "))
             total += len(text)
             if total >= most or i + 1 == len(texts):
-                # words that are remembered may be forgotten by _learn, so all of the batch are looked up after it
-                wanted = set().union(*batch)
-                if new := wanted - self.words.keys():
-                    self._learn(wanted if len(self.words) > REMEMBERED else new)
-                find = self.words.__getitem__
+                self._learn(set().union(*batch))
+                find = self.words.now.__getitem__
                 out += [b"".join(map(find, x)) for x in batch]
                 batch, total = [], 0
         return out
