@@ -186,12 +186,12 @@ def risk_params(spark, sf):
 
 BAND = f"""
     b AS (SELECT * FROM {SLOTTED}), {PARAMS},
-    d AS (SELECT lane, source, dest, date, b.slot, round_even(round(least(greatest(0, q10), greatest(0, q50)), 10), 4) AS q10, round_even(round(greatest(0, q50), 10), 4) AS q50, round_even(round(greatest(q90, greatest(0, q50)), 10), 4) AS q90, round(floor, 6) AS floor, round(scale, 6) AS scale, round(tau, 6) AS tau FROM b JOIN r ON r.slot = b.slot),
-    e AS (SELECT *, round_even(round(q90 - q10, 10), 4) AS uncertainty_range, round_even(round((q90 - q50) * 0.5, 10), 4) AS safety_buffer FROM d),
-    f AS (SELECT *, round_even(round(q50 + safety_buffer, 10), 4) AS recommended, round_even(round(CASE WHEN scale <= 0 THEN 1 ELSE 2 / pi() * atan(greatest(uncertainty_range / greatest(q50, 1), 0) / scale) END, 10), 4) AS relative,
-          round_even(round(tau + 0.35 * pow(greatest(q50, 1), -0.30), 10), 4) AS threshold, round_even(round(2 + ln(1 + greatest(q50, 1)), 10), 4) AS steepness FROM e),
-    g AS (SELECT *, round_even(round(1 / (1 + exp(-greatest(-100, least(100, steepness * (relative - threshold))))), 10), 4) AS raw_score FROM f),
-    h AS (SELECT *, round_even(round(raw_score * sqrt(least(1, q50 / floor)), 10), 4) AS risk_score FROM g),
+    d AS (SELECT lane, source, dest, date, b.slot, CAST(round_even(CAST(round(least(greatest(0, q10), greatest(0, q50)), 10) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS q10, CAST(round_even(CAST(round(greatest(0, q50), 10) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS q50, CAST(round_even(CAST(round(greatest(q90, greatest(0, q50)), 10) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS q90, round(floor, 6) AS floor, round(scale, 6) AS scale, round(tau, 6) AS tau FROM b JOIN r ON r.slot = b.slot),
+    e AS (SELECT *, CAST(round_even(CAST(round(q90 - q10, 10) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS uncertainty_range, CAST(round_even(CAST(round((q90 - q50) * 0.5, 10) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS safety_buffer FROM d),
+    f AS (SELECT *, CAST(round_even(CAST(round(q50 + safety_buffer, 10) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS recommended, CAST(round_even(CAST(round(CASE WHEN scale <= 0 THEN 1 ELSE 2 / pi() * atan(greatest(uncertainty_range / greatest(q50, 1), 0) / scale) END, 10) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS relative,
+          CAST(round_even(CAST(round(tau + 0.35 * pow(greatest(q50, 1), -0.30), 10) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS threshold, CAST(round_even(CAST(round(2 + ln(1 + greatest(q50, 1)), 10) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS steepness FROM e),
+    g AS (SELECT *, CAST(round_even(CAST(round(1 / (1 + exp(-greatest(-100, least(100, steepness * (relative - threshold))))), 10) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS raw_score FROM f),
+    h AS (SELECT *, CAST(round_even(CAST(round(raw_score * sqrt(least(1, q50 / floor)), 10) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS risk_score FROM g),
     k AS (SELECT *, CASE WHEN risk_score < 0.35 THEN 'LOW' WHEN risk_score <= 0.82 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_class FROM h)"""
 
 
@@ -232,7 +232,7 @@ def demand_ids(spark, sf):
     return scores.ids_in_order(slotted(spark, sf)).select("lane", "date", "slot", "demand_id")
 
 
-@query("forecast_table", f"WITH {BAND} SELECT {IDS} AS demand_id, strftime(date, '%d.%m.%Y') AS day, slot, source, dest, round_even(round(q50, 10), 2) AS q50, round_even(round(recommended, 10), 2) AS recommended, risk_class FROM k")
+@query("forecast_table", f"WITH {BAND} SELECT {IDS} AS demand_id, strftime(date, '%d.%m.%Y') AS day, slot, source, dest, CAST(round_even(CAST(round(q50, 10) AS DECIMAL(30, 10)), 2) AS DOUBLE) AS q50, CAST(round_even(CAST(round(recommended, 10) AS DECIMAL(30, 10)), 2) AS DOUBLE) AS recommended, risk_class FROM k")
 def forecast_table(spark, sf):
     """The hand-over table with dates as day.month.year."""
     d = scores.ids_in_order(bands(spark, sf))
