@@ -43,9 +43,7 @@ def with_views(sql: str) -> str:
     return f"WITH {views},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {views}\n{body}"
 
 
-for _name in MODULES:
-    try:
-        importlib.import_module(f"hubflow.plans.{_name}")
-    except ModuleNotFoundError as e:
-        if e.name != f"hubflow.plans.{_name}":
-            raise
+def load() -> None:
+    """Import all modules that declare queries."""
+    for name in MODULES:
+        importlib.import_module(f"hubflow.plans.{name}")

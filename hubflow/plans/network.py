@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 
 from hubflow import adapters as V
 from hubflow.catalog import query
+from hubflow.functions import timecost as T
+from hubflow.operators import calendar
 from hubflow.operators import network as N
+from hubflow.plans.dates import HOUR
 
 R = lambda c, n=4: F.round(c, n).alias(c)
 
@@ -130,3 +133,50 @@ def worst_assignments(spark, sf):
     best = ranked(spark, sf).where("rank = 1").select("demand_id", "cost")
     n = max(1, int(0.04 * V.demands(spark, sf).count()))
     return best.orderBy(F.desc("cost"), "demand_id").limit(n)
+
+
+def relayed(spark, sf):
+    """Demands by their shortest relay: two legs, with the fastest vehicle's hours of each."""
+    best = N.relay_candidates(V.lanes(spark, sf)).where("relays = 1 AND rank = 1").select("source", "destination", F.col("path")[1].alias("r"))
+    fast = V.lane_vehicle(spark, sf).where("vehicle_type = 'Kamyonet'")
+    one = fast.select("source", F.col("destination").alias("r"), F.col("hours").alias("h1"))
+    two = fast.select(F.col("source").alias("r"), "destination", F.col("hours").alias("h2"))
+    legs = F.broadcast(best.join(one, ["source", "r"]).join(two, ["r", "destination"]))
+    return V.demands(spark, sf).join(legs, ["source", "destination"])
+
+
+RELAYED = f"""
+    {RELAYS}, rl AS (SELECT d.*, r.path[2] AS r, a.hours AS h1, b.hours AS h2, CAST(d.day AS TIMESTAMP) + to_hours({HOUR}) AS began FROM demands d JOIN relays r ON r.source = d.source AND r.destination = d.destination AND r.relays = 1 AND r.rank = 1
+      JOIN lane_vehicle a ON a.source = d.source AND a.destination = r.path[2] AND a.vehicle_type = 'Kamyonet' JOIN lane_vehicle b ON b.source = r.path[2] AND b.destination = d.destination AND b.vehicle_type = 'Kamyonet')"""
+
+
+@query("leg_schedule", f"""
+    WITH {RELAYED}, t AS (SELECT *, {HOUR} + h1 AS total FROM rl)
+    SELECT demand_id, CAST(day + CAST(floor(total / 24) AS INTEGER) + CASE WHEN total - 24 * floor(total / 24) < 17 THEN 0 ELSE 1 END AS DATE) AS second_day,
+           CASE WHEN total - 24 * floor(total / 24) < 9 THEN '09:00' WHEN total - 24 * floor(total / 24) < 17 THEN '17:00' ELSE '09:00' END AS second_slot FROM t""")
+def leg_schedule(spark, sf):
+    """Day and slot of the second leg of each demand's shortest relay."""
+    day, slot = T.next_dispatch("day", calendar.slot_hour("slot"), "h1")
+    return relayed(spark, sf).select("demand_id", day.alias("second_day"), slot.alias("second_slot"))
+
+
+@query("leg_timetable", f"""
+    WITH {RELAYED}, a AS (SELECT *, CAST(ceil(round(volume * 0.01, 9)) AS BIGINT) AS hm FROM rl), b AS (SELECT *, began + to_minutes(hm) AS depart_1, began + to_minutes(hm + CAST(ceil(round(h1 * 60, 9)) AS BIGINT)) AS arrive_1 FROM a)
+    SELECT demand_id, depart_1, arrive_1, arrive_1 + to_minutes(2 * hm) AS depart_2, arrive_1 + to_minutes(2 * hm + CAST(ceil(round(h2 * 60, 9)) AS BIGINT)) AS arrive_2 FROM b""")
+def leg_timetable(spark, sf):
+    """Departures and arrivals along a relay: after loading, and after unloading and loading again."""
+    d = relayed(spark, sf).withColumn("began", calendar.slot_timestamp("day", "slot")).withColumn("hm", T.handling_minutes("volume"))
+    d = d.withColumn("depart_1", T.plus_minutes("began", "hm")).withColumn("arrive_1", T.plus_minutes("depart_1", T.travel_minutes("h1")))
+    d = d.withColumn("depart_2", T.plus_minutes("arrive_1", F.col("hm") * 2)).withColumn("arrive_2", T.plus_minutes("depart_2", T.travel_minutes("h2")))
+    return d.select("demand_id", "depart_1", "arrive_1", "depart_2", "arrive_2")
+
+
+@query("vehicle_times", f"""
+    WITH {RELAYED}, a AS (SELECT *, CAST(ceil(round(volume * 0.01, 9)) AS BIGINT) AS hm FROM rl), b AS (SELECT *, began + to_minutes(hm + CAST(ceil(round(h1 * 60, 9)) AS BIGINT)) + to_minutes(2 * hm) AS ready FROM a)
+    SELECT r AS hub, destination, day, slot, max(ready) AS departure, max(ready) + to_minutes(CAST(ceil(round(any_value(h2) * 60, 9)) AS BIGINT)) AS arrival, count(*) AS feeders FROM b GROUP BY r, destination, day, slot""")
+def vehicle_times(spark, sf):
+    """A vehicle of the second leg goes when all that feed it have come and been handled twice."""
+    d = relayed(spark, sf).withColumn("began", calendar.slot_timestamp("day", "slot")).withColumn("hm", T.handling_minutes("volume"))
+    d = d.withColumn("ready", T.plus_minutes("began", F.col("hm") * 3 + T.travel_minutes("h1")))
+    v = d.groupBy(F.col("r").alias("hub"), "destination", "day", "slot").agg(F.max("ready").alias("departure"), F.first("h2").alias("h2"), F.count("*").alias("feeders"))
+    return v.select("hub", "destination", "day", "slot", "departure", T.plus_minutes("departure", T.travel_minutes("h2")).alias("arrival"), "feeders")

@@ -1,6 +1,9 @@
 """Sessions set up as the operators expect them."""
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "hubflow", master: str | None = None, **conf: str) -> SparkSession:
@@ -17,3 +20,15 @@ def session(app: str = "hubflow", master: str | None = None, **conf: str) -> Spa
     for k, v in settings.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def cut_lineage(df: DataFrame, name: str) -> DataFrame:
+    """df written in the folder that spark.checkpoint.dir names (a new one where it is unset, as in tests) and read again."""
+    spark = df.sparkSession
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    path = f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
