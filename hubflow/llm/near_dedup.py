@@ -252,3 +252,18 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, shingle: int = SH
 
 def op4_dart_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: All pairs that share a shingle, by brute force; classes by transitive closure.
+OP4_SQL = r"""
+    WITH RECURSIVE t AS (SELECT coalesce(text, '') AS text, min(doc_id) AS doc_id FROM documents WHERE doc_id IS NOT NULL GROUP BY 1),
+    w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM t),
+    p AS (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, least(len(words), 1)) + 1)) AS i FROM w),
+    s AS (SELECT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle, count(*) AS n FROM p GROUP BY ALL),
+    z AS (SELECT doc_id, sum(n) AS n FROM s GROUP BY doc_id),
+    c AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS n FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+    l AS (SELECT c.a, c.b FROM c JOIN z x ON x.doc_id = c.a JOIN z y ON y.doc_id = c.b WHERE c.n >= 0.8 * (x.n + y.n - c.n)),
+    e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    m AS (SELECT doc_id AS node, doc_id AS seen FROM t UNION SELECT m.node, e.b FROM m JOIN e ON e.a = m.seen),
+    k AS (SELECT node, min(seen) AS class_id FROM m GROUP BY node)
+    SELECT d.doc_id, k.class_id FROM documents d LEFT JOIN t ON t.text = coalesce(d.text, '') LEFT JOIN k ON k.node = t.doc_id AND d.doc_id IS NOT NULL"""

@@ -191,3 +191,15 @@ def remove_repeats(docs: DataFrame, window: int = 20, chunk_bytes: int = parcels
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: A word goes if one of the 20 windows that cover it isn't the first of its kind.
+OP1_SQL = r"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    p AS (SELECT doc_id, words, len(words) AS n, unnest(range(1, len(words) + 1)) AS i FROM w),
+    s AS (SELECT doc_id, i, words[i] AS word, CASE WHEN i + 19 <= n THEN array_to_string(words[i:i + 19], ' ') END AS run FROM p),
+    r AS (SELECT doc_id, i, word, run IS NOT NULL AND row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1 AS later FROM s),
+    c AS (SELECT doc_id, i, word, bool_or(later) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM r),
+    k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+    SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+    FROM w LEFT JOIN k USING (doc_id)"""
