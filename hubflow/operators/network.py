@@ -29,6 +29,23 @@ def rank_vehicle_types(rows: DataFrame, keys: list[str], volume: str = "volume",
     return rows.withColumns({"vehicles": n, "cost": cost}).withColumn("rank", F.row_number().over(order))
 
 
+def types_of_lanes(lane_vehicle: DataFrame) -> DataFrame:
+    """source, destination, types: the vehicle types of each lane with their attributes, as one array."""
+    attributes = [c for c in lane_vehicle.columns if c not in ("source", "destination")]
+    return lane_vehicle.groupBy("source", "destination").agg(F.collect_list(F.struct(*attributes)).alias("types"))
+
+
+def cheapest_type(types: str, volume: str, touches: int = 2):
+    """Of an array of vehicle types what rank_vehicle_types puts first, without a row for each type and without a shuffle."""
+
+    def priced(t):
+        n = T.vehicle_count(volume, t["capacity"])
+        cost = n * T.vehicle_leg_cost(t["spot_hourly"], t["hours"], t["spot_km"], t["distance_km"]) + T.handling_cost(volume, t["spot_hourly"], touches)
+        return F.struct(cost.alias("cost"), (-t["capacity"]).alias("smaller"), t.alias("type"))
+
+    return F.array_min(F.transform(types, priced))["type"]
+
+
 def path_options(lanes: DataFrame, relays: DataFrame) -> DataFrame:
     """source, destination, path, milk_run: direct, each relay, and each relay as a milk run."""
     direct = lanes.select("source", "destination", F.array("source", "destination").alias("path"), F.lit(False).alias("milk_run"))

@@ -8,7 +8,8 @@ from hubflow.catalog import query
 from hubflow.functions import timecost as T
 from hubflow.operators import calendar
 from hubflow.plans.dates import HOUR
-from hubflow.plans.ledgers import ASSIGNED, SPLIT, TRUCKS, assignments, buckets, truck_ledger_of, vehicle_shares
+from hubflow.plans.ledgers import ASSIGNED, SPLIT, TRUCKS, assignments, buckets, empty_rental_union, truck_ledger_of, vehicle_shares
+from hubflow.sources.readers import plan_of_demands
 
 #: A shipped plan with mistakes, so that the checks find some: every 97th demand is missing and every 101st short.
 FAULTY = "(SELECT demand_id, CASE WHEN (hash_no % 101) = 0 THEN share - 2 ELSE share END AS share FROM (SELECT demand_id, share, len(demand_id) * 7 + CAST(floor(volume / 1000) AS BIGINT) AS hash_no FROM sh WHERE share > 0.001) WHERE hash_no % 97 <> 0)"
@@ -145,3 +146,11 @@ def carry_over_view(spark, sf):
     late = F.array_join(F.array_sort(F.collect_set(F.when(F.col("deferred") > 0, F.col("destination")))), ", ")
     d = carried(spark, sf).groupBy("source", "day", "slot").agg(F.sum("demand").alias("demand"), F.sum(F.col("demand") - F.col("deferred")).alias("on_time"), F.sum("deferred").alias("deferred"), F.coalesce(F.sum("before"), F.lit(0.0)).alias("inbound"), late.alias("late_to"))
     return d.withColumn("late_to", F.when(F.col("late_to") != "", F.col("late_to")))
+
+
+@query("read_results", f"WITH {SPLIT} SELECT sh.demand_id, sh.source, sh.destination, round(sh.share, 6) AS volume, l.target_days FROM sh LEFT JOIN lanes l ON l.source = sh.source AND l.destination = sh.destination WHERE share > 0.001")
+def read_results(spark, sf):
+    """A finished plan as the delivery check reads it: without empty trips, with the target days of its lanes."""
+    plan = plan_of_demands(empty_rental_union(spark, sf), ["demand_id", "source", "destination", "volume"])
+    days = F.broadcast(V.lanes(spark, sf).select("source", "destination", "target_days"))
+    return plan.select("demand_id", "source", "destination", "volume").join(days, ["source", "destination"], "left")

@@ -49,6 +49,17 @@ def completion_time(spark, sf):
     return times(spark, sf).select("demand_id", "vehicle_type", "arrival", "done")
 
 
+@query("arrival_time", f"SELECT demand_id, vehicle_type, arrival FROM ({TIMES})")
+def arrival_time(spark, sf):
+    return times(spark, sf).select("demand_id", "vehicle_type", "arrival")
+
+
+@query("late_hours", f"SELECT demand_id, vehicle_type, CAST(greatest(0, ceil((epoch(done) - epoch(began) - target_days * 3600 * 5) / 3600)) AS INTEGER) AS late_hours FROM ({TIMES})")
+def late_hours(spark, sf):
+    d = times(spark, sf).withColumn("deadline", T.sla_deadline("at", F.col("target_days") * 5 / 24))
+    return d.select("demand_id", "vehicle_type", T.late_hours("done", "deadline").alias("late_hours"))
+
+
 @query("sla_deadline", f"SELECT demand_id, vehicle_type, began + to_hours(CAST(target_days * 24 AS BIGINT)) AS deadline FROM ({TIMES})")
 def sla_deadline(spark, sf):
     return times(spark, sf).select("demand_id", "vehicle_type", T.sla_deadline("at", "target_days").alias("deadline"))

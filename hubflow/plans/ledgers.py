@@ -22,11 +22,13 @@ def assignments(spark, sf):
     """A row for each leg and kind of vehicle: demand_id, source, destination, day, slot, vehicle_type, is_rental, volume and the vehicle's and lane's attributes."""
     d = V.demands(spark, sf).join(F.broadcast(V.rentals(spark, sf).select("source", "destination", "vehicle_count")), ["source", "destination"], "left")
     d = N.waterfall(d.withColumn("stock", F.coalesce("vehicle_count", F.lit(0)) * 22400.0), ["source", "destination", "day"], "stock")
-    lv = F.broadcast(V.lane_vehicle(spark, sf))
-    keep = ["demand_id", "source", "destination", "day", "slot", "vehicle_type", "is_rental", "volume", "capacity", "spot_hourly", "spot_km", "hours", "distance_km", "target_days"]
-    rental = d.where("rental_volume > 1e-9").withColumn("volume", F.col("rental_volume")).withColumn("is_rental", F.lit(True)).join(lv.where("vehicle_type = 'Tır'"), ["source", "destination"]).select(keep)
-    spot = d.where("spot_volume > 1e-9").withColumn("volume", F.col("spot_volume")).withColumn("is_rental", F.lit(False)).join(lv, ["source", "destination"])
-    return rental.unionByName(N.rank_vehicle_types(spot, ["demand_id"]).where("rank = 1").select(keep))
+    d = d.join(F.broadcast(N.types_of_lanes(V.lane_vehicle(spark, sf))), ["source", "destination"])
+    truck = F.filter("types", lambda t: t["vehicle_type"] == "Tır")[0]
+    kinds = ((True, F.col("rental_volume"), truck), (False, F.col("spot_volume"), N.cheapest_type("types", "spot_volume")))
+    parts = F.array(*(F.struct(F.lit(rental).alias("is_rental"), volume.alias("volume"), vehicle.alias("vehicle")) for rental, volume, vehicle in kinds))
+    d = d.select("demand_id", "source", "destination", "day", "slot", F.inline(parts)).where("volume > 1e-9")
+    attributes = ("capacity", "spot_hourly", "spot_km", "hours", "distance_km", "target_days")
+    return d.select("demand_id", "source", "destination", "day", "slot", F.col("vehicle.vehicle_type"), "is_rental", "volume", *(F.col(f"vehicle.{c}") for c in attributes))
 
 
 ASSIGNED = f"""
@@ -115,11 +117,16 @@ COSTED = f"""
     vk AS (SELECT *, driving + round_even(2 * ceil(round(load * 0.01, 9)) / 60 * h, 0) AS cost FROM vc)"""
 
 
+def cost_of_load(load):
+    """Driving, which the contract of rented vehicles pays, and handling at both ends."""
+    driving = F.when(F.col("is_rental"), 0.0).otherwise(T.vehicle_leg_cost("spot_hourly", "hours", "spot_km", "distance_km"))
+    return driving + T.handling_cost(load, "spot_hourly")
+
+
 def vehicle_costs(spark, sf):
     firsts = [F.first(c).alias(c) for c in ("spot_hourly", "spot_km", "hours", "distance_km")]
     v = vehicle_shares(spark, sf).groupBy(*DAY_LEG, "vehicle").agg(F.sum("share").alias("load"), *firsts)
-    driving = F.when(F.col("is_rental"), 0.0).otherwise(T.vehicle_leg_cost("spot_hourly", "hours", "spot_km", "distance_km"))
-    return v.withColumn("cost", driving + T.handling_cost("load", "spot_hourly"))
+    return v.withColumn("cost", cost_of_load(F.col("load")))
 
 
 @query("vehicle_cost", f"WITH {COSTED} SELECT source, destination, day, vehicle_type, is_rental, CAST(vehicle AS INTEGER) AS vehicle, cost FROM vk")
@@ -133,8 +140,8 @@ def vehicle_cost(spark, sf):
     FROM sh s JOIN vk k ON k.source = s.source AND k.destination = s.destination AND k.day = s.day AND k.vehicle_type = s.vehicle_type AND k.is_rental = s.is_rental AND k.vehicle = s.vehicle WHERE s.share > 0.001""")
 def plan_fact(spark, sf):
     """A row for each piece on a vehicle, with its part of the vehicle's cost and, by spot, its penalty (five hours for a target day)."""
-    k = vehicle_costs(spark, sf).select(*DAY_LEG, "vehicle", "load", F.col("cost").alias("vehicle_cost"))
-    d = vehicle_shares(spark, sf).join(k, [*DAY_LEG, "vehicle"])
+    d = vehicle_shares(spark, sf).withColumn("load", F.sum("share").over(Window.partitionBy(*DAY_LEG, "vehicle")))
+    d = d.withColumn("vehicle_cost", cost_of_load(F.col("load")))
     late = F.greatest(F.lit(0), F.ceil((T.travel_minutes("hours") + T.handling_minutes("load") - F.col("target_days") * 300) / 60))
     penalty = F.when(F.col("is_rental"), 0.0).otherwise(T.sla_penalty("share", late))
     return d.select("demand_id", "is_rental", "vehicle", R("share", 6), F.round(F.col("vehicle_cost") * F.col("share") / F.col("load"), 4).alias("cost"), F.round(penalty, 4).alias("penalty"))
@@ -207,10 +214,64 @@ def headroom(spark, sf):
     return handling_ledger_of(buckets(assignments(spark, sf))).join(cap, "hub", "left").select("hub", "day", F.round(room, 4).alias("room"))
 
 
-@query("real_capacity_violations", f"WITH {HANDLED} SELECT hub, day, round(handled - handling, 4) AS excess FROM hd JOIN hub_capacity USING (hub) WHERE handled > handling + 1e-6")
+@query("ledger_violations", f"""
+    WITH {HANDLED}, {TRUCKS} SELECT hub, day, 'handling' AS kind, round(handled - handling, 4) AS excess FROM hd JOIN hub_capacity USING (hub) WHERE handled > handling + 1e-6
+    UNION ALL SELECT hub, day, 'truck', CAST(tr.trucks - h.trucks AS DOUBLE) FROM tr JOIN hub_capacity h USING (hub) WHERE tr.trucks > h.trucks""")
+def ledger_violations(spark, sf):
+    """Hub-days whose ledgers are over capacity."""
+    b = buckets(assignments(spark, sf))
+    handled = handling_ledger_of(b).select("hub", "day", F.lit("handling").alias("kind"), F.col("handled").alias("used"))
+    trucks = truck_ledger_of(b).select("hub", "day", F.lit("truck").alias("kind"), F.col("trucks").cast("double").alias("used"))
+    return over_capacity(handled.unionByName(trucks), V.hub_capacity(spark, sf))
+
+
+def over_capacity(used, hubs):
+    """hub, day, kind, excess of hub, day, kind, used; hubs without a figure have no limit."""
+    cap = hubs.select("hub", F.inline(F.array(F.struct(F.lit("handling").alias("kind"), F.col("handling").alias("capacity")), F.struct(F.lit("truck").alias("kind"), F.col("trucks").cast("double").alias("capacity")))))
+    return used.join(F.broadcast(cap), ["hub", "kind"]).where("used > capacity + 1e-6").select("hub", "day", "kind", F.round(F.col("used") - F.col("capacity"), 4).alias("excess"))
+
+
+#: Legs at their real times: a vehicle leaves when its whole load is in. Rented trucks go at 09:00 each day, all of them, also empty.
+REAL = f"""
+    {ASSIGNED},
+    rd AS (SELECT source, destination, day, sum(volume) AS volume FROM asg WHERE is_rental GROUP BY ALL),
+    rl AS (SELECT r.source, r.destination, d.day, '09:00' AS slot, r.vehicle_type, coalesce(rd.volume, 0) AS volume, r.vehicle_count AS vehicles, v.hours
+      FROM rentals r JOIN lane_vehicle v ON v.source = r.source AND v.destination = r.destination AND v.vehicle_type = r.vehicle_type CROSS JOIN (SELECT DISTINCT day FROM demands) d
+      LEFT JOIN rd ON rd.source = r.source AND rd.destination = r.destination AND rd.day = d.day),
+    lg AS (SELECT source, destination, day, slot, vehicle_type, volume, vehicles, hours FROM bk WHERE NOT is_rental UNION ALL SELECT * FROM rl),
+    lm AS (SELECT *, CAST(day AS TIMESTAMP) + to_hours({HOUR}) AS slot_at, CAST(ceil(round(volume * 0.01, 9)) AS BIGINT) AS minutes, CAST(ceil(round(hours * 60, 9)) AS BIGINT) AS travel FROM lg),
+    ro AS (SELECT source AS hub, slot_at AS began, volume, minutes FROM lm WHERE volume > 1e-9 UNION ALL SELECT destination, slot_at + to_minutes(minutes + travel), volume, minutes FROM lm WHERE volume > 1e-9),
+    rp AS (SELECT *, began + to_minutes(minutes) AS done, unnest(generate_series(date_trunc('day', began), date_trunc('day', began + to_minutes(minutes) - INTERVAL 1 SECOND), INTERVAL 1 DAY)) AS m FROM ro),
+    ru AS (SELECT hub, CAST(m AS DATE) AS day, 'handling' AS kind, sum(volume * (epoch(least(done, m + INTERVAL 1 DAY)) - epoch(greatest(began, m))) / (minutes * 60)) AS used FROM rp GROUP BY ALL
+      UNION ALL SELECT hub, day, 'truck', CAST(sum(vehicles) AS DOUBLE) FROM (SELECT source AS hub, CAST(slot_at + to_minutes(minutes) AS DATE) AS day, vehicles FROM lm WHERE vehicle_type = 'Tır'
+        UNION ALL SELECT destination, CAST(slot_at + to_minutes(minutes + travel) AS DATE), vehicles FROM lm WHERE vehicle_type = 'Tır') GROUP BY ALL)"""
+
+
+def real_usage(spark, sf):
+    """hub, day, kind, used: handling by the minutes it takes, and trucks on the days they leave and arrive, with loading time."""
+    a, leg = assignments(spark, sf), ["source", "destination", "day", "slot", "vehicle_type", "volume", "vehicles", "hours"]
+    spot = buckets(a.where("not is_rental")).select(leg)
+    stock = F.broadcast(V.rentals(spark, sf).join(V.lane_vehicle(spark, sf).select("source", "destination", "vehicle_type", "hours"), ["source", "destination", "vehicle_type"]))
+    loads = a.where("is_rental").groupBy("source", "destination", "day").agg(F.sum("volume").alias("load"))
+    rented = stock.crossJoin(V.demands(spark, sf).select("day").distinct()).join(loads, ["source", "destination", "day"], "left")
+    rented = rented.withColumns({"slot": F.lit("09:00"), "volume": F.coalesce("load", F.lit(0.0)), "vehicles": F.col("vehicle_count")})
+    d = spot.unionByName(rented.select(leg)).withColumns({"at": calendar.slot_timestamp("day", "slot"), "minutes": T.handling_minutes("volume")})
+    d = d.withColumns({"leaves": T.plus_minutes("at", "minutes"), "arrives": T.plus_minutes("at", F.col("minutes") + T.travel_minutes("hours"))})
+    ends = F.array(F.struct(F.col("source").alias("hub"), F.col("at").alias("began"), F.col("leaves").alias("moves")), F.struct(F.col("destination").alias("hub"), F.col("arrives").alias("began"), F.col("arrives").alias("moves")))
+    d = d.select("vehicle_type", "volume", "vehicles", "minutes", F.inline(ends))
+    handled = split_at_midnight(d.where("volume > 1e-9"), "began", "minutes", "volume").groupBy("hub", "day").agg(F.sum("share").alias("used"))
+    trucks = d.where("vehicle_type = 'Tır'").groupBy("hub", F.to_date("moves").alias("day")).agg(F.sum("vehicles").cast("double").alias("used"))
+    return handled.withColumn("kind", F.lit("handling")).unionByName(trucks.withColumn("kind", F.lit("truck")))
+
+
+@query("real_capacity_usage", f"WITH {REAL} SELECT hub, day, kind, round(used, 4) AS used FROM ru")
+def real_capacity_usage(spark, sf):
+    return real_usage(spark, sf).select("hub", "day", "kind", R("used"))
+
+
+@query("real_capacity_violations", f"WITH {REAL} SELECT ru.hub, ru.day, ru.kind, round(used - CASE kind WHEN 'truck' THEN trucks ELSE handling END, 4) AS excess FROM ru JOIN hub_capacity h ON h.hub = ru.hub WHERE used > CASE kind WHEN 'truck' THEN trucks ELSE handling END + 1e-6")
 def real_capacity_violations(spark, sf):
-    cap = F.broadcast(V.hub_capacity(spark, sf).select("hub", "handling"))
-    return handling_ledger_of(buckets(assignments(spark, sf))).join(cap, "hub").where("handled > handling + 1e-6").select("hub", "day", F.round(F.col("handled") - F.col("handling"), 4).alias("excess"))
+    return over_capacity(real_usage(spark, sf), V.hub_capacity(spark, sf))
 
 
 @query("overloaded_hub_days", f"WITH {HANDLED} SELECT hub, day, round(handled / handling, 6) AS load FROM hd JOIN hub_capacity USING (hub) WHERE handled > 0.85 * handling")
@@ -274,3 +335,14 @@ def objective(spark, sf):
     cost = vehicle_costs(spark, sf).agg(F.sum("cost").alias("a"))
     over = handling_ledger_of(buckets(assignments(spark, sf))).join(cap, "hub").agg((1000 * F.coalesce(F.sum(F.greatest(F.lit(0.0), F.col("handled") - F.col("handling"))), F.lit(0.0))).alias("b"))
     return cost.crossJoin(over).select(F.round(F.col("a") + F.col("b"), 2).alias("objective"))
+
+
+@query("empty_rental_union", f"""
+    WITH {SPLIT}, u AS (SELECT source, destination, day, sum(volume) AS v FROM asg WHERE is_rental GROUP BY ALL), g AS (SELECT r.*, d.day FROM rentals r, (SELECT DISTINCT day FROM demands) d)
+    SELECT source, destination, day, vehicle_type, demand_id, round(share, 6) AS volume FROM sh WHERE share > 0.001
+    UNION ALL SELECT source, destination, day, 'Tır', '', 0 FROM (SELECT *, unnest(range(1, CAST(vehicle_count - ceil(coalesce(v, 0) / 22400 - 1e-9) AS BIGINT) + 1)) AS idle FROM g LEFT JOIN u USING (source, destination, day))""")
+def empty_rental_union(spark, sf):
+    """The plan's pieces, and a row without demand for each rented vehicle that runs empty."""
+    plan = vehicle_shares(spark, sf).select("source", "destination", "day", "vehicle_type", "demand_id", R("share", 6).alias("volume"))
+    empty = idle_rental_rows(spark, sf).select("source", "destination", "day", F.lit("Tır").alias("vehicle_type"), F.lit("").alias("demand_id"), F.lit(0.0).alias("volume"))
+    return plan.unionByName(empty)

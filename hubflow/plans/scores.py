@@ -41,6 +41,8 @@ def scored(name, names, key=None, key_sql=None):
 
 
 wape = scored("wape", ["wape"])
+mae = scored("mae", ["mae"], "lane")
+rmse = scored("rmse", ["rmse"], "lane")
 mae_rmse = scored("mae_rmse", ["mae", "rmse"], "lane")
 pinball = scored("pinball", ["pinball_10", "pinball_50", "pinball_90"], "lane")
 decision_regret = scored("decision_regret", ["regret"], "lane")
@@ -211,6 +213,11 @@ def risk_score(spark, sf):
     return bands(spark, sf).select("lane", "date", "slot", "relative", "threshold", "steepness", "raw_score", "risk_score", "risk_class")
 
 
+@query("risk_class", f"WITH {BAND} SELECT lane, date, slot, risk_class FROM k")
+def risk_class(spark, sf):
+    return bands(spark, sf).select("lane", "date", "slot", "risk_class")
+
+
 @query("risk_summary", f"WITH {BAND} SELECT slot, count(*) FILTER (risk_class = 'LOW') AS low, count(*) FILTER (risk_class = 'MEDIUM') AS medium, count(*) FILTER (risk_class = 'HIGH') AS high, count(DISTINCT date) AS horizon, count(*) FILTER (raw_score > 0.82 AND risk_class <> 'HIGH') AS damped FROM k GROUP BY slot UNION ALL SELECT 'all', count(*) FILTER (risk_class = 'LOW'), count(*) FILTER (risk_class = 'MEDIUM'), count(*) FILTER (risk_class = 'HIGH'), count(DISTINCT date), count(*) FILTER (raw_score > 0.82 AND risk_class <> 'HIGH') FROM k")
 def risk_summary(spark, sf):
     """Counts of classes for each slot and for all, in one pass."""

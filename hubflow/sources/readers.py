@@ -62,5 +62,10 @@ def require(df: DataFrame, columns: list[str], exactly: bool = False) -> DataFra
     return df
 
 
+def plan_of_demands(df: DataFrame, columns: list[str], demand: str = "demand_id") -> DataFrame:
+    """A plan's rows that belong to a demand, if it has the columns: a blank or null demand marks an empty trip."""
+    return require(df, columns).where(F.trim(demand) != "")
+
+
 def write_table(df: DataFrame, path: str, partition_by: list[str] = (), format: str = "parquet") -> None:
     df.write.mode("overwrite").partitionBy(*partition_by).format(format).option("header", True).save(path)
