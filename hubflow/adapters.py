@@ -6,6 +6,7 @@ Demand is line items: a supplier's nation sends to a customer's nation. Small vi
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Vehicle types with capacity, rates of spot vehicles by hour and kilometre, and speed.
 VEHICLES = [("Tır", 22400.0, 487.5, 25.0, 65.0), ("Kamyon", 12000.0, 318.25, 21.0, 70.0), ("Hafif Kamyon", 7200.0, 364.58, 20.0, 75.0), ("Kamyonet", 5600.0, 197.91, 18.0, 80.0)]
@@ -16,8 +17,16 @@ SLOTS = ("09:00", "17:00")
 SCALE = 1000
 
 
+_schemas: dict[tuple[str, str], StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table whose columns are read from its files once in an application: each later use of it spares that job."""
+    path = f"{sf_dir}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)
 
 
 def nations(spark, sf_dir) -> DataFrame:
