@@ -38,6 +38,16 @@ def test_cheapest_vehicle(spark, volume, best):
     rows = [(1, v, float(volume), c, h, k, hours[v], 60.0) for v, c, h, k, _ in VEHICLES]
     df = spark.createDataFrame(rows, "id int, vehicle_type string, volume double, capacity double, spot_hourly double, spot_km double, hours double, distance_km double")
     assert network.rank_vehicle_types(df, ["id"]).where("rank = 1").first().vehicle_type == best
+    lanes = df.select(F.lit("A").alias("source"), F.lit("B").alias("destination"), "vehicle_type", "capacity", "spot_hourly", "spot_km", "hours", "distance_km")
+    d = network.types_of_lanes(lanes).withColumn("volume", F.lit(float(volume)))
+    assert d.select(network.cheapest_type("types", "volume").alias("t")).first().t.vehicle_type == best
+
+
+def test_plan_without_empty_trips(spark):
+    df = spark.createDataFrame([("D1", 1.0), (" ", 2.0), ("", 3.0), (None, 4.0)], "demand_id string, volume double")
+    assert [r.demand_id for r in readers.plan_of_demands(df, ["demand_id", "volume"]).collect()] == ["D1"]
+    with pytest.raises(ValueError):
+        readers.plan_of_demands(df, ["day"])
 
 
 def test_handling_and_travel(spark):
