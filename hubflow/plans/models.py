@@ -78,6 +78,13 @@ def quantile_model(spark, sf):
     return scores.evaluate(forecast.with_bands(residuals, forecast.residual_bands(residuals)), "fold")
 
 
+@query("residual_bands")
+def residual_bands(spark, sf):
+    """What is added to a prediction for its lower and upper quantile, from out-of-fold residuals."""
+    _, _, residuals = fitted(spark, sf)
+    return forecast.residual_bands(residuals)
+
+
 @query("predict_sequential")
 def predict_sequential(spark, sf):
     """Seven days ahead for every lane."""
