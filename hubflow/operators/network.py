@@ -53,27 +53,49 @@ def path_options(lanes: DataFrame, relays: DataFrame) -> DataFrame:
     return direct.unionByName(by)
 
 
-def option_costs(demands: DataFrame, options: DataFrame, lane_vehicle: DataFrame) -> DataFrame:
-    """Cost of each option of each demand by its best vehicles, without regard to capacity.
+def options_of_lanes(options: DataFrame, lane_vehicle: DataFrame) -> DataFrame:
+    """source, destination, options: of each lane an array of option, milk_run, hours and parts, one row a lane.
 
-    A milk run keeps one vehicle type over all legs and is handled at its ends only; other legs each take their cheapest
-    type and are handled at both ends. hours: of the fastest vehicles. A path has at most three legs, so it is exploded by
-    place and summed again.
+    Each part takes one vehicle type: a leg, or a milk run as a whole, which keeps one type over all legs and is handled at
+    its ends only; other legs are handled at both ends. A part is an array of types and a type an array of its legs.
+    hours: of the fastest vehicles.
     """
     leg = F.posexplode(F.expr("transform(sequence(0, size(path) - 2), i -> struct(path[i] AS leg_source, path[i + 1] AS leg_destination))")).alias("place", "leg")
     steps = options.withColumn("option", F.concat_ws(">", "path")).select("source", "destination", "option", "milk_run", F.size("path").alias("stops"), leg)
     steps = steps.select("source", "destination", "option", "milk_run", "stops", "place", "leg.*")
-    lv = lane_vehicle.select(F.col("source").alias("leg_source"), F.col("destination").alias("leg_destination"), "vehicle_type", "capacity", "spot_hourly", "spot_km", "hours", "distance_km", "target_days")
-    per = demands.join(F.broadcast(steps), ["source", "destination"]).join(F.broadcast(lv), ["leg_source", "leg_destination"])
     ends = (F.col("place") == 0).cast("int") + (F.col("place") == F.col("stops") - 2).cast("int")
-    touches = F.when(F.col("milk_run"), ends).otherwise(2)
-    cost = T.vehicle_count("volume", "capacity") * T.vehicle_leg_cost("spot_hourly", "hours", "spot_km", "distance_km") + T.handling_cost("volume", "spot_hourly", touches)
-    keys = ["demand_id", "option", "milk_run"]
-    per = per.withColumn("leg_cost", cost)
-    # cheapest type of each leg, or of all legs together on a milk run
-    chosen = per.groupBy(*keys, F.when(F.col("milk_run"), F.lit(0)).otherwise(F.col("place")).alias("part"), "vehicle_type").agg(F.sum("leg_cost").alias("c"), F.sum("hours").alias("h"), F.max("volume").alias("volume"))
-    best = chosen.groupBy(*keys, "part").agg(F.min("c").alias("c"), F.min("h").alias("h"), F.max("volume").alias("volume"))
-    return best.groupBy(*keys).agg(F.sum("c").alias("cost"), F.sum("h").alias("hours"), F.max("volume").alias("volume"))
+    lv = lane_vehicle.select(F.col("source").alias("leg_source"), F.col("destination").alias("leg_destination"), "vehicle_type", "capacity", "spot_hourly", "hours", T.vehicle_leg_cost("spot_hourly", "hours", "spot_km", "distance_km").alias("leg_cost"))
+    per = steps.join(F.broadcast(lv), ["leg_source", "leg_destination"]).withColumn("touches", F.when(F.col("milk_run"), ends).otherwise(2))
+    keys = ["source", "destination", "option", "milk_run"]
+    types = per.groupBy(*keys, F.when(F.col("milk_run"), F.lit(0)).otherwise(F.col("place")).alias("part"), "vehicle_type").agg(F.collect_list(F.struct("capacity", "leg_cost", "spot_hourly", "touches")).alias("legs"), F.sum("hours").alias("h"))
+    parts = types.groupBy(*keys, "part").agg(F.collect_list("legs").alias("types"), F.min("h").alias("h"))
+    whole = parts.groupBy(*keys).agg(F.collect_list("types").alias("parts"), F.sum("h").alias("hours"))
+    return whole.groupBy("source", "destination").agg(F.collect_list(F.struct("option", "milk_run", "hours", "parts")).alias("options"))
+
+
+def cost_of_parts(parts, volume: str = "volume"):
+    """Cost of an option by the cheapest type of each of its parts, within the row."""
+    total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda s, x: s + f(x))
+    of_leg = lambda g: T.vehicle_count(volume, g["capacity"]) * g["leg_cost"] + T.handling_cost(volume, g["spot_hourly"], g["touches"])
+    return total(parts, lambda types: F.array_min(F.transform(types, lambda legs: total(legs, of_leg))))
+
+
+def option_costs(demands: DataFrame, options: DataFrame, lane_vehicle: DataFrame) -> DataFrame:
+    """Cost and hours of each option of each demand by its best vehicles, without regard to capacity. Priced within the row: no row for each leg and type, no shuffle of demands."""
+    d = demands.join(F.broadcast(options_of_lanes(options, lane_vehicle)), ["source", "destination"])
+    d = d.select("demand_id", "volume", F.explode("options").alias("o"))
+    return d.select("demand_id", "o.option", "o.milk_run", cost_of_parts(F.col("o.parts")).alias("cost"), "o.hours", "volume")
+
+
+def best_options(demands: DataFrame, options: DataFrame, lane_vehicle: DataFrame) -> DataFrame:
+    """Of option_costs the row of each demand with the lowest unit cost; equal ones go by hours, option and milk_run."""
+    d = demands.join(F.broadcast(options_of_lanes(options, lane_vehicle)), ["source", "destination"])
+
+    def priced(o):
+        return F.struct(cost_of_parts(o["parts"]).alias("cost"), F.round(o["hours"], 4).alias("hours"), o["option"].alias("option"), o["milk_run"].alias("milk_run"))
+
+    best = F.array_min(F.transform(F.transform("options", priced), lambda o: F.struct((o["cost"] / F.col("volume")).alias("unit"), o["hours"].alias("hours"), o["option"].alias("option"), o["milk_run"].alias("milk_run"), o["cost"].alias("cost"))))
+    return d.withColumn("best", best).select("demand_id", "best.option", "best.milk_run", "best.cost")
 
 
 def waterfall(demands: DataFrame, keys: list[str], stock: str) -> DataFrame:

@@ -1,6 +1,5 @@
 """Queries: paths, vehicle choice, allocation and dispatch."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hubflow import adapters as V
@@ -83,21 +82,19 @@ OPTION_COST = f"""
 
 
 def options(spark, sf):
-    """Options of the first half-year's demands: a planning horizon."""
+    """All demands, the options of each lane, and the vehicle types of each leg."""
     lanes = V.lanes(spark, sf)
-    demands = V.demands(spark, sf).where("day < '1995-07-01'").select("demand_id", "source", "destination", "volume")
-    return N.option_costs(demands, N.path_options(lanes, N.relay_candidates(lanes)), V.lane_vehicle(spark, sf))
+    return V.demands(spark, sf).select("demand_id", "source", "destination", "volume"), N.path_options(lanes, N.relay_candidates(lanes)), V.lane_vehicle(spark, sf)
 
 
 @query("option_cost", f"WITH {OPTION_COST} SELECT demand_id, option, milk_run, cost, round(hours, 4) AS hours FROM cost")
 def option_cost(spark, sf):
-    return options(spark, sf).select("demand_id", "option", "milk_run", "cost", R("hours"))
+    return N.option_costs(*options(spark, sf)).select("demand_id", "option", "milk_run", "cost", R("hours"))
 
 
 @query("best_option", f"WITH {OPTION_COST}, k AS (SELECT *, row_number() OVER (PARTITION BY demand_id ORDER BY cost / volume, hours, option, milk_run) AS n FROM cost) SELECT demand_id, option, milk_run, cost FROM k WHERE n = 1")
 def best_option(spark, sf):
-    first = F.row_number().over(Window.partitionBy("demand_id").orderBy(F.col("cost") / F.col("volume"), R("hours"), "option", "milk_run"))
-    return options(spark, sf).withColumn("n", first).where("n = 1").select("demand_id", "option", "milk_run", "cost")
+    return N.best_options(*options(spark, sf))
 
 
 RENTED = """
