@@ -25,8 +25,8 @@ def clean_dims(spark, sf):
 
 @query("load_demand_history", "SELECT source, dest, date, volume, slot FROM demand_log WHERE volume > 45")
 def load_demand_history(spark, sf):
-    """A log under other names, found by them and by place."""
-    d = V.demand_log(spark, sf).where("volume > 45")
+    """The whole log under other names, found by them and by place."""
+    d = V.demand_log(spark, sf)
     raw = d.select(F.col("source").alias("Çıkış TM"), F.col("dest").alias("Varış TM"), F.col("date").alias("Tarih"), F.col("volume").alias("Toplam Desi"), F.col("slot").alias("x5"))
     return S.standard_log(raw)
 

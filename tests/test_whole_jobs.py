@@ -7,6 +7,7 @@ from itertools import groupby
 import pytest
 
 from hubflow.adapters import VEHICLES
+from hubflow.plans import ingest
 from hubflow.plans import network as network_plans
 
 LANES = [("A", "B", 500.0, 1.0), ("A", "C", 212.0, 1.0), ("C", "B", 331.0, 1.0), ("C", "D", 120.0, 1.0), ("D", "B", 192.0, 1.0), ("A", "D", 340.0, 1.0)]
@@ -62,3 +63,11 @@ def test_best_option_of_every_demand(network_inputs, monkeypatch):
     expected = {d: next(rows)[3:] for d, rows in groupby(ranked, key=lambda r: r[0])}
     got = {r.demand_id: (r.option, r.milk_run, r.cost) for r in query_on(network_inputs, monkeypatch, network_plans.best_option)}
     assert got == expected and len(got) == len(DEMANDS)
+
+
+def test_demand_history_of_every_volume(spark, monkeypatch):
+    log = [("A", "B", dt.date(1995, 3, 1), v, "09:00") for v in (0.0, 1.0, 45.0, 45.5, 50.0)] + [("B", "A", None, None, "17:00")]
+    table = spark.createDataFrame(log, "source string, dest string, date date, volume double, slot string")
+    monkeypatch.setattr(ingest.V, "demand_log", lambda spark, sf: table)
+    got = [tuple(r) for r in ingest.load_demand_history(None, None).collect()]
+    assert sorted(got, key=str) == sorted(log, key=str)
