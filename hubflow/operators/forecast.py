@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hubflow.functions import risk
-from hubflow.operators import calendar, features
+from hubflow.operators import calendar, features, rollups
 from hubflow.session import cut_lineage
 
 #: Columns that a model is trained on.
@@ -18,7 +18,8 @@ CONTEXT = 60
 
 def feature_matrix(days: DataFrame, value: str, holidays: DataFrame, campaigns: DataFrame) -> DataFrame:
     """All lane features of a dense table. Builders of one window specification follow each other, so lane is shuffled once."""
-    d = features.holiday_backlog(days, holidays, value)
+    d = features.target_scale(days, value)
+    d = features.holiday_backlog(d, holidays, value)
     d = features.campaign_backlog(d, campaigns, value)
     d = features.campaign_lags(d)
     d = features.post_event_flags(d)
@@ -46,32 +47,44 @@ def walk_forward_folds(days: DataFrame, folds: int = 4, width: int = 7) -> DataF
     return k.select("fold", F.expr(f"date_sub(end, {width} * ({folds} - fold + 1) - 1)").alias("first"), F.expr(f"date_sub(end, {width} * ({folds} - fold))").alias("last"))
 
 
-def regressor(label: str, iterations: int = 10, depth: int = 4) -> Pipeline:
-    """Absolute-loss boosted trees: an estimate of the median."""
-    return Pipeline(stages=[VectorAssembler(inputCols=INPUTS, outputCol="inputs", handleInvalid="keep"), GBTRegressor(featuresCol="inputs", labelCol=label, predictionCol="q50", lossType="absolute", maxIter=iterations, maxDepth=depth, seed=42)])
+#: Boosting rounds. On the scaled target, near 1, each moves a prediction by up to 0.1, so the absolute loss takes effect.
+ROUNDS = 30
 
 
-def fit_folds(matrix: DataFrame, value: str, folds: list, iterations: int = 10) -> tuple[list, DataFrame]:
-    """A model for each fold (fold, first, last), and their predictions of the validation windows with dates and features kept."""
+def regressor(label: str, iterations: int = ROUNDS, depth: int = 4) -> Pipeline:
+    """Absolute-loss boosted trees of weighted rows: an estimate of the median."""
+    return Pipeline(stages=[VectorAssembler(inputCols=INPUTS, outputCol="inputs", handleInvalid="keep"), GBTRegressor(featuresCol="inputs", labelCol=label, weightCol="weight", predictionCol="q50", lossType="absolute", maxIter=iterations, maxDepth=depth, seed=42)])
+
+
+def weighted(train: DataFrame, value: str) -> DataFrame:
+    """Training rows with the weight of their regret against the lane's capacity, both from these rows alone; a lane without volume has capacity 0."""
+    capacity = train.select("lane").distinct().join(rollups.regret_capacity(train, value).select("lane", "capacity"), "lane", "left").na.fill(0.0, ["capacity"])
+    return features.regret_weights(train, value, capacity)
+
+
+def fit_folds(matrix: DataFrame, value: str, folds: list, iterations: int = ROUNDS) -> tuple[list, DataFrame]:
+    """A model of the scaled target for each fold (fold, first, last), and their predictions of the validation windows, scaled back, with dates and features kept."""
     ready = matrix.na.fill(0.0, INPUTS).withColumn("y", F.col(value))
     models, out = [], None
     for fold, first, last in folds:
-        model = regressor("y", iterations).fit(ready.where(F.col("date") < F.lit(first)))
+        train = cut_lineage(weighted(ready.where(F.col("date") < F.lit(first)), value).select(*INPUTS, "scaled", "weight"), f"fold-{fold}")
+        model = regressor("scaled", iterations).fit(train)
         part = model.transform(ready.where(F.col("date").between(F.lit(first), F.lit(last)))).withColumn("fold", F.lit(fold)).drop("inputs")
         models.append(model)
         out = part if out is None else out.unionByName(part)
-    return models, out.withColumn("q50", F.greatest(F.lit(0.0), "q50"))
+    return models, out.withColumn("q50", F.greatest(F.lit(0.0), F.col("q50") * F.col("scale_factor")))
 
 
 def residual_bands(residuals: DataFrame, low: float = 0.1, high: float = 0.9) -> DataFrame:
-    """bucket, low, high: quantiles of out-of-fold residuals by weekend or not; added to q50 they give q10 and q90."""
-    p = F.percentile(F.col("y") - F.col("q50"), F.array(F.lit(low), F.lit(high)))
+    """bucket, low, high: quantiles of out-of-fold residuals by scale_factor, by weekend or not; times scale_factor and added to q50 they give q10 and q90."""
+    p = F.percentile((F.col("y") - F.col("q50")) / F.col("scale_factor"), F.array(F.lit(low), F.lit(high)))
     return residuals.groupBy(F.col("is_weekend").alias("bucket")).agg(p.alias("p")).select("bucket", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
 
 
 def with_bands(rows: DataFrame, bands: DataFrame) -> DataFrame:
     d = rows.join(F.broadcast(bands), F.col("is_weekend") == F.col("bucket"), "left")
-    return d.withColumn("q10", F.greatest(F.lit(0.0), F.col("q50") + F.coalesce("low", F.lit(0.0)))).withColumn("q90", F.greatest("q50", F.col("q50") + F.coalesce("high", F.lit(0.0)))).drop("bucket", "low", "high")
+    low, high = (F.col("q50") + F.coalesce(c, F.lit(0.0)) * F.col("scale_factor") for c in ("low", "high"))
+    return d.withColumn("q10", F.greatest(F.lit(0.0), low)).withColumn("q90", F.greatest("q50", high)).drop("bucket", "low", "high")
 
 
 def surge_correction(rows: DataFrame, correction: str, cap: float = 0.20) -> DataFrame:
@@ -115,7 +128,7 @@ def predict_sequential(models: list, history: DataFrame, value: str, bands: Data
         made = F.array_sort(F.array(*(f"_m{i}" for i in range(len(models)))))
         n = len(models)
         median = made[n // 2] if n % 2 else (made[n // 2 - 1] + made[n // 2]) / 2
-        x = x.withColumn("q50", F.greatest(F.lit(0.0), median))
+        x = x.withColumn("q50", F.greatest(F.lit(0.0), median * F.col("scale_factor")))
         a = max(0.35, 1 - 0.11 * (h - 1))
         x = with_bands(x, bands).withColumn(value, a * F.col("q50") + (1 - a) * F.coalesce("rolling_mean_7", F.lit(0.0)))
         x = cut_lineage(x.select("lane", "source", "dest", "date", F.bround("q10", 4).alias("q10"), F.bround("q50", 4).alias("q50"), F.bround("q90", 4).alias("q90"), value), "forecast-day")

@@ -63,12 +63,12 @@ def feature_matrix(spark, sf):
     return forecast.feature_matrix(V.lane_day(spark, sf), X, *tables(spark))
 
 
-def fitted(spark, sf, iterations: int = 5):
+def fitted(spark, sf):
     days = V.lane_day(spark, sf)
     matrix = cut_lineage(forecast.feature_matrix(days, X, *tables(spark)), "feature-matrix")
     folds = [tuple(r) for r in forecast.walk_forward_folds(days).orderBy("fold").collect()]
-    models, residuals = forecast.fit_folds(matrix, X, folds, iterations)
-    return days, models, cut_lineage(residuals.select("fold", "lane", "source", "dest", "date", "is_weekend", "y", "q50"), "residuals")
+    models, residuals = forecast.fit_folds(matrix, X, folds)
+    return days, models, cut_lineage(residuals.select("fold", "lane", "source", "dest", "date", "is_weekend", "scale_factor", "y", "q50"), "residuals")
 
 
 @query("quantile_model")
@@ -80,7 +80,7 @@ def quantile_model(spark, sf):
 
 @query("residual_bands")
 def residual_bands(spark, sf):
-    """What is added to a prediction for its lower and upper quantile, from out-of-fold residuals."""
+    """What is added to a prediction, in units of its scale, for its lower and upper quantile, from out-of-fold residuals."""
     _, _, residuals = fitted(spark, sf)
     return forecast.residual_bands(residuals)
 

@@ -5,8 +5,10 @@ import math
 from itertools import groupby
 
 import pytest
+from pyspark.sql import functions as F
 
 from hubflow.adapters import VEHICLES
+from hubflow.operators import forecast
 from hubflow.plans import ingest
 from hubflow.plans import network as network_plans
 
@@ -71,3 +73,23 @@ def test_demand_history_of_every_volume(spark, monkeypatch):
     monkeypatch.setattr(ingest.V, "demand_log", lambda spark, sf: table)
     got = [tuple(r) for r in ingest.load_demand_history(None, None).collect()]
     assert sorted(got, key=str) == sorted(log, key=str)
+
+
+def test_fold_models_find_the_median_of_each_scale(spark):
+    start = dt.date(1996, 1, 1)
+    rows = [(lane, lane, "X", start + dt.timedelta(d), scale * (2.5 if d % 10 in (2, 5, 8) else 0.8), scale, 1.0) for lane, scale in (("small", 10.0), ("large", 1000.0)) for d in range(80)]
+    rows = [(*r[:5], r[5], r[4] / r[5]) for r in rows]
+    days = spark.createDataFrame(rows, "lane string, source string, dest string, date date, v double, scale_factor double, scaled double")
+    matrix = days.withColumns({c: F.lit(0.0) for c in forecast.INPUTS}).withColumn("weekday", F.weekday("date"))
+    _, out = forecast.fit_folds(matrix, "v", [(1, start + dt.timedelta(70), start + dt.timedelta(79))])
+    found = {r.lane: r.q50 / r.scale_factor for r in out.groupBy("lane", "scale_factor").agg(F.avg("q50").alias("q50")).collect()}
+    assert found == {"small": pytest.approx(0.8, abs=0.15), "large": pytest.approx(0.8, abs=0.15)}
+
+
+def test_bands_are_in_units_of_the_scale(spark):
+    rows = spark.createDataFrame([(s, s * (1 + k / 10), s, 0) for s in (10.0, 1000.0) for k in range(-10, 11)], "scale_factor double, y double, q50 double, is_weekend int")
+    bands = forecast.residual_bands(rows)
+    r = bands.first()
+    assert (r.low, r.high) == (pytest.approx(-0.8), pytest.approx(0.8))
+    got = {x.scale_factor: (x.q10, x.q90) for x in forecast.with_bands(rows, bands).collect()}
+    assert got == {s: (pytest.approx(0.2 * s), pytest.approx(1.8 * s)) for s in (10.0, 1000.0)}
