@@ -8,13 +8,11 @@ from hubflow.llm import tokens
 from hubflow.llm.mixing import mix
 from hubflow.llm.near_dedup import near_duplicates
 from hubflow.llm.packing import pack
-from hubflow.llm.quality import fit, scored
+from hubflow.llm.quality import GOOD, fit, scored
 from hubflow.llm.scratch import written
 from hubflow.llm.substring_dedup import remove_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Scores under this are rejected: lower than one half, so that a doubtful document stays.
-REJECTED = 0.35
 #: Words of a passage that may stand in the corpus once only.
 PASSAGE = 50
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -22,9 +20,9 @@ END_OF_TEXT = 2
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier, fitted on the labels that aren't held out, doesn't reject."""
+    """Documents that the compression classifier, fitted on the labels that aren't held out, predicts to be good."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored(docs.select(*COLUMNS), model).where(F.col("score") >= REJECTED).select(*COLUMNS)
+    return scored(docs.select(*COLUMNS), model).where(F.col("score") >= GOOD).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

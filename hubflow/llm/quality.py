@@ -16,6 +16,8 @@ DICT_BYTES = 112_640
 #: Texts are compressed in pieces of so many bytes, so that the dictionary tells on long texts as on short ones.
 PIECE = 2048
 LEVEL = 3
+#: Scores of at least so much are predicted good.
+GOOD = 0.5
 
 
 @dataclass(frozen=True)
@@ -121,4 +123,4 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 def op10_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
