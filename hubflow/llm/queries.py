@@ -8,9 +8,9 @@ from hubflow.llm.packing import op5_packing
 from hubflow.llm.pitman_yor import op6_pitman_yor
 from hubflow.llm.quality import op10_quality
 from hubflow.llm.substring_dedup import OP1_SQL, op1_substring_dedup
-from hubflow.llm.token_counts import op3_token_counts
+from hubflow.llm.token_counts import op3_sql, op3_token_counts
 from hubflow.llm.top_k import OP9_SQL, op9_kd_tree_top_k
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_matroska, op3_token_counts, op4_dart_minhash, op5_packing, op6_pitman_yor, op7_huffman_token_files, op8_mixing, op9_kd_tree_top_k, op10_quality)}
 
-SQL = {"op1_substring_dedup": OP1_SQL, "op4_dart_minhash": OP4_SQL, "op9_kd_tree_top_k": OP9_SQL}
+SQL = {"op1_substring_dedup": OP1_SQL, "op3_token_counts": op3_sql(), "op4_dart_minhash": OP4_SQL, "op9_kd_tree_top_k": OP9_SQL}

@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 
 from hubflow.llm.tokens import read_tokenizer, sc_broadcast
 
-#: The symbol after a word's last byte.
-END = 256
+#: Added to a word's last byte. No inner piece holds such a symbol, so none can take a word's end from the piece that fits it.
+LAST = 256
+SYMBOLS = 512
 NONE = -1
 REMEMBERED = 500_000
 
 
 class Automaton:
-    """Pieces are tuples of symbols: bytes, and END at the end of a piece that ends words only."""
+    """Pieces are tuples of symbols: bytes, with LAST added to the last one of a piece that ends words."""
 
     def __init__(self, pieces):
         self.go: dict[int, int] = {}
@@ -31,7 +32,7 @@ class Automaton:
         for piece in pieces:
             node = 0
             for depth, symbol in enumerate(piece, 1):
-                key = node * 257 + symbol
+                key = node * SYMBOLS + symbol
                 if key not in self.go:
                     self.go[key] = len(final)
                     final[len(final)] = False
@@ -48,17 +49,19 @@ class Automaton:
                     self.fail[node], self.popped[node] = 0, 1
                     continue
                 at, popped = self.fail[parent], self.popped[parent]
-                while at != NONE and at * 257 + symbol not in self.go:
+                while at != NONE and at * SYMBOLS + symbol not in self.go:
                     popped += self.popped[at]
                     at = self.fail[at]
                 if at != NONE:
-                    self.fail[node], self.popped[node] = self.go[at * 257 + symbol], popped
+                    self.fail[node], self.popped[node] = self.go[at * SYMBOLS + symbol], popped
 
     def count(self, word: bytes) -> int:
         """Pieces of word, or -1 where greedy matching comes to bytes that no piece begins with."""
         go, fail, popped, node, out = self.go, self.fail, self.popped, 0, 0
-        for symbol in (*word, END):
-            while (to := go.get(node * 257 + symbol)) is None:
+        if not word:
+            return 0
+        for symbol in (*word[:-1], word[-1] + LAST):
+            while (to := go.get(node * SYMBOLS + symbol)) is None:
                 out += popped[node]
                 node = fail[node]
                 if node == NONE:
@@ -73,7 +76,7 @@ class Automaton:
 
 
 def word_pieces(tokenizer: str) -> list[tuple[int, ...]]:
-    """The vocabulary of a byte-level tokenizers file with a mark for word ends, as symbols."""
+    """The vocabulary of a byte-level tokenizers file with a mark for word ends, as symbols; a mark alone ends no word."""
     model = json.loads(tokenizer)["model"]
     mark = model["end_of_word_suffix"]
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -82,7 +85,11 @@ def word_pieces(tokenizer: str) -> list[tuple[int, ...]]:
     for piece in model["vocab"]:
         body = piece.removesuffix(mark)
         if all(c in shown for c in body):
-            out.append((*(shown[c] for c in body), *([END] if body != piece else [])))
+            symbols = [shown[c] for c in body]
+            if body != piece and body:
+                symbols[-1] += LAST
+            if body:
+                out.append(tuple(symbols))
     return out
 
 
@@ -124,3 +131,26 @@ def op3_token_counts(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), read_tokenizer(public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op3_sql() -> str:
+    """The same by trying all lengths at each place of each distinct word, in hexadecimal bytes; the vocabulary is read from its file."""
+    import public_tokenizers
+
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+    WITH RECURSIVE vocabulary AS (SELECT unnest(json_keys(content, '$.model.vocab')) AS piece, content ->> '$.model.end_of_word_suffix' AS mark FROM read_text('{public_tokenizers.path("word_bpe_49k.json")}')),
+    b AS (SELECT b, b BETWEEN 33 AND 126 OR b BETWEEN 161 AND 172 OR b BETWEEN 174 AND 255 AS plain FROM range(256) t(b)),
+    shown AS (SELECT chr(CAST(CASE WHEN plain THEN b ELSE 255 + count(*) FILTER (NOT plain) OVER (ORDER BY b) END AS INTEGER)) AS c, printf('%02X', b) AS hex FROM b),
+    body AS (SELECT piece, suffix(piece, mark) AS ends, CASE WHEN suffix(piece, mark) THEN left(piece, len(piece) - len(mark)) ELSE piece END AS body FROM vocabulary),
+    letters AS (SELECT piece, ends, len(body) AS n, unnest(string_split(body, '')) AS c, generate_subscripts(string_split(body, ''), 1) AS i FROM body WHERE body <> ''),
+    pieces AS MATERIALIZED (SELECT string_agg(hex, '' ORDER BY i) AS hex, ends FROM letters JOIN shown USING (c) GROUP BY piece, ends, n HAVING count(*) = n),
+    longest AS (SELECT max(len(hex)) // 2 AS longest FROM pieces),
+    d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS row, list_transform(regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x20\x09-\x0D]+'), lambda x: hex(x)) AS words FROM documents),
+    w AS MATERIALIZED (SELECT row, word, count(*) AS n FROM (SELECT row, unnest(words) AS word FROM d) GROUP BY ALL),
+    cut AS (SELECT DISTINCT word, 0 AS place, 0 AS n FROM w
+      UNION ALL SELECT word, place + max(size), n + 1 FROM (SELECT word, place, n, unnest(range(1, CAST(least(len(word) // 2 - place, (SELECT longest FROM longest)) AS BIGINT) + 1)) AS size FROM cut WHERE 2 * place < len(word))
+      JOIN pieces p ON p.hex = substr(word, 2 * place + 1, 2 * size) AND p.ends = (2 * (place + size) = len(word)) GROUP BY word, place, n),
+    known AS (SELECT word, max(place) * 2 = len(word) AS known, max(n) AS pieces FROM cut GROUP BY word),
+    t AS (SELECT row, sum(w.n * CASE WHEN known THEN pieces ELSE 1 END) AS n_tokens, sum(CASE WHEN known THEN 0 ELSE w.n END) AS n_unknown FROM w JOIN known USING (word) GROUP BY row)
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_tokens, 0) AS BIGINT) AS n_tokens, CAST(coalesce(n_unknown, 0) AS BIGINT) AS n_unknown FROM d LEFT JOIN t USING (row)"""

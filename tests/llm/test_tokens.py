@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from hubflow.llm import huffman, packing, tokens
-from hubflow.llm.token_counts import Automaton, END, automaton, count_tokens, op3_token_counts, word_pieces
+from hubflow.llm.token_counts import LAST, Automaton, automaton, count_tokens, op3_token_counts
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -109,39 +110,60 @@ def test_blocks_decode(tokenizer):
         assert doc_ids == [3, None] and sizes.tolist() == [n, 0] and out.tolist() == ids[:n].tolist()
 
 
-def greedy(word, pieces, longest):
-    word, at, n = (*word, END), 0, 0
+def greedy(word, inner, final, longest):
+    """Pieces of word by trying all lengths at each place, or -1."""
+    at, n = 0, 0
     while at < len(word):
         for size in range(min(longest, len(word) - at), 0, -1):
-            if word[at : at + size] in pieces:
+            if word[at : at + size] in (final if at + size == len(word) else inner):
                 break
         else:
             return -1
-        if word[at] == END and size == 1 and at == len(word) - 1 and (END,) not in pieces:
-            return -1
         at, n = at + size, n + 1
     return n
 
 
 def test_automaton_is_greedy_longest_match():
     rng = np.random.default_rng(3)
-    for _ in range(200):
-        pieces = {tuple(rng.integers(97, 100, rng.integers(1, 6)).tolist()) + ((END,) if rng.random() < 0.5 else ()) for _ in range(rng.integers(1, 25))}
-        machine = Automaton(pieces)
+    for _ in range(300):
+        inner, final = ({bytes(rng.integers(97, 100, rng.integers(1, 6)).tolist()) for _ in range(rng.integers(0, 20))} for _ in range(2))
+        machine = Automaton([*map(tuple, inner), *((*p[:-1], p[-1] + LAST) for p in final)])
         for _ in range(30):
-            word = bytes(rng.integers(97, 100, rng.integers(1, 12)).tolist())
-            assert machine.count(word) == greedy(word, pieces, 6)
-
-
-def test_token_counts(spark, sf_dir, tokenizer, odd, empty):
-    pieces = set(word_pieces(tokenizer))
-    longest = max(map(len, pieces))
+            word = bytes(rng.integers(97, 100, rng.integers(0, 12)).tolist())
+            assert machine.count(word) == greedy(word, inner, final, 6)
+
+
+def test_every_word_of_every_document(spark, sf_dir, tokenizer):
+    mark, shown = "</w>", {}
+    for b in range(256):
+        plain = 33 <= b < 127 or 161 <= b < 173 or 174 <= b
+        shown[chr(b) if plain else chr(256 + sum(not (33 <= x < 127 or 161 <= x < 173 or 174 <= x) for x in range(b)))] = b
+    pieces = [p for p in json.loads(tokenizer)["model"]["vocab"] if set(p.removesuffix(mark)) <= shown.keys()]
+    inner, final = ({bytes(shown[c] for c in p.removesuffix(mark)) for p in pieces if p.endswith(mark) == ends} - {b""} for ends in (False, True))
+    longest = max(map(len, inner | final))
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = op3_token_counts(spark, sf_dir).collect()
     assert len(rows) == len(docs)
-    for r in rows[::40]:
+    found = {}
+    for r in rows:
         words = docs[r.doc_id].encode().lower().split()
-        assert (r.n_words, r.n_tokens, r.n_unknown) == (len(words), sum(greedy(w, pieces, longest) for w in words), 0)
+        for w in set(words) - found.keys():
+            found[w] = greedy(w, inner, final, longest)
+        assert (r.n_words, r.n_tokens, r.n_unknown) == (len(words), sum(map(found.__getitem__, words)), 0)
+    # all bytes are pieces, inside a word and at its end, so there is no word that can't be cut
+    assert all(bytes([b]) in inner and bytes([b]) in final for b in range(256)) and len(found) > 1000
+
+
+def test_words_of_odd_rows(tokenizer, odd, empty):
     assert automaton(tokenizer).count(b"the") == 1
     assert count_tokens(empty, tokenizer).count() == 0
-    assert sorted(r.n_words for r in count_tokens(odd, tokenizer).collect()) == [0, 0, 0, 3, 3, 5, 11, 3000, 20000]
+    rows = count_tokens(odd, tokenizer).collect()
+    assert sorted(r.n_words for r in rows) == [0, 0, 0, 3, 3, 5, 11, 3000, 20000]
+    assert all(r.n_unknown == 0 and r.n_tokens >= r.n_words for r in rows)
+
+
+def test_a_word_that_cannot_be_cut_is_one_unknown(spark):
+    tokenizer = json.dumps({"model": {"end_of_word_suffix": "</w>", "vocab": {"a": 0, "ab": 1, "b</w>": 2, "</w>": 3, "c</w>": 4}}})
+    docs = spark.createDataFrame([(1, "ab aab c ac x a bb B"), (1, "ab aab c ac x a bb B"), (2, "")], "doc_id long, text string")
+    # ab: "ab" leaves no end, so it is a, b; aab: a, a, b; ac: a, c; b by itself ends a word; x, a and bb can't be cut
+    assert sorted(map(tuple, count_tokens(docs, tokenizer).collect())) == [(1, 8, 12, 3), (1, 8, 12, 3), (2, 0, 0, 0)]
