@@ -36,7 +36,7 @@ def with_views(sql: str) -> str:
                 used.append(name)
 
     need(sql)
-    views = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in used)
+    views = ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in used)
     if not views:
         return sql
     body = sql.strip()

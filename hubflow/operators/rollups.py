@@ -21,11 +21,9 @@ def hub_day_raw_load(demands: DataFrame, capacity: DataFrame) -> DataFrame:
     return load.join(F.broadcast(capacity.select("hub", "handling")), "hub").where("load > handling").select("hub", "day", "load", "handling", (F.col("load") - F.col("handling")).alias("excess"))
 
 
-def daily_totals(predicted: DataFrame, actual: DataFrame) -> DataFrame:
-    """Predicted and actual volume of each day and the signed difference in percent (null where nothing came)."""
-    p = predicted.groupBy("date").agg(F.sum("q50").alias("predicted"))
-    a = actual.groupBy("date").agg(F.sum("y").alias("actual"))
-    out = p.join(a, "date", "full").na.fill(0.0, ["predicted", "actual"])
+def daily_totals(rows: DataFrame) -> DataFrame:
+    """Predicted (to 6 digits) and actual volume of each day and the signed difference in percent (null where nothing came), in one pass."""
+    out = rows.groupBy("date").agg(F.round(F.coalesce(F.sum("q50"), F.lit(0.0)), 6).alias("predicted"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("actual"))
     return out.withColumn("difference_pct", F.when(F.col("actual") > 0, (F.col("predicted") - F.col("actual")) / F.col("actual") * 100))
 
 

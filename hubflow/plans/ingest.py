@@ -23,7 +23,7 @@ def clean_dims(spark, sf):
     return S.clean(raw, ["c_name"], ["c_acctbal"], ["n"])
 
 
-@query("load_demand_history", "SELECT source, dest, date, volume, slot FROM demand_log WHERE volume > 45")
+@query("load_demand_history", "SELECT source, dest, date, volume, slot FROM demand_log")
 def load_demand_history(spark, sf):
     """The whole log under other names, found by them and by place."""
     d = V.demand_log(spark, sf)

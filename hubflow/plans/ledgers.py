@@ -33,14 +33,14 @@ def assignments(spark, sf):
 
 ASSIGNED = f"""
     {RENTED},
-    p AS (SELECT demand_id, source, destination, day, slot, greatest(0, least(volume, stock - used)) AS rv, volume - greatest(0, least(volume, stock - used)) AS sv FROM w),
-    sp AS (SELECT p.demand_id, p.source, p.destination, p.day, p.slot, v.vehicle_type, FALSE AS is_rental, p.sv AS volume, v.capacity, v.spot_hourly, v.spot_km, v.hours, v.distance_km, v.target_days,
+    p AS MATERIALIZED (SELECT demand_id, source, destination, day, slot, greatest(0, least(volume, stock - used)) AS rv, volume - greatest(0, least(volume, stock - used)) AS sv FROM w),
+    sp AS MATERIALIZED (SELECT p.demand_id, p.source, p.destination, p.day, p.slot, v.vehicle_type, FALSE AS is_rental, p.sv AS volume, v.capacity, v.spot_hourly, v.spot_km, v.hours, v.distance_km, v.target_days,
       row_number() OVER (PARTITION BY p.demand_id ORDER BY ceil(p.sv / v.capacity - 1e-9) * round_even(v.spot_hourly * v.hours + v.spot_km * v.distance_km, 0) + round_even(2 * ceil(round(p.sv * 0.01, 9)) / 60 * v.spot_hourly, 0), v.capacity DESC) AS n
       FROM p JOIN lane_vehicle v ON v.source = p.source AND v.destination = p.destination WHERE p.sv > 1e-9),
-    asg AS (SELECT p.demand_id, p.source, p.destination, p.day, p.slot, v.vehicle_type, TRUE AS is_rental, p.rv AS volume, v.capacity, v.spot_hourly, v.spot_km, v.hours, v.distance_km, v.target_days
+    asg AS MATERIALIZED (SELECT p.demand_id, p.source, p.destination, p.day, p.slot, v.vehicle_type, TRUE AS is_rental, p.rv AS volume, v.capacity, v.spot_hourly, v.spot_km, v.hours, v.distance_km, v.target_days
       FROM p JOIN lane_vehicle v ON v.source = p.source AND v.destination = p.destination AND v.vehicle_type = 'Tır' WHERE p.rv > 1e-9
       UNION ALL SELECT * EXCLUDE (n) FROM sp WHERE n = 1),
-    bk AS (SELECT source, destination, day, slot, vehicle_type, is_rental, sum(volume) AS volume, count(DISTINCT demand_id) AS demands, CAST(ceil(sum(volume) / any_value(capacity) - 1e-9) AS INTEGER) AS vehicles, any_value(capacity) AS capacity,
+    bk AS MATERIALIZED (SELECT source, destination, day, slot, vehicle_type, is_rental, sum(volume) AS volume, count(DISTINCT demand_id) AS demands, CAST(ceil(sum(volume) / any_value(capacity) - 1e-9) AS INTEGER) AS vehicles, any_value(capacity) AS capacity,
       any_value(hours) AS hours, any_value(spot_hourly) AS spot_hourly, any_value(spot_km) AS spot_km, any_value(distance_km) AS distance_km FROM asg GROUP BY source, destination, day, slot, vehicle_type, is_rental)"""
 
 LEG = ["source", "destination", "day", "slot", "vehicle_type", "is_rental"]
@@ -81,9 +81,9 @@ def affected_assignments(spark, sf):
 #: A piece of each demand and slot, so that pieces fill vehicles in a known order.
 SPLIT = f"""
     {ASSIGNED},
-    hl AS (SELECT *, sum(volume) OVER (PARTITION BY source, destination, day, vehicle_type, is_rental ORDER BY slot, demand_id) AS hi FROM asg),
-    vs AS (SELECT *, unnest(range(CAST(floor((hi - volume) / capacity) AS BIGINT), CAST(greatest(floor((hi - volume) / capacity), ceil(hi / capacity - 1e-9) - 1) AS BIGINT) + 1)) AS vehicle FROM hl),
-    sh AS (SELECT *, least(hi, (vehicle + 1) * capacity) - greatest(hi - volume, vehicle * capacity) AS share FROM vs)"""
+    hl AS MATERIALIZED (SELECT *, sum(volume) OVER (PARTITION BY source, destination, day, vehicle_type, is_rental ORDER BY slot, demand_id) AS hi FROM asg),
+    vs AS MATERIALIZED (SELECT *, unnest(range(CAST(floor((hi - volume) / capacity) AS BIGINT), CAST(greatest(floor((hi - volume) / capacity), ceil(hi / capacity - 1e-9) - 1) AS BIGINT) + 1)) AS vehicle FROM hl),
+    sh AS MATERIALIZED (SELECT *, least(hi, (vehicle + 1) * capacity) - greatest(hi - volume, vehicle * capacity) AS share FROM vs)"""
 DAY_LEG = ["source", "destination", "day", "vehicle_type", "is_rental"]
 
 
@@ -113,8 +113,8 @@ def piece_ids(spark, sf):
 
 COSTED = f"""
     {SPLIT},
-    vc AS (SELECT source, destination, day, vehicle_type, is_rental, vehicle, sum(share) AS load, any_value(spot_hourly) AS h, CASE WHEN is_rental THEN 0 ELSE round_even(any_value(spot_hourly) * any_value(hours) + any_value(spot_km) * any_value(distance_km), 0) END AS driving FROM sh WHERE share > 0.001 GROUP BY source, destination, day, vehicle_type, is_rental, vehicle),
-    vk AS (SELECT *, driving + round_even(2 * ceil(round(load * 0.01, 9)) / 60 * h, 0) AS cost FROM vc)"""
+    vc AS MATERIALIZED (SELECT source, destination, day, vehicle_type, is_rental, vehicle, sum(share) AS load, any_value(spot_hourly) AS h, CASE WHEN is_rental THEN 0 ELSE round_even(any_value(spot_hourly) * any_value(hours) + any_value(spot_km) * any_value(distance_km), 0) END AS driving FROM sh WHERE share > 0.001 GROUP BY source, destination, day, vehicle_type, is_rental, vehicle),
+    vk AS MATERIALIZED (SELECT *, driving + round_even(2 * ceil(round(load * 0.01, 9)) / 60 * h, 0) AS cost FROM vc)"""
 
 
 def cost_of_load(load):
@@ -158,10 +158,10 @@ def cost_summary(spark, sf):
 
 HANDLED = f"""
     {ASSIGNED},
-    op AS (SELECT source AS hub, CAST(day AS TIMESTAMP) + to_hours({HOUR}) AS began, volume, CAST(ceil(round(volume * 0.01, 9)) AS BIGINT) AS minutes FROM bk
+    op AS MATERIALIZED (SELECT source AS hub, CAST(day AS TIMESTAMP) + to_hours({HOUR}) AS began, volume, CAST(ceil(round(volume * 0.01, 9)) AS BIGINT) AS minutes FROM bk
       UNION ALL SELECT destination, CAST(day AS TIMESTAMP) + to_hours({HOUR}) + to_minutes(CAST(ceil(round(hours * 60, 9)) AS BIGINT)), volume, CAST(ceil(round(volume * 0.01, 9)) AS BIGINT) FROM bk),
-    os AS (SELECT *, began + to_minutes(minutes) AS done, unnest(generate_series(date_trunc('day', began), date_trunc('day', began + to_minutes(minutes) - INTERVAL 1 SECOND), INTERVAL 1 DAY)) AS m FROM op),
-    hd AS (SELECT hub, CAST(m AS DATE) AS day, sum(volume * (epoch(least(done, m + INTERVAL 1 DAY)) - epoch(greatest(began, m))) / (minutes * 60)) AS handled FROM os GROUP BY ALL)"""
+    os AS MATERIALIZED (SELECT *, began + to_minutes(minutes) AS done, unnest(generate_series(date_trunc('day', began), date_trunc('day', began + to_minutes(minutes) - INTERVAL 1 SECOND), INTERVAL 1 DAY)) AS m FROM op),
+    hd AS MATERIALIZED (SELECT hub, CAST(m AS DATE) AS day, sum(volume * (epoch(least(done, m + INTERVAL 1 DAY)) - epoch(greatest(began, m))) / (minutes * 60)) AS handled FROM os GROUP BY ALL)"""
 
 
 def handling_ledger_of(b):
@@ -235,7 +235,7 @@ def over_capacity(used, hubs):
 REAL = f"""
     {ASSIGNED},
     rd AS (SELECT source, destination, day, sum(volume) AS volume FROM asg WHERE is_rental GROUP BY ALL),
-    rl AS (SELECT r.source, r.destination, d.day, '09:00' AS slot, r.vehicle_type, coalesce(rd.volume, 0) AS volume, r.vehicle_count AS vehicles, v.hours
+    rl AS MATERIALIZED (SELECT r.source, r.destination, d.day, '09:00' AS slot, r.vehicle_type, coalesce(rd.volume, 0) AS volume, r.vehicle_count AS vehicles, v.hours
       FROM rentals r JOIN lane_vehicle v ON v.source = r.source AND v.destination = r.destination AND v.vehicle_type = r.vehicle_type CROSS JOIN (SELECT DISTINCT day FROM demands) d
       LEFT JOIN rd ON rd.source = r.source AND rd.destination = r.destination AND rd.day = d.day),
     lg AS (SELECT source, destination, day, slot, vehicle_type, volume, vehicles, hours FROM bk WHERE NOT is_rental UNION ALL SELECT * FROM rl),

@@ -14,12 +14,12 @@ R = lambda c, n=4: F.round(c, n).alias(c)
 RELAYS = """
     o0 AS (SELECT a.source, b.destination, a.destination AS r, a.distance_km AS d1, a.distance_km + b.distance_km AS km FROM lanes a JOIN lanes b ON a.destination = b.source JOIN lanes d ON d.source = a.source AND d.destination = b.destination
       WHERE a.distance_km + b.distance_km <= d.distance_km * 1.35),
-    o1 AS (SELECT *, row_number() OVER (PARTITION BY source, destination ORDER BY km, r) AS rank FROM o0),
-    one AS (SELECT * FROM o1 WHERE rank <= 4),
+    o1 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source, destination ORDER BY km, r) AS rank FROM o0),
+    one AS MATERIALIZED (SELECT * FROM o1 WHERE rank <= 4),
     t0 AS (SELECT one.source, one.destination, one.r, c.destination AS s, d1 + c.distance_km + e.distance_km AS km FROM one JOIN lanes c ON c.source = one.r JOIN lanes e ON e.source = c.destination AND e.destination = one.destination
       WHERE c.destination <> one.source AND c.destination <> one.destination),
-    t1 AS (SELECT *, row_number() OVER (PARTITION BY source, destination ORDER BY km, r, s) AS rank FROM t0),
-    relays AS (SELECT source, destination, [source, r, destination] AS path, km, rank, 1 AS relays FROM one UNION ALL SELECT source, destination, [source, r, s, destination], km, rank, 2 FROM t1 WHERE rank <= 3)"""
+    t1 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source, destination ORDER BY km, r, s) AS rank FROM t0),
+    relays AS MATERIALIZED (SELECT source, destination, [source, r, destination] AS path, km, rank, 1 AS relays FROM one UNION ALL SELECT source, destination, [source, r, s, destination], km, rank, 2 FROM t1 WHERE rank <= 3)"""
 
 
 @query("relay_candidates", f"WITH {RELAYS} SELECT source, destination, array_to_string(path, '>') AS path, km, CAST(rank AS INTEGER) AS rank, relays FROM relays")
@@ -43,10 +43,10 @@ def path_options(spark, sf):
 
 
 RANKED = """
-    c AS (SELECT d.demand_id, d.day, d.volume, v.vehicle_type, v.capacity, CAST(ceil(d.volume / v.capacity - 1e-9) AS INTEGER) AS vehicles,
+    c AS MATERIALIZED (SELECT d.demand_id, d.day, d.volume, v.vehicle_type, v.capacity, CAST(ceil(d.volume / v.capacity - 1e-9) AS INTEGER) AS vehicles,
       ceil(d.volume / v.capacity - 1e-9) * round_even(v.spot_hourly * v.hours + v.spot_km * v.distance_km, 0) + round_even(2 * ceil(round(d.volume * 0.01, 9)) / 60 * v.spot_hourly, 0) AS cost
       FROM demands d JOIN lane_vehicle v ON v.source = d.source AND v.destination = d.destination),
-    k AS (SELECT *, row_number() OVER (PARTITION BY demand_id ORDER BY cost, capacity DESC) AS rank FROM c)"""
+    k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY demand_id ORDER BY cost, capacity DESC) AS rank FROM c)"""
 
 
 def ranked(spark, sf):
@@ -71,14 +71,14 @@ def best_second_regret(spark, sf):
 
 OPTION_COST = f"""
     {RELAYS}, {OPTIONS},
-    s AS (SELECT source, destination, array_to_string(path, '>') AS option, milk_run, len(path) AS stops, unnest(range(1, len(path))) AS i, path FROM options),
-    l AS (SELECT d.demand_id, d.volume, s.option, s.milk_run, s.i, v.vehicle_type, v.hours,
+    s AS MATERIALIZED (SELECT source, destination, array_to_string(path, '>') AS option, milk_run, len(path) AS stops, unnest(range(1, len(path))) AS i, path FROM options),
+    l AS MATERIALIZED (SELECT d.demand_id, d.volume, s.option, s.milk_run, s.i, v.vehicle_type, v.hours,
       ceil(d.volume / v.capacity - 1e-9) * round_even(v.spot_hourly * v.hours + v.spot_km * v.distance_km, 0)
       + round_even(CASE WHEN s.milk_run THEN CAST(s.i = 1 AS INTEGER) + CAST(s.i = s.stops - 1 AS INTEGER) ELSE 2 END * ceil(round(d.volume * 0.01, 9)) / 60 * v.spot_hourly, 0) AS c
-      FROM demands d JOIN s ON s.source = d.source AND s.destination = d.destination JOIN lane_vehicle v ON v.source = s.path[s.i] AND v.destination = s.path[s.i + 1] WHERE d.day < '1995-07-01'),
-    p AS (SELECT demand_id, option, milk_run, CASE WHEN milk_run THEN 0 ELSE i END AS part, vehicle_type, sum(c) AS c, sum(hours) AS h, max(volume) AS volume FROM l GROUP BY ALL),
-    q AS (SELECT demand_id, option, milk_run, part, min(c) AS c, min(h) AS h, max(volume) AS volume FROM p GROUP BY ALL),
-    cost AS (SELECT demand_id, option, milk_run, sum(c) AS cost, sum(h) AS hours, max(volume) AS volume FROM q GROUP BY ALL)"""
+      FROM demands d JOIN s ON s.source = d.source AND s.destination = d.destination JOIN lane_vehicle v ON v.source = s.path[s.i] AND v.destination = s.path[s.i + 1]),
+    p AS MATERIALIZED (SELECT demand_id, option, milk_run, CASE WHEN milk_run THEN 0 ELSE i END AS part, vehicle_type, sum(c) AS c, sum(hours) AS h, max(volume) AS volume FROM l GROUP BY ALL),
+    q AS MATERIALIZED (SELECT demand_id, option, milk_run, part, min(c) AS c, min(h) AS h, max(volume) AS volume FROM p GROUP BY ALL),
+    cost AS MATERIALIZED (SELECT demand_id, option, milk_run, sum(c) AS cost, sum(h) AS hours, max(volume) AS volume FROM q GROUP BY ALL)"""
 
 
 def options(spark, sf):
@@ -98,8 +98,8 @@ def best_option(spark, sf):
 
 
 RENTED = """
-    a AS (SELECT d.*, coalesce(r.vehicle_count, 0) * 22400 AS stock FROM demands d LEFT JOIN rentals r ON r.source = d.source AND r.destination = d.destination),
-    w AS (SELECT *, coalesce(sum(volume) OVER (PARTITION BY source, destination, day ORDER BY volume DESC, demand_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM a)"""
+    a AS MATERIALIZED (SELECT d.*, coalesce(r.vehicle_count, 0) * 22400 AS stock FROM demands d LEFT JOIN rentals r ON r.source = d.source AND r.destination = d.destination),
+    w AS MATERIALIZED (SELECT *, coalesce(sum(volume) OVER (PARTITION BY source, destination, day ORDER BY volume DESC, demand_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM a)"""
 
 
 @query("rental_first_allocation", f"WITH {RENTED} SELECT demand_id, greatest(0, least(volume, stock - used)) AS rental_volume, volume - greatest(0, least(volume, stock - used)) AS spot_volume FROM w")

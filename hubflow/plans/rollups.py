@@ -69,11 +69,10 @@ def hub_day_raw_load(spark, sf):
 
 
 @query("daily_totals", """
-    SELECT date, round(sum(q50), 6) AS predicted, sum(y) AS actual, CASE WHEN sum(y) > 0 THEN round((sum(q50) - sum(y)) / sum(y) * 100, 4) END AS difference_pct
-    FROM predictions GROUP BY date""")
+    SELECT date, predicted, actual, CASE WHEN actual > 0 THEN round(round((predicted - actual) / actual * 100, 9), 4) END AS difference_pct
+    FROM (SELECT date, round(sum(q50), 6) AS predicted, sum(y) AS actual FROM predictions GROUP BY date)""")
 def daily_totals(spark, sf):
-    p = V.predictions(spark, sf)
-    return rollups.daily_totals(p, p).select("date", R("predicted").alias("predicted"), "actual", R("difference_pct", 4).alias("difference_pct"))
+    return rollups.daily_totals(V.predictions(spark, sf)).select("date", "predicted", "actual", R(R("difference_pct", 9), 4).alias("difference_pct"))
 
 
 @query("reference_level", """

@@ -175,10 +175,10 @@ def slotted(spark, sf):
 SLOTTED = f"(SELECT lane, source, dest, date, q10, q50, q90, '09:00' AS slot FROM {P} UNION ALL SELECT lane, source, dest, date, (q10 + q50) / 2, q50, (q90 + q50) / 2, '17:00' FROM {P})"
 
 PARAMS = f"""
-    a AS (SELECT slot, quantile_cont(q50, 0.1) FILTER (q50 > 1) AS p10, quantile_cont(q50, 0.25) FILTER (q50 > 1) AS p25, quantile_cont(q50, 0.5) FILTER (q50 > 1) AS p50 FROM b GROUP BY slot),
-    c AS (SELECT b.slot, quantile_cont((q90 - q10) / greatest(q50, 1), 0.5) AS scale FROM b JOIN a ON a.slot = b.slot WHERE q50 > p10 GROUP BY b.slot),
-    t AS (SELECT b.slot, quantile_cont(CASE WHEN scale > 0 THEN 2 / pi() * atan(greatest((q90 - q10) / greatest(q50, 1), 0) / scale) ELSE 1 END, 0.5) AS tau FROM b JOIN c ON c.slot = b.slot GROUP BY b.slot),
-    r AS (SELECT a.slot, greatest(p25, greatest(50, 0.1 * p50)) AS floor, scale, tau FROM a JOIN c ON c.slot = a.slot JOIN t ON t.slot = a.slot)"""
+    a AS MATERIALIZED (SELECT slot, quantile_cont(q50, 0.1) FILTER (q50 > 1) AS p10, quantile_cont(q50, 0.25) FILTER (q50 > 1) AS p25, quantile_cont(q50, 0.5) FILTER (q50 > 1) AS p50 FROM b GROUP BY slot),
+    c AS MATERIALIZED (SELECT b.slot, quantile_cont((q90 - q10) / greatest(q50, 1), 0.5) AS scale FROM b JOIN a ON a.slot = b.slot WHERE q50 > p10 GROUP BY b.slot),
+    t AS MATERIALIZED (SELECT b.slot, quantile_cont(CASE WHEN scale > 0 THEN 2 / pi() * atan(greatest((q90 - q10) / greatest(q50, 1), 0) / scale) ELSE 1 END, 0.5) AS tau FROM b JOIN c ON c.slot = b.slot GROUP BY b.slot),
+    r AS MATERIALIZED (SELECT a.slot, greatest(p25, greatest(50, 0.1 * p50)) AS floor, scale, tau FROM a JOIN c ON c.slot = a.slot JOIN t ON t.slot = a.slot)"""
 
 
 @query("risk_params", f"WITH b AS (SELECT * FROM {SLOTTED}), {PARAMS} SELECT slot, round(floor, 6) AS floor, round(scale, 6) AS scale, round(tau, 6) AS tau FROM r")
@@ -187,18 +187,18 @@ def risk_params(spark, sf):
 
 
 BAND = f"""
-    b AS (SELECT * FROM {SLOTTED}), {PARAMS},
-    d AS (SELECT lane, source, dest, date, b.slot, CAST(round_even(CAST(round(least(greatest(0, q10), greatest(0, q50)), 10) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS q10, CAST(round_even(CAST(round(greatest(0, q50), 10) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS q50, CAST(round_even(CAST(round(greatest(q90, greatest(0, q50)), 10) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS q90, round(floor, 6) AS floor, round(scale, 6) AS scale, round(tau, 6) AS tau FROM b JOIN r ON r.slot = b.slot),
-    e AS (SELECT *, CAST(round_even(CAST(round(q90 - q10, 10) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS uncertainty_range, CAST(round_even(CAST(round((q90 - q50) * 0.5, 10) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS safety_buffer FROM d),
-    f AS (SELECT *, CAST(round_even(CAST(round(q50 + safety_buffer, 10) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS recommended, CAST(round_even(CAST(round(CASE WHEN scale <= 0 THEN 1 ELSE 2 / pi() * atan(greatest(uncertainty_range / greatest(q50, 1), 0) / scale) END, 10) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS relative,
+    b AS MATERIALIZED (SELECT * FROM {SLOTTED}), {PARAMS},
+    d AS MATERIALIZED (SELECT lane, source, dest, date, b.slot, CAST(round_even(CAST(round(least(greatest(0, q10), greatest(0, q50)), 10) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS q10, CAST(round_even(CAST(round(greatest(0, q50), 10) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS q50, CAST(round_even(CAST(round(greatest(q90, greatest(0, q50)), 10) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS q90, round(floor, 6) AS floor, round(scale, 6) AS scale, round(tau, 6) AS tau FROM b JOIN r ON r.slot = b.slot),
+    e AS MATERIALIZED (SELECT *, CAST(round_even(CAST(round(q90 - q10, 10) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS uncertainty_range, CAST(round_even(CAST(round((q90 - q50) * 0.5, 10) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS safety_buffer FROM d),
+    f AS MATERIALIZED (SELECT *, CAST(round_even(CAST(round(q50 + safety_buffer, 10) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS recommended, CAST(round_even(CAST(round(CASE WHEN scale <= 0 THEN 1 ELSE 2 / pi() * atan(greatest(uncertainty_range / greatest(q50, 1), 0) / scale) END, 10) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS relative,
           CAST(round_even(CAST(round(tau + 0.35 * pow(greatest(q50, 1), -0.30), 10) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS threshold, CAST(round_even(CAST(round(2 + ln(1 + greatest(q50, 1)), 10) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS steepness FROM e),
-    g AS (SELECT *, CAST(round_even(CAST(round(1 / (1 + exp(-greatest(-100, least(100, steepness * (relative - threshold))))), 10) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS raw_score FROM f),
-    h AS (SELECT *, CAST(round_even(CAST(round(raw_score * sqrt(least(1, q50 / floor)), 10) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS risk_score FROM g),
-    k AS (SELECT *, CASE WHEN risk_score < 0.35 THEN 'LOW' WHEN risk_score <= 0.82 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_class FROM h)"""
+    g AS MATERIALIZED (SELECT *, CAST(round_even(CAST(round(1 / (1 + exp(-greatest(-100, least(100, steepness * (relative - threshold))))), 10) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS raw_score FROM f),
+    h AS MATERIALIZED (SELECT *, CAST(round_even(CAST(round(raw_score * sqrt(least(1, q50 / floor)), 10) AS DECIMAL(30, 10)), 4) AS DOUBLE) AS risk_score FROM g),
+    k AS MATERIALIZED (SELECT *, CASE WHEN risk_score < 0.35 THEN 'LOW' WHEN risk_score <= 0.82 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_class FROM h)"""
 
 
-def bands(spark, sf):
-    b = slotted(spark, sf)
+def bands(spark, sf, b=None):
+    b = slotted(spark, sf) if b is None else b
     params = rollups.risk_params(b, ["slot"]).select("slot", R("floor"), R("scale"), R("tau"))
     return risk.risk_score(risk.demand_band(b).join(F.broadcast(params), "slot"))
 
@@ -226,9 +226,16 @@ def risk_summary(spark, sf):
     return out.withColumn("slot", F.coalesce("slot", F.lit("all")))
 
 
-@query("high_risk_filter", f"WITH {BAND} SELECT lane, date, slot, risk_score FROM k WHERE risk_class <> 'LOW'")
+#: Bands in tenths of a unit, twenty times as wide above on the first three days of a month, as surges make them.
+SURGED = f"(SELECT * REPLACE (10 * q10 AS q10, 10 * q50 AS q50, CASE WHEN day(date) <= 3 THEN 10 * q50 + 200 * (q90 - q50) ELSE 10 * q90 END AS q90) FROM {SLOTTED})"
+
+
+@query("high_risk_filter", f"WITH {BAND.replace(SLOTTED, SURGED)} SELECT lane, date, slot, risk_score FROM k WHERE risk_class = 'HIGH'")
 def high_risk_filter(spark, sf):
-    return bands(spark, sf).where("risk_class != 'LOW'").select("lane", "date", "slot", "risk_score")
+    """Demands of the highest class, with the bands of surge days widened."""
+    b = slotted(spark, sf)
+    wide = F.when(F.dayofmonth("date") <= 3, 10 * F.col("q50") + 200 * (F.col("q90") - F.col("q50"))).otherwise(10 * F.col("q90"))
+    return bands(spark, sf, b.withColumns({"q10": 10 * F.col("q10"), "q50": 10 * F.col("q50"), "q90": wide})).where("risk_class = 'HIGH'").select("lane", "date", "slot", "risk_score")
 
 
 IDS = "format('D{:05d}', row_number() OVER (ORDER BY date, slot, lane))"
