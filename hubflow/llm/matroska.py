@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 #: Fixed values of the Matroska format: element ids, and which of them hold elements.
 EBML, SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, GROUP, CUES, CUE, CUE_AT = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0xE1, 0x1F43B675, 0xA0, 0x1C53BB6B, 0xBB, 0xB7
 SCALE, TRACK_NUMBER, TRACK_TYPE, CODEC, RATE, CHANNELS, DEPTH = 0x2AD7B1, 0xD7, 0x83, 0x86, 0xB5, 0x9F, 0x6264
-TIMESTAMP, SIMPLE, BLOCK, CUE_TIME, CUE_TRACK, CUE_POSITION = 0xE7, 0xA3, 0xA1, 0xB3, 0xF7, 0xF1
+TIMESTAMP, SIMPLE, BLOCK, REFERENCE, CUE_TIME, CUE_TRACK, CUE_POSITION = 0xE7, 0xA3, 0xA1, 0xFB, 0xB3, 0xF7, 0xF1
 HOLDERS = {SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, GROUP, CUES, CUE, CUE_AT}
+SEEK_HEAD, CHAPTERS, TAGS, ATTACHMENTS = 0x114D9B74, 0x1043A770, 0x1254C367, 0x1941A469
 DOC_TYPE, NO_LACING, XIPH, FIXED, VARIABLE = 0x4282, 0, 1, 2, 3
 UNKNOWN = -1
 
@@ -71,7 +72,7 @@ def cluster_end(data: bytes, at: int, end: int) -> int:
     """The end of a cluster of unknown size: the next element that stands beside clusters."""
     while at < end:
         name, k = read_id(data, at)
-        if name in (CLUSTER, CUES, INFO, TRACKS):
+        if name in (CLUSTER, CUES, INFO, TRACKS, SEEK_HEAD, CHAPTERS, TAGS, ATTACHMENTS):
             return at
         size, begin = read_size(data, k)
         at = begin + size
@@ -106,7 +107,11 @@ def laced(data: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
 
 
 def packets(data: bytes) -> list[tuple[int, int, int, int, bool, int, bool]]:
-    """(track, time_ns, begin, end, keyframe, frame, cued) of every packet; frame: its place in its block, cued: whether a cue points to its cluster at that time."""
+    """(track, time_ns, begin, end, keyframe, frame, cued) of every packet; frame: its place in its block, cued: whether a cue points to its cluster at that time.
+
+    A simple block says itself whether it is a keyframe; a block in a group is one unless the group refers to another block.
+    """
+    group, refers = 0, False
     scale, cluster, cluster_at, segment, out, cues, cue, tracks = 1_000_000, 0, 0, 0, [], set(), [0, 0, 0], {}
     for name, begin, end, parent in elements(data):
         if name == SEGMENT:
@@ -119,12 +124,17 @@ def packets(data: bytes) -> list[tuple[int, int, int, int, bool, int, bool]]:
             cluster_at = begin
         elif name == TIMESTAMP:
             cluster = int.from_bytes(data[begin:end])
+        elif name == GROUP:
+            group, refers = len(out), False
+        elif name == REFERENCE and parent == GROUP:
+            refers = True
+            out[group:] = [(*x[:4], False, *x[5:]) for x in out[group:]]
         elif name in (SIMPLE, BLOCK):
             track, at = read_size(data, begin)
             time = cluster + int.from_bytes(data[at : at + 2], signed=True)
             flags = data[at + 2]
             for i, (b, e) in enumerate(laced(data, at + 3, end, flags >> 1 & 3)):
-                out.append((track, time * scale, b, e, name == BLOCK or bool(flags & 128), i, (cluster_at, track, time)))
+                out.append((track, time * scale, b, e, not refers if name == BLOCK else bool(flags & 128), i, (cluster_at, track, time)))
         elif name in (CUE_TIME, CUE_TRACK, CUE_POSITION):
             cue[(CUE_TIME, CUE_TRACK, CUE_POSITION).index(name)] = int.from_bytes(data[begin:end])
             if name == CUE_POSITION:

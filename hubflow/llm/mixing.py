@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from hubflow.llm.scratch import written
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Words that the dynamic program fits exactly; what is beyond is dealt out by length first.
-FITTED = 1 << 16
+#: Words whose sums the dynamic program looks at; of what is beyond each length first gives its share.
+FITTED = 1 << 18
 #: Documents of a group that one task puts in order; larger groups are cut by their hash.
 ORDERED = 1000
 
@@ -31,11 +31,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
     return total.withColumn("level", level).withColumn("level", F.max("level").over(everything)).select("key", "source_size", F.least("most", F.col("level") * F.col("weight")).alias("target"))
 
 
-def fit(size: np.ndarray, count: np.ndarray, budget: int, seed: int) -> np.ndarray:
+def fit(size: np.ndarray, count: np.ndarray, budget: int, seed: int, fitted: int = FITTED) -> np.ndarray:
     """How many documents of each size, at most count, so that their sizes add up to budget or as near below as can be.
 
-    Each size first gives the same share of its documents. The rest goes to the larger sizes until FITTED words are
-    left; for these a bounded knapsack of sizes in seeded order finds the sum.
+    Where all words are at most fitted, a bounded knapsack of sizes in seeded order looks at every sum, so no other choice
+    is nearer. Beyond that each size first gives the same share of its documents; documents are then given to the larger
+    sizes, or taken back from sizes in seeded order, until some half of fitted words are open, and the knapsack fits
+    these. A sum that hits budget is the best there is; only if it misses, which needs sizes with few sums between
+    them, may one outside of these words be nearer.
     """
     take = np.zeros(len(size), np.int64)
     total = int((size * count).sum())
@@ -43,29 +46,42 @@ def fit(size: np.ndarray, count: np.ndarray, budget: int, seed: int) -> np.ndarr
         return take
     if budget >= total:
         return count.copy()
-    take = np.array([int(n) * budget // total for n in count.tolist()], np.int64)
-    rest = budget - int((size * take).sum())
-    for i in np.argsort(-size, kind="stable").tolist():
-        if rest > FITTED and size[i] > 0:
-            k = min(int(count[i] - take[i]), (rest - FITTED) // int(size[i]))
-            take[i] += k
-            rest -= k * int(size[i])
-    mask, reach, steps = (1 << rest + 1) - 1, 1, []
-    order = sorted((i for i in range(len(size)) if 0 < size[i] <= rest and count[i] > take[i]), key=lambda i: pd.util.hash_array(np.array([int(size[i]) * 1_000_003 + seed]))[0])
+    order = sorted(np.flatnonzero((size > 0) & (count > 0)).tolist(), key=lambda i: pd.util.hash_array(np.array([int(size[i]) * 1_000_003 + seed]))[0])
+    rest = budget
+    if total > fitted:
+        take = np.array([int(n) * budget // total for n in count.tolist()], np.int64)
+        rest = budget - int((size * take).sum())
+        for i in np.argsort(-size, kind="stable").tolist():
+            if rest > fitted // 2 and size[i] > 0:
+                k = min(int(count[i] - take[i]), -(-(rest - fitted // 2) // int(size[i])), rest // int(size[i]))
+                take[i] += k
+                rest -= k * int(size[i])
+        for i in order:
+            if take[i] and rest + int(size[i]) <= fitted // 2:
+                take[i] -= 1
+                rest += int(size[i])
+    first = np.full(rest + 1, -1, np.int32)  # the step by which a sum was reached
+    reach, mask, steps = 1, (1 << rest + 1) - 1, []
     for i in order:
-        free, k = int(count[i] - take[i]), 1
+        free, k = int(count[i] - take[i]) if size[i] <= rest else 0, 1
         while free and not reach >> rest & 1:
             k = min(k, free)
-            steps.append((i, k, reach))
-            reach |= reach << k * int(size[i]) & mask
+            new = reach << k * int(size[i]) & mask & ~reach
+            if new:
+                bits = np.frombuffer(new.to_bytes(rest // 8 + 1, "little"), np.uint8)
+                some = np.flatnonzero(bits)
+                at = (some[:, None] * 8 + np.arange(8))[np.unpackbits(bits[some, None], axis=1, bitorder="little").astype(bool)]
+                first[at] = len(steps)
+                reach |= new
+            steps.append((i, k))
             free, k = free - k, 2 * k
         if reach >> rest & 1:
             break
     at = reach.bit_length() - 1
-    for i, k, before in reversed(steps):
-        if not before >> at & 1:
-            take[i] += k
-            at -= k * int(size[i])
+    while at:
+        i, k = steps[first[at]]
+        take[i] += k
+        at -= k * int(size[i])
     return take
 
 

@@ -83,6 +83,20 @@ def test_matroska_elements_of_unknown_size():
     assert [(p[0], p[1], file[p[2] : p[3]], p[4]) for p in found] == [(1, 190_000_000, b"abc", True), (200, 614_000_000, b"defg", False)]
 
 
+def test_matroska_keyframes_and_what_ends_a_cluster():
+    """Groups with a reference before or behind their block hold no keyframe; tags end a cluster of unknown size."""
+    e, num = matroska.element, matroska.number
+    block = lambda x: e(matroska.BLOCK, matroska.write_size(1) + bytes(3) + x)
+    back = e(matroska.REFERENCE, b"\xff")
+    groups = [e(matroska.GROUP, x) for x in (block(b"key"), block(b"later") + back, back + block(b"too"), block(b"key again"))]
+    simple = [e(matroska.SIMPLE, matroska.write_size(1) + bytes([0, 0, f]) + b"s") for f in (0, 128)]
+    for name in (matroska.TAGS, matroska.CHAPTERS, matroska.ATTACHMENTS, matroska.SEEK_HEAD):
+        cluster = matroska.CLUSTER.to_bytes(4) + b"\x01" + b"\xff" * 7 + num(matroska.TIMESTAMP, 5) + b"".join(groups + simple)
+        found = matroska.packets(e(matroska.EBML, b"") + e(matroska.SEGMENT, cluster + e(name, b"\x80" * 3) + e(matroska.CLUSTER, num(matroska.TIMESTAMP, 9) + groups[1])))
+        assert [p[4] for p in found] == [True, False, False, True, False, True, False]
+        assert [p[1] for p in found] == [5_000_000] * 6 + [9_000_000]
+
+
 def test_matroska_query(spark, sf_dir, odd, clashing, empty):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = matroska.op2_matroska(spark, sf_dir).collect()
@@ -135,8 +149,9 @@ def test_levels_of_targets(spark):
 
 
 def test_fit():
+    assert (mixing.fit(np.array([5, 7]), np.array([2, 2]), 14, 1) * [5, 7]).sum() == 14
     rng = np.random.default_rng(5)
-    for _ in range(100):
+    for _ in range(300):
         size = np.unique(rng.integers(0, 60, rng.integers(1, 20)))
         count = rng.integers(1, 6, len(size))
         budget = int(rng.integers(0, (size * count).sum() + 2))
@@ -145,11 +160,19 @@ def test_fit():
         sums = {0}
         for s, c in zip(size.tolist(), count.tolist()):
             sums = {a + s * k for a in sums for k in range(c + 1)}
-        if len(size) > 4:
-            assert (size * take).sum() <= max(budget, 0) or budget >= (size * count).sum()
+        assert (size * take).sum() == max(s for s in sums if s <= budget)
     size, count = np.arange(1, 3000), np.full(2999, 9)
     for budget in (0, 1, 65_537, 1_000_003, 30_000_000):
         assert (mixing.fit(size, count, budget, 1) * size).sum() == budget
+    # beyond the words that are looked at: sums are hit, few large sizes come as near as one of them
+    for _ in range(50):
+        size = np.unique(rng.integers(1, 400, 60))
+        count = rng.integers(1, 300, len(size))
+        budget = int(rng.integers(5000, (size * count).sum() - 5000))
+        take = mixing.fit(size, count, budget, 2, 4096)
+        assert (take >= 0).all() and (take <= count).all() and (take * size).sum() == budget
+    take = mixing.fit(np.array([10_000]), np.array([50]), 123_456, 1, 4096)
+    assert take.tolist() == [12]
 
 
 def test_mixing(spark, sf_dir, odd, clashing, empty):
