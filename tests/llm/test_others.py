@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from hubflow.llm import matroska, mixing, quality, top_k
@@ -114,24 +115,58 @@ def test_matroska_query(spark, sf_dir, odd, clashing, empty):
     assert table.groupBy("doc_id").count().count() == 8 and table.where("error is not null").count() == 0
 
 
-def test_top_k(spark, sf_dir):
+def brute_top(rows, ask, k):
+    """[(query_id, rank, vec_id, score)] of every query row by all inner products; rows: (vec_id, vector) by place."""
+    out, width = [], max((len(v) for _, v in rows), default=0)
+    x = np.array([[*v, *[0] * (width - len(v))] for _, v in rows], float).reshape(len(rows), width)
+    for i, (q, _) in enumerate(rows):
+        if ask(q):
+            best = sorted((-int(s), rows[j][0]) for j, s in enumerate(x @ x[i]) if j != i)[:k]
+            out += [(q, n + 1, v, -s) for n, (s, v) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("shard_values, regions", [(1 << 21, 1024), (1000, 8), (1000, 1), (400, 1024)])
+def test_top_k(spark, shard_values, regions):
+    """Clustered vectors, a third of all rows equal, repeated ids, shorter and empty vectors, in one shard, many or a region of many."""
     rng = np.random.default_rng(4)
-    rows = [(i, rng.integers(-6, 7, 5).tolist()) for i in range(700)] + [(i, [1, 2, 3, 4, 5]) for i in range(700, 1200)] + [(7, [1, 1, 1, 1, 1]), (None, [1] * 5), (2000, None)]
-    df = spark.createDataFrame(rows, "vec_id long, v array<long>").withColumn("rank", F.lit(1))
-    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in top_k.top_k(df, F.col("vec_id") % 50 == 0, 5, 200).collect()}
-    known = [(i, np.array(v)) for i, v in rows if i is not None and v]
-    asked = 0
-    for q, x in known:
-        if q % 50 == 0:
-            best = sorted((-int(x @ y), i) for i, y in known if i != q)[:5]
-            assert [got[q, n + 1] for n in range(5)] == [(i, -s) for s, i in best]
-            asked += 5
-    assert len(got) == asked
+    rows = [(i, (rng.integers(-6, 7, 5) + (i % 4) * 9).tolist()) for i in range(700)] + [(i, [1, 2, 3, 4, 5]) for i in range(700, 1200)]
+    rows += [(50, [1, 1, 1, 1, 1]), (50, [30, 1, 1, 1, 1]), (7, [2, 3])] + [(i, []) for i in range(2000, 2100)]
+    df = spark.createDataFrame([*rows, (None, [1] * 5), (2000, None)], "vec_id long, v array<long>").withColumns({c: F.lit(1) for c in ("rank", "row", "shard", "region")})
+    got = sorted(tuple(r) for r in top_k.top_k(df, F.col("vec_id") % 50 == 0, 5, shard_values, regions).collect())
+    assert got == brute_top(rows, lambda q: q % 50 == 0, 5)
+
+
+def test_top_k_of_few(spark):
+    df = spark.createDataFrame([(0, [1])], "vec_id long, v array<long>")
     assert top_k.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    assert top_k.top_k(df, F.col("vec_id") % 50 == 0).count() == 0
     few = spark.createDataFrame([(0, [1]), (50, [2, 1])], "vec_id long, v array<long>")
     assert sorted(map(tuple, top_k.top_k(few, F.col("vec_id") % 50 == 0).collect())) == [(0, 1, 50, 2), (50, 1, 0, 2)]
 
 
+def test_vectors_that_take_no_part(spark, tmp_path):
+    bad = [None, [1.0, None], [float("nan"), 1.0], [float("inf"), 0.0], [0.0, float("-inf")]]
+    good = [(i * 50, [i / 7 - 0.3, 0.5 - i / 9]) for i in range(6)] + [(1, [0.1, 0.2]), (1, [0.1, 0.2]), (0, [-0.9, 0.4])]
+    rows = [(i, v, 0) for i, v in good] + [(i * 50, v, 0) for i, v in enumerate(bad)] + [(None, [1.0, 1.0], 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    whole = [(i, np.floor(256 * np.float32(v).astype(float)).astype(int).tolist()) for i, v in good]
+    assert sorted(map(tuple, top_k.op9_kd_tree_top_k(spark, str(tmp_path)).collect())) == brute_top(whole, lambda q: q % 50 == 0, 5)
+
+
+def test_boxes_keep_queries_from_far_regions():
+    """Vectors in clusters: a query's bound to the boxes of other clusters is under its kth score."""
+    rng = np.random.default_rng(8)
+    centres = rng.integers(-300, 300, (64, 16))
+    x = (np.repeat(centres, 200, 0) + rng.integers(-20, 21, (12_800, 16))).astype(float)
+    of = top_k.Regions(x[::4], 64).of(x)
+    boxes = [(x[of == r].min(0), x[of == r].max(0)) for r in np.unique(of)]
+    queries = x[::50]
+    kth = np.sort(queries @ x.T, 1)[:, -6]
+    sent = (top_k.upper_bounds(queries, *map(np.array, zip(*boxes))) >= kth[:, None]).mean()
+    assert sent < 0.1
+
+
 def test_levels_of_targets(spark):
     sizes = spark.createDataFrame([(str(i), str(i), n, 1) for i, n in enumerate([10, 1000, 30, 0, 400, 77])], "key string, source string, size long, n long")
     got = {r.key: r.target for r in mixing.targets(sizes, (3, 1, 2), 1.5, 2.0).collect()}
@@ -204,7 +239,7 @@ def test_large_groups_of_one_length_are_cut_exactly(spark, monkeypatch):
 def test_quality_on_held_out_labels(spark, sf_dir):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     rows = [r for r in quality.op10_quality(spark, sf_dir).collect()]
-    assert len(rows) == 1000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
     asked = [r for r in rows if r.held_out and r.doc_id in labels]
     right = [r.predicted == labels[r.doc_id] for r in asked]
@@ -220,3 +255,53 @@ def test_quality_of_odd_rows(spark, odd, clashing, empty):
         assert sorted(out.columns) == sorted({*df.columns, "score"})
     assert quality.scored(empty, quality.fit(empty, labels.limit(0))).count() == 0
     assert {r.score for r in quality.scored(odd, quality.fit(odd, labels.limit(0))).collect()} == {0.5}
+
+
+def test_scores_against_a_plain_loop(spark, sf_dir):
+    """Sizes of all pieces with either dictionary, the curve through them, and a calibration whose weighted gradient is zero."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    long = spark.createDataFrame([(10**6, "lorem ipsum dolor sit amet " * 4000), (10**6 + 1, ""), (10**6 + 2, None)], "doc_id long, text string")
+    docs = docs.unionByName(long)
+    model = quality.fit(docs, labels)
+    assert model.trained == (True, True)
+
+    def difference(text):
+        sizes = []
+        for data in (model.good, model.bad):
+            total = 0
+            raw = (text or "").encode()
+            while raw:
+                piece, raw = raw[:2048], raw[2048:]
+                total += len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(data), write_content_size=False, write_dict_id=False).compress(piece))
+            sizes.append(total)
+        return (sizes[1] - sizes[0]) / max(*sizes, 1)
+
+    some = [r for r in docs.orderBy(F.xxhash64("doc_id")).limit(150).collect()] + long.collect()
+    got = {r.doc_id: r.score for r in quality.scored(docs, model).collect()}
+    for r in some:
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-(model.slope * difference(r.text) + model.offset))), abs=1e-9)
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(0, 0.02, 500), rng.random(500) < 0.7
+    x = x + 0.01 * y
+    slope, offset = quality.calibrate(x, y.astype(float))
+    p, w = 1 / (1 + np.exp(-(slope * x + offset))), np.where(y, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    assert slope > 0 and abs((w * (y - p)).sum()) < 0.05 and abs((w * (y - p) * x).sum()) < 0.05 * np.abs(x).mean()
+
+
+def test_few_labels_give_dictionaries_of_the_pieces_themselves(spark):
+    docs = spark.createDataFrame([(i, ("good words here " if i % 2 else "zzz qqq xxx ") * 3) for i in range(40)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality")
+    model = quality.fit(docs, labels)
+    assert model.trained[0] is False and b"good words" in model.good
+    assert quality.dictionary([b"ab", b"c"]) == (b"abc", False) and quality.dictionary([]) == (b"", False)
+    assert all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in quality.scored(docs, model).collect())
+
+
+def test_pieces_come_from_all_of_a_long_text(spark):
+    text = "".join(f"{i:08d}" for i in range(100_000))
+    docs = spark.createDataFrame([(1, 0, text), (2, 1, "short"), (3, 1, "")], "doc_id long, quality int, text string")
+    rows = quality.sampled_pieces(docs, 8).collect()
+    places = sorted(r.place for r in rows if r.doc_id == 1)
+    assert len(places) == 8 and max(places) > 400_000 and all(p % 2048 == 0 for p in places)
+    assert [bytes(r.piece) for r in rows if r.doc_id != 1] == [b"short"]
