@@ -14,15 +14,22 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 4_000_000
 
 
+#: Text of the chunks that one task holds, one after the other.
+TASK_BYTES = 64_000_000
+
+
 def deal(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, keep: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
-    """doc_id, text, chunk and the columns keep (as keep0, keep1, ...) of docs, and the number of chunks; null texts count as empty.
+    """doc_id, text, row (its place), chunk and the columns keep (as keep0, keep1, ...) of docs, and the number of chunks; null texts count as empty.
 
-    The chunk depends on the row's content alone, so a task that runs again after a lost executor deals alike.
+    Rows are dealt by their place in the scan, so equal ones, of null ids and empty texts too, spread over all chunks, and
+    a task that runs again after a lost executor deals alike: docs must come from files or a written table. The exchange
+    has so many partitions that a task holds TASK_BYTES of text at any size.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(F.col(f"`{c}`").alias(f"keep{i}") for i, c in enumerate(keep)))
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(F.col(f"`{c}`").alias(f"keep{i}") for i, c in enumerate(keep)))
     total, rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     n = max(1, -(-(total or 0) // chunk_bytes), rows // 50_000)
-    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))), n
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // TASK_BYTES))
+    return docs.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(n))).repartition(parts, "chunk"), n
 
 
 def buckets(chunks: int) -> int:

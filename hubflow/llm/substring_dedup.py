@@ -1,190 +1,174 @@
 """Substring dedup by level-wise doubling.
 
-Level 1 looks at windows of half the length (10 words for windows of 20), level 2 at windows of the full length that
-hold a window repeated at level 1. Of the half windows only anchors are looked at: the smallest hash among the half
-windows inside each full window, so two equal full windows always have the same anchor and no repeat is missed, while
-about one half window in six is sent. No window of twice the length is needed beyond: all its words are already
-covered by its repeated full windows, so the candidates end there.
+Windows are looked at level by level, each of twice the words of the one before, from a base of at least BASE words up to the window asked for:
+only windows that hold what was repeated at the level before are looked at at the next, until none survive. Of the
+windows of a lower level only anchors are sent: the smallest hash among those inside each window of the next level, so two
+equal windows always have the same anchor and no repeat is missed, while about one in six is sent. No window
+longer than the one asked for is needed: all its words are covered by repeated windows of that length already.
+
+What is sent are rows of hashes, distinct within a chunk of some MB of text, so they grow with the text alone, and a
+passage that all documents hold comes once from each chunk. A text is shuffled once; that exchange is used by all levels.
 """
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hubflow.llm import parcels
 from hubflow.llm.words import Words, combine, runs, shifted
 
-LOW = np.uint64((1 << 40) - 1)
-SENT = "kind int, bucket int, chunk long, load binary"
+#: Words of the first level's windows at least.
+BASE = 10
+LONG = pa.int64()
+
+
+def levels(window: int, base: int = BASE) -> list[int]:
+    """Lengths of the levels: window, its half, the half of that, as long as they are at least base, and one below window at least; ascending."""
+    if window < 2:
+        raise ValueError("a window has two words at least")
+    out = [window]
+    while out[-1] // 2 >= base or len(out) == 1:
+        out.append(out[-1] // 2)
+    return out[::-1]
 
 
 class Windows:
-    """What both levels need of one chunk's documents, in ascending order of doc_id (null last), then text."""
-
-    def __init__(self, docs: pa.Table, window: int, n_buckets: int):
-        self.docs = docs = docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        self.words, self.n_buckets = Words(docs["text"]), n_buckets
-        half, n = window // 2, len(self.words.hash)
-        self.half = runs(self.words.hash, half)
-        self.full = combine(self.half, shifted(self.half, half + window % 2))
-        if window % 2:
-            self.full = combine(self.full, shifted(self.words.hash, half))
-        self.starts = np.flatnonzero(self.words.left() >= window)
-        # the smallest half window that starts within span places, the first one of equals
-        span, at, value, width = window - half + 1, np.arange(n), self.half, 1
+    """A chunk's windows of one level, in ascending order of doc_id (null last), then place of the row."""
+
+    def __init__(self, docs: pa.Table, lengths: list[int]):
+        self.docs = docs = docs.sort_by([("doc_id", "ascending"), ("row", "ascending")])
+        self.words, self.lengths = Words(docs["text"]), lengths
+        self.hashes = [runs(self.words.hash, lengths[0])]
+        for n in lengths[1:]:
+            half = self.hashes[-1]
+            full = combine(half, shifted(half, n // 2 + n % 2))
+            self.hashes.append(combine(full, shifted(self.words.hash, n // 2)) if n % 2 else full)
+
+    def starts(self, level: int) -> np.ndarray:
+        return np.flatnonzero(self.words.left() >= self.lengths[level])
+
+    def anchor_places(self, level: int, starts: np.ndarray) -> np.ndarray:
+        """Where the smallest window of the level before begins inside each window of level, the first of equals."""
+        value, n = self.hashes[level - 1], len(self.words.hash)
+        span, at, width = self.lengths[level] - self.lengths[level - 1] + 1, np.arange(n), 1
         while width < span:
             by = min(width, span - width)
             other = np.minimum(np.arange(n) + by, max(n - 1, 0))
             later = value[other] < value
             value, at, width = np.where(later, value[other], value), np.where(later, at[other], at), width + by
-        self.anchor_at = at[self.starts]
-        self.anchor = self.half[self.anchor_at]
-        self.own, counts = np.unique(self.half[np.unique(self.anchor_at)], return_counts=True)
-        order = np.lexsort((self.own, self.bucket(self.own)))
-        self.own, self.own_twice = self.own[order], counts[order] > 1
-
-    def bucket(self, anchors: np.ndarray) -> np.ndarray:
-        return ((anchors >> np.uint64(40)) % np.uint64(self.n_buckets)).astype(np.int64)
-
-    def parts(self) -> np.ndarray:
-        return parcels.bounds(self.bucket(self.own), self.n_buckets)
-
-    def doc_key(self) -> np.ndarray:
-        """doc_id of each row, the largest value for null."""
-        return self.docs["doc_id"].fill_null(np.iinfo(np.int64).max).to_numpy()
-
-    def candidates(self, replies: dict[int, bytes]) -> "Candidates":
-        """Full windows with a repeated anchor."""
-        repeated, parts = self.own_twice.copy(), self.parts()
-        for b, load in replies.items():
-            lo, hi = parts[b], parts[b + 1]
-            repeated[lo:hi] |= np.unpackbits(np.frombuffer(load, np.uint8), count=hi - lo).astype(bool)
-        by_value = np.argsort(self.own)
-        if len(self.own):
-            keep = repeated[by_value[np.searchsorted(self.own[by_value], self.anchor)]]
-        else:
-            keep = np.zeros(0, bool)
-        return Candidates(self, self.starts[keep], self.anchor[keep])
-
-
-class Candidates:
-    """Candidate windows; first: those first of their kind in this chunk, ordered by bucket, anchor and window hash."""
-
-    def __init__(self, windows: Windows, starts: np.ndarray, anchor: np.ndarray):
-        self.windows, self.starts = windows, starts
-        bucket, full = windows.bucket(anchor), windows.full[starts]
-        order = np.lexsort((starts, full, anchor, bucket))
-        a, f = anchor[order], full[order]
+        return at[starts]
+
+    def candidates(self, level: int, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the level's windows whose anchor is among repeated or occurs twice in the chunk, and their anchors."""
+        starts = self.starts(level)
+        places = self.anchor_places(level, starts)
+        anchor = self.hashes[level - 1][places]
+        own, counts = np.unique(self.hashes[level - 1][np.unique(places)], return_counts=True)
+        repeated = np.union1d(own[counts > 1], repeated)
+        at = np.minimum(np.searchsorted(repeated, anchor), max(len(repeated) - 1, 0))
+        keep = repeated[at] == anchor if len(repeated) else np.zeros(len(anchor), bool)
+        return starts[keep], anchor[keep]
+
+    def first_of_kind(self, starts: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+        """Which of the candidates (of the last level) are the first of their kind in the chunk: equal ones have both hashes equal."""
+        full = self.hashes[-1][starts]
+        order = np.lexsort((starts, full, anchor))
         new = np.ones(len(order), bool)
-        new[1:] = (a[1:] != a[:-1]) | (f[1:] != f[:-1])
-        self.first = order[new]
-        self.anchor, self.full, self.bucket = a[new], f[new], bucket[order][new]
-        text = windows.words.text[starts[self.first]]
-        self.doc, self.place = windows.doc_key()[text], starts[self.first] - windows.words.first[text]
-
-    def parts(self) -> np.ndarray:
-        return parcels.bounds(self.bucket, self.windows.n_buckets)
-
+        new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (full[order][1:] != full[order][:-1])
+        out = np.zeros(len(order), bool)
+        out[order[new]] = True
+        return out
 
-def sent(rows: list[tuple]) -> pa.Table:
-    kind, bucket, chunk, load = zip(*rows, strict=True) if rows else ([],) * 4
-    return pa.table({"kind": pa.array(kind, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "chunk": pa.array(chunk, pa.int64()), "load": pa.array(load, pa.binary())})
 
+def signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
-def five_bytes(x: np.ndarray) -> np.ndarray:
-    return x.astype("<u8").view(np.uint8).reshape(len(x), 8)[:, :5]
 
-
-def remove_repeats(docs: DataFrame, window: int = 20, chunk_bytes: int = parcels.CHUNK_BYTES, keep: tuple[str, ...] = (), as_is: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, chunk_bytes: int = parcels.CHUNK_BYTES, keep: tuple[str, ...] = (), as_is: bool = False, base: int = BASE) -> DataFrame:
     """doc_id, kept (text of the kept words, joined by one space), n_words, n_removed and the columns keep, for each row of docs (doc_id, text, ...).
 
     A word goes if a window of so many words that covers it also starts earlier: in a smaller doc_id, or in the same
     document further left. Null texts and texts without words give an empty kept text and zeros; texts shorter than
-    the window lose nothing. Null doc_ids come last; rows with equal doc_ids count in order of their chunk, equal ones
-    in any order. Other columns of docs are ignored. An empty table gives an empty one. With as_is, kept is the text itself
-    where nothing goes.
+    the window lose nothing. Null doc_ids come last; rows with equal doc_ids count one after the other, in the order in which
+    they are read. Other columns of docs are ignored. An empty table gives an empty one. With as_is, kept is the text itself
+    where nothing goes. Windows are equal where two hashes of 64 bits are, of themselves and of their anchor.
     """
     given = docs.schema
-    docs, chunks = parcels.deal(docs, chunk_bytes, keep)
-    n_buckets, names = parcels.buckets(chunks), ["doc_id", "kept", "n_words", "n_removed"]
-
-    def anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        w = Windows(table, window, n_buckets)
-        parts = w.parts()
-        rows = []
-        for b in range(n_buckets):
-            lo, hi = parts[b], parts[b + 1]
-            if hi > lo:
-                rows.append((1, b, key[0].as_py(), five_bytes(w.own[lo:hi] & LOW).tobytes() + np.packbits(w.own_twice[lo:hi]).tobytes()))
-        return sent(rows)
-
-    def repeated_anchors(table: pa.Table) -> pa.Table:
-        loads = table["load"].to_pylist()
-        counts = [len(x) * 8 // 41 for x in loads]
-        values = np.zeros((sum(counts), 8), np.uint8)
-        at = 0
-        for x, n in zip(loads, counts, strict=True):
-            values[at : at + n, :5] = np.frombuffer(x, np.uint8, 5 * n).reshape(n, 5)
-            at += n
-        values = values.view("<u8").reshape(-1)
-        _, inverse, total = np.unique(values, return_inverse=True, return_counts=True)
-        seen, ends = total[inverse] > 1, np.cumsum(counts)
-        chunk, b = table["chunk"].to_pylist(), table["bucket"].to_pylist()
-        return sent([(1, b[i], chunk[i], np.packbits(seen[e - n : e]).tobytes()) for i, (n, e) in enumerate(zip(counts, ends, strict=True)) if seen[e - n : e].any()])
+    docs, _ = parcels.deal(docs, chunk_bytes, keep)
+    names, lengths = ["doc_id", "kept", "n_words", "n_removed"], levels(window, base)
+    dealt = docs.groupBy("chunk")
+
+    def anchors(level: int, key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table | None = None) -> pa.Table:
+        if not table.num_rows:
+            return pa.table([pa.array([], LONG)] * 2, names=["hash", "chunk"])
+        w = Windows(table, lengths[: level + 1])
+        places = np.unique(w.anchor_places(level, w.starts(level)))
+        if replies is not None:
+            # an anchor that was no candidate at its own level isn't repeated
+            places = np.intersect1d(places, w.candidates(level - 1, replies["hash"].to_numpy().view(np.uint64))[0])
+        own = np.unique(w.hashes[level - 1][places])
+        return pa.table([signed(own), pa.array(np.full(len(own), key[0].as_py(), np.int64))], names=["hash", "chunk"])
+
+    def repeated(sent: DataFrame) -> DataFrame:
+        """Rows (hash, chunk) of hashes that several chunks have sent."""
+        n = F.count("*").over(Window.partitionBy("hash"))
+        return sent.withColumn("n", n).where("n > 1").select("hash", "chunk")
+
+    def first_anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return anchors(1, key, table)
+
+    def next_anchors(level: int):
+        return lambda key, table, replies: anchors(level, key, table, replies)
+
+    found = repeated(dealt.applyInArrow(first_anchors, "hash long, chunk long"))
+    for level in range(2, len(lengths)):
+        found = repeated(dealt.cogroup(found.groupBy("chunk")).applyInArrow(next_anchors(level), "hash long, chunk long"))
+
+    columns = [("anchor", LONG), ("full", LONG), ("doc", LONG), ("row", LONG), ("place", LONG), ("chunk", LONG)]
 
     def windows(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return sent([])
-        c = Windows(table, window, n_buckets).candidates(dict(zip(replies["bucket"].to_pylist(), replies["load"].to_pylist(), strict=True)))
-        parts = c.parts()
-        rows = []
-        for b in range(n_buckets):
-            s = slice(parts[b], parts[b + 1])
-            if s.stop > s.start:
-                rows.append((2, b, key[0].as_py(), parcels.pack(c.anchor[s], c.full[s], c.doc[s], c.place[s].astype(np.uint32))))
-        return sent(rows)
-
-    def later_windows(table: pa.Table) -> pa.Table:
-        loads = [parcels.unpack(x) for x in table["load"].to_pylist()]
-        chunk, b = table["chunk"].to_pylist(), table["bucket"].to_pylist()
-        anchor, full, doc, place = (np.concatenate(x) for x in zip(*loads, strict=True))
-        counts = [len(x[0]) for x in loads]
-        of = np.repeat(np.array(chunk), counts)
-        order = np.lexsort((of, place, doc, full, anchor))
-        later = np.zeros(len(order), bool)
-        later[order[1:]] = (anchor[order][1:] == anchor[order][:-1]) & (full[order][1:] == full[order][:-1])
-        ends = np.cumsum(counts)
-        return sent([(2, b[i], chunk[i], np.packbits(later[e - n : e]).tobytes()) for i, (n, e) in enumerate(zip(counts, ends, strict=True)) if later[e - n : e].any()])
+            return pa.schema(columns).empty_table()
+        w = Windows(table, lengths)
+        starts, anchor = w.candidates(len(lengths) - 1, replies["hash"].to_numpy().view(np.uint64))
+        one = w.first_of_kind(starts, anchor)
+        starts, anchor = starts[one], anchor[one]
+        text = w.words.text[starts]
+        doc = w.docs["doc_id"].fill_null(np.iinfo(np.int64).max).to_numpy()[text]
+        return pa.table([signed(anchor), signed(w.hashes[-1][starts]), pa.array(doc), pa.array(w.docs["row"].to_numpy()[text]), pa.array(starts - w.words.first[text]), pa.array(np.full(len(starts), key[0].as_py(), np.int64))], schema=pa.schema(columns))
 
     def kept(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.string()), *[pa.array([], pa.int64())] * 2, *(table[f"keep{i}"] for i in range(len(keep)))], names=[*names, *(f"keep{i}" for i in range(len(keep)))])
-        by_kind = {k: {b: x for kind, b, x in zip(replies["kind"].to_pylist(), replies["bucket"].to_pylist(), replies["load"].to_pylist(), strict=True) if kind == k} for k in (1, 2)}
-        w = Windows(table, window, n_buckets)
-        c = w.candidates(by_kind[1])
-        later, first_later, parts = np.ones(len(c.starts), bool), np.zeros(len(c.first), bool), c.parts()
-        for b, load in by_kind[2].items():
-            lo, hi = parts[b], parts[b + 1]
-            first_later[lo:hi] = np.unpackbits(np.frombuffer(load, np.uint8), count=hi - lo)
-        later[c.first] = first_later
+            return pa.table([pa.array([], LONG), pa.array([], pa.string()), *[pa.array([], LONG)] * 2, *(table[f"keep{i}"] for i in range(len(keep)))], names=[*names, *(f"keep{i}" for i in range(len(keep)))])
+        w = Windows(table, lengths)
+        first = w.words.first
+        starts, anchor = w.candidates(len(lengths) - 1, np.zeros(0, np.uint64))
+        again = starts[~w.first_of_kind(starts, anchor)]  # of a kind that the chunk itself has earlier
+        by_row = np.argsort(w.docs["row"].to_numpy())
+        text = by_row[np.searchsorted(w.docs["row"].to_numpy()[by_row], replies["row"].to_numpy())]
+        later = np.concatenate((again, first[text] + replies["place"].to_numpy()))
         cover = np.zeros(len(w.words.hash) + 1, np.int32)
-        np.add.at(cover, c.starts[later], 1)
-        np.add.at(cover, c.starts[later] + window, -1)
+        np.add.at(cover, later, 1)
+        np.add.at(cover, later + window, -1)
         stay = np.cumsum(cover)[:-1] == 0
-        first, out, removed = w.words.first, [], []
+        out, removed = [], []
         for i, text in enumerate(w.docs["text"].to_pylist()):
-            words, here = text.encode().split(), stay[first[i] : first[i + 1]]
-            removed.append(len(words) - int(here.sum()))
-            out.append(text if as_is and not removed[-1] else b" ".join([x for x, ok in zip(words, here.tolist(), strict=True) if ok] if removed[-1] else words).decode())
-        return pa.table([w.docs["doc_id"], pa.array(out, pa.string()), pa.array(np.diff(first), pa.int64()), pa.array(removed, pa.int64()), *(w.docs[f"keep{i}"] for i in range(len(keep)))], names=[*names, *(f"keep{i}" for i in range(len(keep)))])
-
-    dealt = docs.groupBy("chunk")
-    level1 = dealt.applyInArrow(anchors, SENT).groupBy("bucket").applyInArrow(repeated_anchors, SENT)
-    level2 = dealt.cogroup(level1.groupBy("chunk")).applyInArrow(windows, SENT).groupBy("bucket").applyInArrow(later_windows, SENT)
+            here = stay[first[i] : first[i + 1]]
+            removed.append(len(here) - int(here.sum()))
+            if as_is and not removed[-1]:
+                out.append(text)
+                continue
+            words = text.encode().split()
+            out.append(b" ".join([x for x, ok in zip(words, here.tolist(), strict=True) if ok] if removed[-1] else words).decode())
+        return pa.table([w.docs["doc_id"], pa.array(out, pa.string()), pa.array(np.diff(first), LONG), pa.array(removed, LONG), *(w.docs[f"keep{i}"] for i in range(len(keep)))], names=[*names, *(f"keep{i}" for i in range(len(keep)))])
+
+    sent = dealt.cogroup(found.groupBy("chunk")).applyInArrow(windows, ", ".join(f"{n} long" for n, _ in columns))
+    earlier = F.row_number().over(Window.partitionBy("full", "anchor").orderBy("doc", "row", "place")) - 1
+    later = sent.withColumn("earlier", earlier).where("earlier > 0").select("chunk", "row", "place")
     kinds = ["long", "string", "long", "long", *(given[c].dataType.simpleString() for c in keep)]
     schema = ", ".join(f"{n} {k}" for n, k in zip([*names, *(f"keep{i}" for i in range(len(keep)))], kinds, strict=True))
-    out = dealt.cogroup(level1.unionByName(level2).groupBy("chunk")).applyInArrow(kept, schema)
+    out = dealt.cogroup(later.groupBy("chunk")).applyInArrow(kept, schema)
     return out.select(*names, *(F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)))
 
 

@@ -1,8 +1,14 @@
-"""Words [^\\x20\\x09-\\x0D]+ of Arrow string columns as 64-bit hashes, computed for many documents at once."""
+"""Words [^\\x20\\x09-\\x0D]+ of Arrow string columns as 64-bit hashes, computed for many documents at once.
+
+Sums of powers modulo 2 ** 64 can be made to collide by strings of a thousand bytes and more (of the kind that
+doubles itself with its complement), so words over LONG bytes are hashed by xxh3 instead.
+"""
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
+LONG = 64
 #: Multipliers of the hash mix (odd 64-bit constants).
 MIX_A, MIX_B, GOLDEN = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
 BASE = 0xD6E8FEB86659FD93
@@ -19,6 +25,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(GOLDEN))
+LOWERED = np.arange(256, dtype=np.uint8)
+LOWERED[65:91] += 32
 LOWER = BYTES.copy()
 LOWER[65:91] = BYTES[97:123]
 
@@ -67,6 +75,10 @@ class Words:
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((LOWER if lower else BYTES)[data] * power, out=total[1:])
         self.hash = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(GOLDEN))
+        long = np.flatnonzero(end - start > LONG)
+        if len(long):
+            raw = (LOWERED[data] if lower else data).tobytes()
+            self.hash[long] = [xxhash.xxh3_64_intdigest(raw[b:e]) for b, e in zip(start[long].tolist(), end[long].tolist(), strict=True)]
         self.first = np.searchsorted(start, at)
         self.text = np.repeat(np.arange(len(at) - 1), np.diff(self.first))
         self.start, self.end = start, end

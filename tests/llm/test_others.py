@@ -5,11 +5,12 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from hubflow.llm import matroska, mixing, quality, top_k
+from hubflow.llm import matroska, mixing, quality, substring_dedup, top_k, words
 from hubflow.llm.substring_dedup import remove_repeats
 
 
@@ -28,8 +29,8 @@ def brute_repeats(docs, window):
     return out
 
 
-@pytest.mark.parametrize("window", [2, 3, 7, 20])
-def test_repeats_against_every_window(spark, window):
+@pytest.mark.parametrize("window, base", [(2, 10), (3, 10), (7, 1), (7, 2), (20, 10), (20, 5), (21, 2)])
+def test_repeats_against_every_window(spark, window, base):
     rng = random.Random(window)
     passage = [f"p{i}" for i in range(60)]
     docs = []
@@ -39,11 +40,16 @@ def test_repeats_against_every_window(spark, window):
             a = rng.randint(0, 30)
             words[5:5] = passage[a : a + rng.randint(5, 30)] * rng.randint(1, 2)
         docs.append((i, " ".join(words) if i % 17 else None))
-    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    got = sorted((r.doc_id, r.kept, r.n_words, r.n_removed) for r in remove_repeats(df, window, 1500).collect())
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5, "doc_id")
+    got = sorted((r.doc_id, r.kept, r.n_words, r.n_removed) for r in remove_repeats(df, window, 1500, base=base).collect())
     assert got == sorted(brute_repeats(docs, window))
 
 
+def test_levels():
+    assert substring_dedup.levels(20) == [10, 20] and substring_dedup.levels(50) == [12, 25, 50] and substring_dedup.levels(160) == [10, 20, 40, 80, 160]
+    assert substring_dedup.levels(2) == [1, 2] and substring_dedup.levels(21, 2) == [2, 5, 10, 21]
+
+
 def test_repeats_of_odd_rows(odd, clashing, empty):
     for df in (odd, clashing):
         rows = remove_repeats(df).collect()
@@ -56,6 +62,25 @@ def test_repeats_of_odd_rows(odd, clashing, empty):
     assert remove_repeats(empty).count() == 0
 
 
+def test_repeated_rows_count_one_after_the_other(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(5, text), (5, text), (5, "x " + text), (None, text), (None, text), (9, "")], "doc_id long, text string")
+    for chunk_bytes in (10, 10**6):
+        got = sorted((r.doc_id is None, r.n_removed) for r in remove_repeats(docs, chunk_bytes=chunk_bytes).collect())
+        assert got == [(False, 0), (False, 0), (False, 30), (False, 30), (True, 30), (True, 30)]
+
+
+def test_words_made_to_collide():
+    """A string and its complement, each made by doubling, have equal sums of powers modulo 2 ** 64."""
+    one, two = "a", "b"
+    for _ in range(11):
+        one, two = one + two, two + one
+    found = words.Words(pa.array([one, two, one[:64], two[:64], "A" * 70, "a" * 70, one]))
+    assert len(set(found.hash.tolist())) == 6 and found.hash[0] == found.hash[6]
+    low = words.Words(pa.array(["A" * 70, "a" * 70, "AbC", "abc"]), lower=True).hash
+    assert low[0] == low[1] and low[2] == low[3]
+
+
 def test_matroska_lacing():
     for n in (1, 2, 64, 65, 1024, 1025, 3000):
         for kind in (matroska.XIPH, matroska.FIXED, matroska.VARIABLE):
