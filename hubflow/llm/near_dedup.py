@@ -6,23 +6,42 @@ and a text keeps its earliest dart of each number; two texts keep the same one w
 weighted Jaccard similarity. Texts that agree in all coordinates of a band meet in a bucket.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hubflow.llm.components import components
-from hubflow.llm.scratch import written
+from hubflow.llm.scratch import release, written
 from hubflow.llm.words import GOLDEN, Words, combine, mix, runs, slices
 
 SHINGLE, SIMILAR = 5, 0.8
-#: 24 bands of 4: a pair of similarity 0.8 shares none with a probability of 0.000003.
-BANDS, ROWS = 24, 4
-COORDINATES = BANDS * ROWS
-#: Of the coordinates that two texts of similarity 0.8 agree in, fewer than so many with a probability of 0.0003.
-AGREE = 63
-#: Documents of one block that is compared as a whole; larger components are compared block by block.
-BLOCK = 1500
+#: Coordinates of a signature.
+COORDINATES = 96
+#: A pair of the asked similarity may share no band, and agree in fewer coordinates than are asked for, with these probabilities.
+NO_BAND, TOO_FEW = 0.000004, 0.0003
+#: Texts, and bytes of them, of a block that one task compares.
+BLOCK, BLOCK_BYTES = 4096, 16_000_000
+
+
+def banding(similar: float) -> int:
+    """Coordinates of a band: as many as leave a pair of that similarity without a common band with a probability of NO_BAND at most. 4 for 0.8."""
+    for rows in (8, 6, 4, 3, 2, 1):
+        if (1 - similar**rows) ** (COORDINATES // rows) <= NO_BAND:
+            return rows
+    raise ValueError(f"signatures of {COORDINATES} coordinates are too short for a similarity of {similar}")
+
+
+def agreement(similar: float) -> int:
+    """In how many coordinates a pair of that similarity agrees at least, but for a probability of TOO_FEW. 62 for 0.8."""
+    total = 0.0
+    for n in range(COORDINATES + 1):
+        total += math.comb(COORDINATES, n) * similar**n * (1 - similar) ** (COORDINATES - n)
+        if total > TOO_FEW:
+            return n
+    return COORDINATES
 
 
 class Shingles:
@@ -108,19 +127,20 @@ def darts(shingles: Shingles, k: int = COORDINATES) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, copy (hash of the whole text), sign (a byte of each coordinate), bands (a hash of each band; empty without words)."""
+def signatures(docs: DataFrame, shingle: int = SHINGLE, rows: int = 4) -> DataFrame:
+    """doc_id, copy (hash of the whole text), sign (a byte of each coordinate), bands (a hash of each so many coordinates; empty without words)."""
+    n_bands = COORDINATES // rows
 
     def compute(batches):
         for batch in batches:
             for begin, end in slices(batch["text"]):
                 part = batch.slice(begin, end - begin)
                 found = darts(Shingles(part["text"], shingle))
-                bands = found.reshape(len(found) * BANDS, ROWS)
-                hashes = bands[:, 0] + np.tile(np.arange(BANDS, dtype=np.uint64), len(found)) * np.uint64(GOLDEN)
-                for i in range(1, ROWS):
+                bands = found.reshape(len(found) * n_bands, rows)
+                hashes = bands[:, 0] + np.tile(np.arange(n_bands, dtype=np.uint64), len(found)) * np.uint64(GOLDEN)
+                for i in range(1, rows):
                     hashes = combine(hashes, bands[:, i])
-                hashes = hashes.view(np.int64).reshape(-1, BANDS)
+                hashes = hashes.view(np.int64).reshape(-1, n_bands)
                 some = found.any(1)
                 sign = (found >> np.uint64(40)).astype(np.uint8)
                 yield pa.record_batch([part["doc_id"], part["copy"], pa.array([x.tobytes() for x in sign], pa.binary()), pa.array([h.tolist() if ok else [] for h, ok in zip(hashes, some.tolist(), strict=True)], pa.list_(pa.int64()))], names=["doc_id", "copy", "sign", "bands"])
@@ -128,62 +148,144 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.mapInArrow(compute, "doc_id long, copy binary, sign binary, bands array<long>")
 
 
-def linked_in_bucket(sign: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links between texts that agree in AGREE coordinates: a text that is reached isn't compared again, but from it are those not reached yet."""
-    left, out = np.arange(1, len(sign)), []
-    queue, root = [0], 0
-    while len(left):
-        if not queue:
-            root, left = int(left[0]), left[1:]
-            queue = [root]
-            continue
-        x = queue.pop()
-        near = (sign[left] == sign[x]).sum(1) >= AGREE
-        out += [(x, y) for y in left[near].tolist()]
-        queue += left[near].tolist()
-        left = left[~near]
-    return out
-
-
-def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    common = int(np.minimum(a[1][i], b[1][j]).sum())
-    return common / max(1, int(a[1].sum()) + int(b[1].sum()) - common)
-
-
-def linked(sign: np.ndarray, left: np.ndarray, shingles: Shingles, similar: float) -> list[tuple[int, int]]:
-    """A spanning forest of the links of at least that exact similarity. left: the half of the block each text is in, 0 or 1, or 2 where all are compared with all.
-
-    Pairs that agree in AGREE coordinates are checked in order of agreement; those already connected are passed over.
+class Block:
+    """Texts that are compared: by their signatures, and where texts are given by the exact weighted Jaccard similarity of those that agree enough."""
+
+    def __init__(self, table: pa.Table, similar: float, shingle: int):
+        self.similar, self.least = similar, agreement(similar)
+        self.node = table["node"].to_numpy()
+        self.sign = np.frombuffer(b"".join(table["sign"].to_pylist()), np.uint8).reshape(len(self.node), COORDINATES)
+        self.shingles = Shingles(table["text"], shingle) if "text" in table.column_names else None
+        if self.shingles:
+            own, self.ids = np.unique(self.shingles.key & np.uint64((1 << 48) - 1), return_inverse=True)
+            self.weight_of = np.zeros(len(own), np.int64)
+
+    def near(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Those of others that are linked to x."""
+        others = others[(self.sign[others] == self.sign[x]).sum(1) >= self.least]
+        s = self.shingles
+        if s is None or not len(others):
+            return others
+        own = slice(s.first[x], s.first[x + 1])
+        self.weight_of[self.ids[own]] = s.weight[own]
+        size = s.first[others + 1] - s.first[others]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1]) + np.repeat(s.first[others] - ends + size, size)
+        common = np.diff(np.concatenate(([0], np.cumsum(np.minimum(s.weight[at], self.weight_of[self.ids[at]]))))[np.concatenate(([0], ends))])
+        self.weight_of[self.ids[own]] = 0
+        return others[common >= self.similar * (s.total[x] + s.total[others] - common) - 1e-9]
+
+    def forest(self) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """Links that connect all that is linked, and the first text of each one's group: a text that is reached isn't compared again, but from it are those not reached yet."""
+        left, out, root = np.arange(len(self.node)), [], np.arange(len(self.node))
+        while len(left):
+            first, left = int(left[0]), left[1:]
+            queue = [first]
+            while queue and len(left):
+                x = queue.pop()
+                near = self.near(x, left)
+                root[near] = first
+                out += [(x, y) for y in near.tolist()]
+                queue += near.tolist()
+                left = np.setdiff1d(left, near, assume_unique=True)
+        return out, root
+
+    def bridges(self, label: np.ndarray, outside: np.ndarray) -> list[tuple[int, int]]:
+        """Links of texts that stand outside of the largest group with those of other labels; two labels that are linked are one from then on."""
+        label, out = label.copy(), []
+        for x in np.flatnonzero(outside).tolist():
+            while len(near := self.near(x, np.flatnonzero(label != label[x]))):
+                out.append((x, int(near[0])))
+                label[label == label[near[0]]] = label[x]
+        return out
+
+
+MADE = "kind int, grp long, a long, b long"
+LINK, MEMBER = 0, 1
+
+
+def made(kind: list[int], grp: list[int], a: list[int], b: list[int]) -> pa.Table:
+    return pa.table([pa.array(kind, pa.int32()), *(pa.array(x, pa.int64()) for x in (grp, a, b))], names=["kind", "grp", "a", "b"])
+
+
+def connect(items: DataFrame, similar: float, shingle: int, block: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Links a, b between nodes that connect, within each group of items (grp, node, sign, size and maybe text), all that is linked there.
+
+    A group of over block rows, or block_bytes of size, is cut into tiles by hash. Each tile is connected within itself; then the first
+    of each tile's parts are connected with each other; what still stands outside of a group's largest part is compared with the
+    other tiles, block by block. So copies of one text cost a row each, and no task holds more than two blocks.
     """
-    n, pairs = len(sign), []
-    for i in range(n - 1):
-        agree = (sign[i + 1 :] == sign[i]).sum(1)
-        agree[(left[i + 1 :] == left[i]) & (left[i] < 2)] = 0
-        near = np.flatnonzero(agree >= AGREE)
-        if len(near):
-            pairs.append(np.column_stack((np.full(len(near), i), near + i + 1, agree[near])))
-    if not pairs:
-        return []
-    pairs = np.concatenate(pairs)
-    pairs = pairs[np.argsort(-pairs[:, 2], kind="stable")]
-    label, out = np.arange(n), []
-    for begin in range(0, len(pairs), 4096):
-        part = pairs[begin : begin + 4096]
-        part = part[label[part[:, 0]] != label[part[:, 1]]]
-        for x, y, _ in part.tolist():
-            if label[x] != label[y] and weighted_jaccard(shingles.of(x), shingles.of(y)) >= similar:
-                label[label == label[y]] = label[x]
-                out.append((x, y))
-    return out
-
-
-LINKS = "a long, b long"
-
-
-def links_table(pairs: list[tuple[int, int]]) -> pa.Table:
-    a, b = zip(*pairs, strict=True) if pairs else ((), ())
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    names = [c for c in ("node", "sign", "text") if c in items.columns]
+    large = items.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    tiles = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / block_bytes))
+    large = written(large.select("grp", tiles.cast("int").alias("tiles")).where("tiles > 1"), "large-groups")
+    bins = max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), items.count() // 500)
+    tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    cut = items.join(large, "grp", "left").withColumn("tile", F.coalesce(tile, F.lit(-1)))
+    where = F.when(F.col("tiles").isNull(), F.pmod(F.xxhash64("grp"), F.lit(bins))).otherwise(F.xxhash64("grp", "tile"))
+
+    def groups(table: pa.Table, by: tuple[str, ...]):
+        """Tables of equal values of by, each node once."""
+        keys = [table[c].to_numpy() for c in (*by, "node")]
+        order = np.lexsort(keys[::-1])
+        keys = np.column_stack([k[order] for k in keys])
+        once = np.ones(len(keys), bool)
+        once[1:] = (keys[1:] != keys[:-1]).any(1)
+        table, keys = table.take(order[once]), keys[once]
+        ends = np.flatnonzero(np.concatenate(([True], (keys[1:, :-1] != keys[:-1, :-1]).any(1), [True])))
+        for b, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            yield table.slice(b, e - b)
+
+    def inside(table: pa.Table) -> pa.Table:
+        out: tuple[list[int], ...] = ([], [], [], [])
+
+        def add(kind, grp, a, b):
+            for x, v in zip(out, (kind, grp, a, b), strict=True):
+                x.append(v)
+
+        for part in groups(table, ("grp", "tile")):
+            grp, of = part["grp"][0].as_py(), Block(part, similar, shingle)
+            links, root = of.forest()
+            for x, y in links:
+                add(LINK, grp, int(of.node[x]), int(of.node[y]))
+            if part["tile"][0].as_py() >= 0:
+                for x, r in enumerate(root.tolist()):
+                    add(MEMBER, grp, int(of.node[x]), int(of.node[r]))
+        return made(*out)
+
+    within = written(cut.select(where.alias("bin"), "grp", "tile", *names).groupBy("bin").applyInArrow(inside, MADE), "links")
+    links = within.where(F.col("kind") == LINK).select("a", "b")
+    if large.isEmpty():
+        return links
+    members = within.where(F.col("kind") == MEMBER).select("grp", F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = members.where("node = root").select("grp", "node")
+    few = roots.groupBy("grp").count().where(F.col("count") <= block).select("grp")
+    tops = items.select("grp", *names).join(roots, ["grp", "node"]).join(few, "grp").withColumn("tile", F.lit(0))
+    between = written(tops.withColumn("bin", F.pmod(F.xxhash64("grp"), F.lit(bins))).groupBy("bin").applyInArrow(inside, MADE), "links")
+    links = links.unionByName(between.where(F.col("kind") == LINK).select("a", "b"))
+    label = between.where(F.col("kind") == MEMBER).select("grp", F.col("a").alias("root"), F.col("b").alias("label"))
+    members = written(members.join(label, ["grp", "root"], "left").select("grp", "node", F.coalesce("label", "root").alias("label")), "members")
+    sizes = members.groupBy("grp", "label").count()
+    largest = sizes.groupBy("grp").agg(F.max_by("label", F.struct("count", "label")).alias("largest"), (F.sum("count") - F.max("count")).alias("outside")).where("outside > 0")
+    open_groups = written(largest.join(large, "grp"), "open-groups")
+    if open_groups.isEmpty():
+        return links
+    slices = F.ceil(F.col("outside") / block).cast("int")
+    rest = cut.select("grp", "tile", *names).join(members.join(open_groups, "grp").withColumn("slices", slices), ["grp", "node"])
+    stands_outside = F.col("label") != F.col("largest")
+    at_home = rest.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).withColumn("outside", F.lit(False))
+    visiting = rest.where(stands_outside).withColumn("slice", F.pmod(F.xxhash64("node", F.lit(1)), F.col("slices")).cast("int")).withColumn("from", F.col("tile"))
+    visiting = visiting.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("tile != from").withColumn("outside", F.lit(True))
+    columns = ["grp", "tile", "slice", "label", "outside", *names]
+
+    def across(table: pa.Table) -> pa.Table:
+        of = Block(table, similar, shingle)
+        found = of.bridges(table["label"].to_numpy(), table["outside"].to_numpy(zero_copy_only=False))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table([pa.array(of.node[list(x)], pa.int64()) for x in (a, b)], names=["a", "b"])
+
+    bridges = at_home.select(columns).unionByName(visiting.select(columns)).groupBy("grp", "tile", "slice").applyInArrow(across, "a long, b long")
+    return links.unionByName(bridges)
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
@@ -195,58 +297,30 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, shingle: int = SH
     one document: its class holds what any of its texts is linked to. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    known = docs.where("doc_id is not null")
-    signed = written(signatures(known.withColumn("copy", F.unhex(F.md5("text"))), shingle), "signatures")
-    # equal texts first: of each only one goes on
-    texts = written(signed.groupBy("copy").agg(F.min("doc_id").alias("doc_id"), F.first("sign").alias("sign"), F.first("bands").alias("bands")), "texts")
-    copies = signed.select("doc_id", "copy").join(texts.select("copy", F.col("doc_id").alias("first")), "copy").select("doc_id", "first")
-
-    buckets = texts.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").count().where("count > 1").select("bucket")
-    parts = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    meeting = buckets.join(shared, "bucket").join(texts.select("doc_id", "sign"), "doc_id").withColumn("part", F.pmod(F.xxhash64("bucket"), F.lit(parts)))
-
-    def meet(table: pa.Table) -> pa.Table:
-        bucket, ids = table["bucket"].to_numpy(), table["doc_id"].to_numpy()
-        order = np.lexsort((ids, bucket))
-        sign = np.frombuffer(b"".join(table["sign"].to_pylist()), np.uint8).reshape(len(ids), COORDINATES)[order]
-        bucket, ids = bucket[order], ids[order]
-        begins = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-        pairs = set()
-        for b, e in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
-            pairs.update((int(ids[b + x]), int(ids[b + y])) for x, y in linked_in_bucket(sign[b:e]))
-        return links_table(sorted(pairs))
-
-    near = components(meeting.select("part", "bucket", "doc_id", "sign").groupBy("part").applyInArrow(meet, LINKS))
-    sizes = near.groupBy("component").count()
-    members = near.join(sizes, "component").withColumn("tiles", F.ceil(F.col("count") / block).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    # a block for each pair of tiles; all components of one tile are dealt into bins
-    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.struct(F.least("tile", j).alias("i"), F.greatest("tile", j).alias("j")))
-    bins = max(12, near.count() // 500)
-    bin_of = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.xxhash64("component", "at.i", "at.j"))
-    members = members.withColumn("at", F.explode(pairs)).select(bin_of.alias("bin"), "component", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "tile", F.col("node").alias("doc_id"))
-    members = members.join(texts.select("doc_id", "copy", "sign"), "doc_id")
-    blocks = members.join(known.withColumn("copy", F.unhex(F.md5("text"))).select("doc_id", F.col("copy").alias("its"), "text"), "doc_id").where("its = copy")
-
-    def check(table: pa.Table) -> pa.Table:
-        out = []
-        where = np.column_stack([table[c].to_numpy() for c in ("component", "i", "j")])
-        order = np.lexsort((table["doc_id"].to_numpy(), where[:, 2], where[:, 1], where[:, 0]))
-        table, where = table.take(order), where[order]
-        begins = np.flatnonzero(np.concatenate(([True], (where[1:] != where[:-1]).any(1), [True])))
-        for b, e in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
-            part = table.slice(b, e - b)
-            ids, i, j = part["doc_id"].to_numpy(), where[b][1], where[b][2]
-            _, one = np.unique(ids, return_index=True)  # repeated rows
-            part, ids = part.take(one), ids[one]
-            sign = np.frombuffer(b"".join(part["sign"].to_pylist()), np.uint8).reshape(len(ids), COORDINATES)
-            half = np.full(len(ids), 2) if i == j else (part["tile"].to_numpy() == j).astype(int)
-            out += [(int(ids[x]), int(ids[y])) for x, y in linked(sign, half, Shingles(part["text"], shingle), similar)]
-        return links_table(out)
-
-    exact = blocks.select("bin", "component", "i", "j", "tile", "doc_id", "sign", "text").groupBy("bin").applyInArrow(check, LINKS)
-    ids = components(exact.unionByName(copies.where("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))))
-    out = known.select("doc_id").join(ids, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
+    known = docs.where("doc_id is not null").withColumn("copy", F.unhex(F.md5("text")))
+    signed = written(signatures(known, shingle, banding(similar)), "signatures")
+    # equal texts first: of each only one goes on, under a number of its own
+    one = signed.groupBy("copy").agg(F.min("doc_id").alias("doc_id"), F.first("sign").alias("sign"), F.first("bands").alias("bands"))
+    texts = written(one.withColumn("node", F.monotonically_increasing_id()), "texts")
+    of_docs = written(signed.select("doc_id", "copy").join(texts.select("copy", "node"), "copy").select("doc_id", "node"), "texts-of-documents")
+
+    buckets = texts.select("node", F.explode("bands").alias("grp"))
+    shared = buckets.withColumn("n", F.count("*").over(Window.partitionBy("grp"))).where("n > 1").drop("n")
+    met = written(shared.join(texts.select("node", "sign"), "node").withColumn("size", F.lit(COORDINATES)), "buckets")
+    likely = components(connect(met, similar, shingle, block))
+    release(met)
+    members = likely.join(texts.select("node", "doc_id", "copy", "sign"), "node").select(F.col("component").alias("grp"), "node", "doc_id", "copy", "sign")
+    first = F.row_number().over(Window.partitionBy("doc_id", "copy").orderBy(F.lit(0)))  # of repeated rows
+    whole = known.withColumn("n", first).where("n = 1").select("doc_id", "copy", "text")
+    items = members.join(whole, ["doc_id", "copy"]).select("grp", "node", "sign", F.octet_length("text").alias("size"), "text")
+    exact = connect(written(items, "likely-copies"), similar, shingle, block)
+    least = F.min("node").over(Window.partitionBy("doc_id"))
+    same = of_docs.withColumn("least", least).where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    groups = components(exact.unionByName(same))
+    classes = groups.join(texts.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    class_of = groups.join(classes, "component").select("node", "class_id")
+    alone = texts.select("node", "doc_id").join(class_of, "node", "left").select("node", F.coalesce("class_id", "doc_id").alias("class_id"))
+    out = of_docs.join(alone, "node").select("doc_id", "class_id")
     return out.unionByName(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id")))
 
 

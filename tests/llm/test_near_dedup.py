@@ -52,22 +52,45 @@ def test_classes_against_all_pairs(spark, sf_dir):
     assert got == brute_classes(docs)
 
 
-def test_large_group_in_several_blocks(spark):
-    """Copies at all distances of one text, compared block by block."""
-    rng = random.Random(3)
+def mutated(n, seed=3, most=9):
+    """Copies at all distances of one text, and other texts."""
+    rng = random.Random(seed)
     base = [f"w{i}" for i in range(150)]
     docs = []
-    for i in range(300):
+    for i in range(n):
         words = list(base)
-        for _ in range(rng.randint(0, 9)):
+        for _ in range(rng.randint(0, most)):
             words[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
         docs.append((i, " ".join(words)))
-    docs += [(300 + i, " ".join(f"{i}y{j}" for j in range(30))) for i in range(50)]
+    return docs + [(n + i, " ".join(f"{i}y{j}" for j in range(30))) for i in range(50)]
+
+
+@pytest.mark.parametrize("block", [20, 50, 1500])
+def test_large_group_in_several_blocks(spark, block):
+    docs = mutated(300)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     expected = brute_classes(docs)
     assert 10 < len(set(expected.values())) < 250
-    for block in (50, 1500):
-        assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df, block=block).collect()} == expected
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df, block=block).collect()} == expected
+
+
+def test_other_similarities(spark):
+    assert (near_dedup.banding(0.8), near_dedup.agreement(0.8)) == (4, 62)
+    docs = mutated(120, most=20)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for similar in (0.6, 0.95):
+        assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df, similar).collect()} == brute_classes(docs, similar)
+    with pytest.raises(ValueError):
+        near_dedup.banding(0.05)
+
+
+def test_every_text_of_a_document_counts(spark):
+    """doc_id 1 has two texts, each linked to another document; rows are repeated."""
+    one, two = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    near = lambda x: " ".join([*x[:59], "z"])
+    docs = [(1, " ".join(one)), (1, " ".join(two)), (1, " ".join(two)), (5, near(one)), (6, near(two)), (6, near(two)), (7, "c"), (0, " ".join(f"d{i}" for i in range(9)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted((r.doc_id, r.class_id) for r in near_dedup.near_duplicates(df).collect()) == [(0, 0), (1, 1), (1, 1), (1, 1), (5, 1), (6, 1), (6, 1), (7, 7)]
 
 
 @pytest.mark.parametrize("frame", ["odd", "clashing"])
@@ -93,7 +116,8 @@ def test_equal_coordinates_estimate_weighted_jaccard():
     assert (found != 0).all() and rng
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [5, 100_000])
+def test_components(spark, hub):
     rng = np.random.default_rng(6)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + i, 1001 + i) for i in range(40)]
     parent = {x: x for e in links for x in e}
@@ -106,5 +130,7 @@ def test_components(spark):
     for a, b in links:
         a, b = sorted((find(a), find(b)))
         parent[b] = a
-    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    links += [(2000, 2001 + i) for i in range(60)]
+    parent |= {2000 + i: 2000 for i in range(61)}
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), hub).collect()}
     assert got == {x: find(x) for x in parent if any(x in e and e[0] != e[1] for e in links)}
