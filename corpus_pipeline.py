@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences, in stages that each rest on one operator of hubflow.llm."""
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hubflow.llm import tokens
@@ -26,9 +26,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id; rows without doc_id stay."""
+    """Of each group of near-duplicates the document with the smallest doc_id; rows without doc_id stay. Of several rows of that doc_id the one whose text has the smallest hash stays, on every run."""
     first = near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    order = Window.partitionBy("doc_id").orderBy(F.md5("text"), "lang", "source", "n_chars")
+    kept = docs.join(first, "doc_id", "left_semi").withColumn("place", F.row_number().over(order)).where("place = 1")
     return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
@@ -39,11 +40,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    key = F.coalesce(F.col("doc_id"), F.xxhash64("text"))
-    copies = mix(docs.select(key.alias("doc_id"), "text", "source")).groupBy("doc_id").agg(F.sum("copies").alias("copies")).where("copies > 0")
-    rows = docs.withColumn("key", key).dropDuplicates(["key"]).join(copies.withColumnRenamed("doc_id", "key"), "key")
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    """Each document as often as the mix takes it: not at all, once or twice. Rows of equal doc_id, source and text are one with as many copies as they get together; without doc_id too."""
+    parts = (F.coalesce(c, F.lit("-")) for c in (F.col("doc_id").cast("string"), F.md5("source"), F.md5("text")))
+    keyed = docs.select(*COLUMNS).withColumn("key", F.unhex(F.md5(F.concat_ws("|", *parts))))
+    copies = mix(keyed.select("doc_id", "text", "source", "key"), keep=("key",)).groupBy("key").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
+    order = Window.partitionBy("key").orderBy("lang", "n_chars")
+    rows = keyed.withColumn("place", F.row_number().over(order)).where("place = 1").join(copies, "key")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

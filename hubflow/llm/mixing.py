@@ -93,7 +93,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     hash of doc_id (of equal doc_ids any). Sizes of 0 are never taken once more. A null source is a source. An empty table
     gives no rows.
     """
-    kept = [F.col(f"`{c}`") for c in keep if c not in ("doc_id", "source")]
+    kept = [F.col(f"`{c}`").alias(f"keep{i}") for i, c in enumerate(keep) if c not in ("doc_id", "source")]
+    back = [F.col(f"keep{i}").alias(c) for i, c in enumerate(keep) if c not in ("doc_id", "source")]
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
     sized = written(docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), key.alias("key"), size.alias("size"), *kept), "mixing-sizes")
@@ -116,7 +117,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     cuts = dealt.groupBy("key", "size", "cut").count().select("key", "size", "cut", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("key", "size", "cut").orderBy("draw", "doc_id"))
     out = dealt.join(cuts, ["key", "size", "cut"]).withColumn("copies", F.col("base") + (F.col("before") + rank <= F.col("more")).cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["source"] if "source" in keep else []), *kept)
+    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["source"] if "source" in keep else []), *back)
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
