@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hubflow.llm.components import components
+from hubflow.llm.components import HUB, components, hubs, joined
 from hubflow.llm.scratch import release, written
 from hubflow.llm.words import GOLDEN, Words, combine, mix, runs, slices
 
@@ -320,7 +320,8 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, shingle: int = SH
     classes = groups.join(texts.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("class_id"))
     class_of = groups.join(classes, "component").select("node", "class_id")
     alone = texts.select("node", "doc_id").join(class_of, "node", "left").select("node", F.coalesce("class_id", "doc_id").alias("class_id"))
-    out = of_docs.join(alone, "node").select("doc_id", "class_id")
+    alone = alone.withColumnRenamed("node", "its")
+    out = joined(of_docs, "node", "doc_id", alone, "its", hubs(of_docs, "node", HUB)).select("doc_id", "class_id")
     return out.unionByName(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id")))
 
 

@@ -8,7 +8,7 @@ a key that a third of all documents hold is sent once by a chunk, never once by
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 4_000_000
@@ -29,7 +29,11 @@ def deal(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, keep: tuple[str, ...]
     total, rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     n = max(1, -(-(total or 0) // chunk_bytes), rows // 50_000)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // TASK_BYTES))
-    return docs.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(n))).repartition(parts, "chunk"), n
+    return docs.withColumn("chunk", chunk_of("row", n)).repartition(parts, "chunk"), n
+
+
+def chunk_of(row: str, chunks: int) -> Column:
+    return F.pmod(F.xxhash64(row), F.lit(chunks))
 
 
 def buckets(chunks: int) -> int:

@@ -3,9 +3,9 @@
 A customer of a context's restaurant is an occurrence of a word behind that context, its dish; each table sends one
 customer to the parent, whose own tables draw from all known words and one for the unknown, alike. Seatings are sampled
 by Gibbs in rounds: all contexts given a rough parent, the parent given their tables, all contexts given that parent,
-with the predictive probabilities of the last sweeps averaged. Contexts are dealt into buckets by hash, so a bucket's
-restaurants are sampled together; what the words of a restaurant and the parent have to know of each other travels
-packed (see parcels).
+with the predictive probabilities of the last sweeps averaged. In each sweep every customer is seated anew. Contexts are
+dealt into buckets by hash, those of very many customers in parts by word; what the words of a restaurant and the
+parent have to know of each other travels packed, and only where there is something to say.
 """
 
 import numpy as np
@@ -19,9 +19,13 @@ from hubflow.llm.words import Words
 #: Strengths of contexts and parent, sweeps of the rough round, and of the last one (not counted, averaged).
 STRENGTH, PARENT_STRENGTH = 1.0, 1.0
 ROUGH, BURN_IN, AVERAGED = 3, 3, 4
+#: Dishes of at most so many customers have their tables drawn at once; those of more are seated anew in so many batches.
+SMALL, BATCHES = 512, 8
+#: Training customers of a context for each part that its restaurant is dealt into.
+PART = 200_000
 #: What stands for the start of a text (a context only) and for its end (a token).
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
-SENT = "kind int, to long, of long, load binary"
+SENT = "kind int, to long, of long, load binary, a double, b double, c double"
 LONG = pa.int64()
 
 
@@ -31,75 +35,114 @@ def discount(counts: np.ndarray) -> float:
     return min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
 
 
+def log_stirling(n: int, d: float) -> np.ndarray:
+    """Logarithms of generalised Stirling numbers: [c, t] for c customers at t tables under discount d."""
+    out = np.full((n + 1, n + 1), -np.inf)
+    if n:
+        out[1, 1] = 0.0
+    for c in range(1, n):
+        t = np.arange(1, c + 2)
+        with np.errstate(divide="ignore"):
+            out[c + 1, 1 : c + 2] = np.logaddexp(out[c, t - 1], out[c, 1 : c + 2] + np.log(np.maximum(c - d * t, 0)))
+    return out
+
+
 class Seating:
-    """Tables of each dish. count: its customers; room: the number of its restaurant; parent: its probability there; scale: restaurants' tables in all by those seen here."""
+    """Tables of each dish. count: its customers; room: the number of its restaurant; parent: its probability there; scale: of each room, its tables in all by those seen here.
+
+    Given the other tables of its room, the number of a dish's tables has a known distribution, from which it is drawn where
+    a dish has at most SMALL customers. Of larger dishes the tables' sizes are kept, and a sweep takes all customers off them and seats
+    them anew, in batches. Dishes of a room move in two halves, each given the room's last state.
+    """
 
-    def __init__(self, count: np.ndarray, room: np.ndarray, rooms: int, parent: np.ndarray, d: float, strength: float, seed: int, scale: float = 1.0):
+    def __init__(self, count: np.ndarray, room: np.ndarray, rooms: int, parent: np.ndarray, d: float, strength: float, seed: int, scale: np.ndarray | float = 1.0):
         self.d, self.strength, self.scale, self.room, self.rooms = d, strength, scale, room, rooms
         self.rng = np.random.default_rng(seed)
+        self.count, self.parent = count.astype(np.int64), parent
         self.tables = np.ones(len(count), np.int64)
-        self.several = np.flatnonzero(count > 1)
-        self.count, self.parent = count[self.several].astype(np.int64), parent[self.several]
-        self.at = room[self.several]
         self.in_room = np.bincount(room, minlength=rooms) * scale
-        t = self._arrive()
-        # one large table, the others of one customer: a state for the sweeps to start from
-        self.dish = np.repeat(np.arange(len(t)), t)
-        self.size = np.ones(len(self.dish), np.int64)
-        self.size[np.cumsum(t) - t] = self.count - t + 1
-        self._counted()
-
-    def _arrive(self) -> np.ndarray:
-        """Tables after all customers came one after another; of a dish with many, an eighth of those seated come at once."""
-        t, seated, active = np.ones(len(self.count), np.int64), np.ones(len(self.count), np.int64), np.arange(len(self.count))
-        while True:
-            active = active[seated[active] < self.count[active]]
-            if not len(active):
-                return t
-            s, k = seated[active], t[active]
-            come = np.minimum(np.maximum(1, s // 8), self.count[active] - s)
-            new = (self.strength + self.d * self.in_room[self.at[active]]) * self.parent[active]
-            t[active] = k + self.rng.binomial(come, new / (new + s - self.d * k))
-            seated[active] = s + come
+        self.stirling = log_stirling(min(SMALL, int(count.max(initial=0))), d)
+        small = np.flatnonzero((count > 1) & (count <= SMALL))
+        small = small[np.argsort(count[small], kind="stable")]
+        ends = np.flatnonzero(np.append(np.diff(count[small]) != 0, len(small) > 0)) + 1
+        self.small = np.split(small, ends[:-1]) if len(small) else []
+        self.large = np.flatnonzero(count > SMALL)
+        # large dishes start from as many tables as SMALL of their customers would take, one of them with all others
+        if len(self.large):
+            self._draw(self.large, SMALL)
+            self._counted()
+        t = self.tables[self.large]
+        self.dish, self.size = np.repeat(np.arange(len(t)), t), np.ones(int(t.sum()), np.int64)
+        self.size[np.cumsum(t) - t] = self.count[self.large] - t + 1
+        for _ in range(2):
+            self.sweep()
 
     def _counted(self) -> None:
-        self.tables[self.several] = np.bincount(self.dish[self.size > 0], minlength=len(self.several))
         self.in_room = np.bincount(self.room, self.tables, self.rooms) * self.scale
 
     def sweep(self) -> None:
-        """One customer of each dish, any of them alike, leaves and is seated anew."""
-        n = len(self.several)
-        if not n:
-            return
-        first = np.searchsorted(self.dish, np.arange(n))
-        total = np.cumsum(self.size)
-        left = np.searchsorted(total, total[first] - self.size[first] + (self.rng.random(n) * self.count).astype(np.int64), "right")
-        self.size[left] -= 1
-        empty = self.size[left] == 0
-        t = self.tables[self.several] - empty
-        weight = np.where(self.size > 0, self.size - self.d, 0.0)
-        total = np.cumsum(weight)
-        old = self.count - 1 - self.d * t
-        new = (self.strength + self.d * (self.in_room[self.at] - empty)) * self.parent
-        draw = self.rng.random(n) * (old + new)
-        joins = draw < old
-        last = np.append(first[1:], len(self.size)) - 1
-        to = np.clip(np.searchsorted(total, total[first] - weight[first] + draw, "right"), first, last)
-        self.size[to[joins]] += 1
-        self.size[left[~joins & empty]] = 1
-        opened = np.flatnonzero(~joins & ~empty)
-        dish, size = np.concatenate((self.dish, opened)), np.concatenate((self.size, np.ones(len(opened), np.int64)))
-        dish, size = dish[size > 0], size[size > 0]
+        """Every customer of every dish is seated anew."""
+        for half in (0, 1):
+            for of in self.small:
+                some = of[half::2]
+                if len(some):
+                    self._draw(some, int(self.count[some[0]]))
+            self._counted()
+        if len(self.large):
+            for _ in range(BATCHES):
+                self._reseat()
+                self._counted()
+
+    def _draw(self, of: np.ndarray, c: int, most: int = 1_000_000) -> None:
+        """The tables of dishes of c customers each, from their distribution given all others."""
+        rows = max(1, most // c)
+        for begin in range(0, len(of), rows):
+            some = of[begin : begin + rows]
+            others = self.in_room[self.room[some]] - self.tables[some]
+            step = np.log(self.strength + self.d * (np.maximum(others, 0)[:, None] + np.arange(c))) + np.log(self.parent[some])[:, None]
+            weight = self.stirling[c, 1 : c + 1] + np.cumsum(step, 1)
+            weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
+            self.tables[some] = 1 + (weight < (self.rng.random(len(some)) * weight[:, -1])[:, None]).sum(1)
+
+    def _reseat(self) -> None:
+        """One customer in BATCHES of each large dish, any of them alike, leaves and is seated anew."""
+        n = len(self.large)
+        gone = self.rng.binomial(self.size, 1 / BATCHES)
+        left = np.bincount(self.dish, gone, n).astype(np.int64)
+        stay = self.size > gone
+        self.dish, self.size = self.dish[stay], (self.size - gone)[stay]
+        self._seat(left, self.count[self.large] - left)
+
+    def _seat(self, come: np.ndarray, seated: np.ndarray) -> None:
+        """So many customers of each large dish take seats beside those seated, each on its own."""
+        n = len(self.large)
+        tables = np.bincount(self.dish, minlength=n)
+        others = np.maximum(self.in_room[self.room[self.large]] - self.tables[self.large] + tables, tables)
+        new = (self.strength + self.d * others) * self.parent[self.large]
+        old = np.maximum(seated - self.d * tables, 0.0) + np.maximum(come - 1, 0) / 2
+        opened = self.rng.binomial(come, new / (new + old))
+        # a dish that all have left opens its first table, for all who open none
+        opened = np.where((tables == 0) & (come > 0), np.maximum(opened, 1), opened)
+        weight, last = np.append(np.cumsum(self.size - self.d), 0.0), np.cumsum(tables)
+        top, bottom = (np.where(at > 0, weight[np.maximum(at, 1) - 1], 0.0) for at in (last, last - tables))
+        who = np.repeat(np.arange(n), np.where(tables > 0, come - opened, 0))
+        at = np.searchsorted(weight[:-1], bottom[who] + self.rng.random(len(who)) * (top - bottom)[who], "right")
+        self.size = self.size + np.bincount(np.clip(at, (last - tables)[who], last[who] - 1), minlength=len(self.size))
+        fresh = np.repeat(np.arange(n), opened)
+        size = np.ones(len(fresh), np.int64)
+        alone = np.flatnonzero((tables == 0) & (come > opened))
+        size[np.searchsorted(fresh, alone)] += (come - opened)[alone]
+        dish, size = np.concatenate((self.dish, fresh)), np.concatenate((self.size, size))
         order = np.argsort(dish, kind="stable")
         self.dish, self.size = dish[order], size[order]
-        self._counted()
+        self.tables[self.large] = np.bincount(self.dish, minlength=n)
 
 
 class Texts:
     """The tokens of a chunk's documents: word (number in own), before (that of the token before, or of START), doc; own: distinct hashes by bucket and value; trained: their number in training documents."""
 
     def __init__(self, docs: pa.Table, n_buckets: int):
-        self.docs = docs = docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        self.docs = docs = docs.sort_by("row")
         w, n = Words(docs["text"], lower=True), docs.num_rows
         self.sizes = np.diff(w.first) + 1
         tokens = np.insert(w.hash, w.first[1:], END)
@@ -109,36 +152,47 @@ class Texts:
         order = np.lexsort((own, bucket))
         self.own, self.bucket = own[order], bucket[order]
         self.word = np.argsort(order)[self.word]
-        start, self.word = self.word[-1], self.word[:-1]
-        self.before = np.concatenate(([start], self.word[:-1]))
-        self.before[np.cumsum(self.sizes) - self.sizes] = start
+        self.start, self.word = self.word[-1], self.word[:-1]
+        self.before = np.concatenate(([self.start], self.word[:-1]))
+        self.before[np.cumsum(self.sizes) - self.sizes] = self.start
         self.train = ~docs["held_out"].to_numpy(zero_copy_only=False)[self.doc]
         self.trained = np.bincount(self.word[self.train], minlength=len(own))
-        self.parts = parcels.bounds(self.bucket, n_buckets)
-
-    def pairs(self, ids: np.ndarray, n_buckets: int) -> "Pairs":
-        return Pairs(self, ids, n_buckets)
+        self.buckets, self.begins = np.unique(self.bucket, return_index=True)
+        self.ends = np.append(self.begins[1:], len(own))
 
 
 class Pairs:
-    """Distinct (context, word) of a chunk by context bucket, context and word; of: the pair of each token; context: where each context's pairs begin."""
-
-    def __init__(self, texts: Texts, ids: np.ndarray, n_buckets: int):
-        # words in order of (bucket of the id as a context, id)
-        by_id = np.lexsort((ids, ids % n_buckets))
-        place = np.argsort(by_id)
-        rank = np.empty(len(ids), np.int64)
-        rank[np.argsort(ids)] = np.arange(len(ids))
-        key, self.of = np.unique(place[texts.before] * len(ids) + rank[texts.word], return_inverse=True)
-        self.before, self.word = ids[by_id[key // len(ids)]], np.sort(ids)[key % len(ids)]
+    """Distinct (context, word) of a chunk by bucket, context and word; of: the pair of each token; context: where each context's pairs begin in each bucket; parts: of how many parts its restaurant is."""
+
+    def __init__(self, texts: Texts, ids: np.ndarray, counts: np.ndarray, start_parts: int, part_size: int, n_buckets: int):
+        key, self.of = np.unique(texts.before * len(ids) + texts.word, return_inverse=True)
+        before, word = key // max(1, len(ids)), key % max(1, len(ids))
+        parts = 1 + counts // part_size
+        parts[texts.start] = start_parts
+        # a part's pairs go to a bucket of their own; a context of one part stays together
+        part = (ids[word] // n_buckets) % parts[before]
+        bucket = (ids[before] + part * 7919) % n_buckets
+        order = np.lexsort((ids[word], ids[before], bucket))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.of, self.own_before, self.own_word = place[self.of], before[order], word[order]
+        self.before, self.word, bucket = ids[self.own_before], ids[self.own_word], bucket[order]
         self.trained = np.bincount(self.of[texts.train], minlength=len(key))
-        self.context = np.flatnonzero(np.concatenate(([True], self.before[1:] != self.before[:-1]))) if len(key) else np.zeros(0, np.int64)
-        self.parts = parcels.bounds(self.before % n_buckets, n_buckets)
+        new = np.ones(len(key), bool)
+        new[1:] = (self.before[1:] != self.before[:-1]) | (bucket[1:] != bucket[:-1])
+        self.context = np.flatnonzero(new)
+        self.room = np.cumsum(new) - 1
+        self.parts = parts[self.own_before[self.context]]
+        self.buckets, self.begins = np.unique(bucket, return_index=True)
+        self.ends = np.append(self.begins[1:], len(key))
 
 
-def sent(rows: list[tuple]) -> pa.Table:
-    kind, to, of, load = zip(*rows, strict=True) if rows else ([],) * 4
-    return pa.table({"kind": pa.array(kind, pa.int32()), "to": pa.array(to, LONG), "of": pa.array(of, LONG), "load": pa.array(load, pa.binary())})
+def sent(rows: list[tuple], totals: list[tuple] = ()) -> pa.Table:
+    """Rows (kind, to, of, load), and rows (kind, to, a, b, c) of numbers."""
+    rows = [(*r, None, None, None) for r in rows] + [(k, to, None, None, float(a), float(b), float(c)) for k, to, a, b, c in totals]
+    columns = zip(*rows, strict=True) if rows else ([],) * 7
+    kinds = [pa.int32(), LONG, LONG, pa.binary(), *[pa.float64()] * 3]
+    return pa.table([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in SENT.split(", ")])
 
 
 def loads(table: pa.Table, kind: int) -> list[tuple[int, list[np.ndarray]]]:
@@ -147,6 +201,12 @@ def loads(table: pa.Table, kind: int) -> list[tuple[int, list[np.ndarray]]]:
     return [(o, parcels.unpack(x)) for o, x in sorted(some, key=lambda r: r[0])]
 
 
+def totals_of(table: pa.Table, kind: int) -> np.ndarray:
+    """The three numbers of the rows of a kind, added up."""
+    some = [x for k, *x in zip(*(table[c].to_pylist() for c in ("kind", "a", "b", "c")), strict=True) if k == kind]
+    return np.array(some, float).reshape(-1, 3).sum(0)
+
+
 def lexicon(rows: list[tuple[int, list[np.ndarray]]], bucket: int, n_buckets: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """For a bucket's words: their ids and training counts as each chunk has sent them, and the counts. Ids are by falling count: common words have small ones."""
     hashes, counts = np.concatenate([x[0] for _, x in rows]), np.concatenate([x[1] for _, x in rows]).astype(np.int64)
@@ -180,104 +240,111 @@ def parent_probability(value: np.ndarray, totals: np.ndarray) -> np.ndarray:
 
 
 class Contexts:
-    """The restaurants of a bucket: distinct pairs with training customers, from the pairs that all chunks have sent."""
+    """The restaurants of a bucket, or parts of them: distinct pairs with training customers, from the pairs that all chunks have sent."""
 
     def __init__(self, rows: list[tuple[int, list[np.ndarray]]], seed: int):
         before = np.concatenate([np.repeat(x[0], x[1]) for _, x in rows]).astype(np.int64)
         word, trained = (np.concatenate([x[k] for _, x in rows]).astype(np.int64) for k in (2, 3))
         self.ends = np.cumsum([len(x[2]) for _, x in rows])
         self.room_ids, room = np.unique(before, return_inverse=True)
+        self.parts = np.ones(len(self.room_ids))
+        for _, x in rows:
+            self.parts[np.searchsorted(self.room_ids, x[0].astype(np.int64))] = x[4]
         self.words, dish = np.unique(word, return_inverse=True)
         key, self.of = np.unique(room * len(self.words) + dish, return_inverse=True)
         self.room, self.dish = key // len(self.words), key % len(self.words)
         self.count = np.bincount(self.of, trained, len(key)).astype(np.int64)
-        self.customers = np.bincount(self.room, self.count, len(self.room_ids))
         self.known = np.flatnonzero(self.count)
         count, here = self.count[self.known], np.bincount(self.dish, self.count, len(self.words))
         rough = here[self.dish[self.known]] / (here.sum() + 1)
-        self.seats = Seating(count, self.room[self.known], len(self.room_ids), rough, discount(count), STRENGTH, seed)
+        self.seats = Seating(count, self.room[self.known], len(self.room_ids), rough, discount(count), STRENGTH, seed, self.parts)
         for _ in range(ROUGH):
             self.seats.sweep()
 
     def to_parent(self) -> tuple[np.ndarray, np.ndarray]:
+        """Words with tables here, and how many."""
         tables = np.bincount(self.dish[self.known], self.seats.tables, len(self.words)).astype(np.int64)
-        return self.words, tables
+        return self.words[tables > 0], tables[tables > 0]
 
     def predictive(self, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each pair the probability of its own tables, and of each context that of asking the parent, averaged over sweeps given the parent's probabilities of self.words."""
+        """Of each pair its customers less the discounts of its tables, and of each context the discounts of all tables here, averaged over sweeps given the parent's probabilities of the words with tables (to_parent)."""
         s, d = self.seats, self.seats.d
-        s.parent = parent[self.dish[self.known]][s.several]
+        of_word = np.zeros(len(self.words))
+        of_word[np.unique(self.dish[self.known])] = parent
+        s.parent = of_word[self.dish[self.known]]
         own, ask = np.zeros(len(self.count)), np.zeros(len(self.room_ids))
         for i in range(BURN_IN + AVERAGED):
             s.sweep()
             if i >= BURN_IN:
                 own[self.known] += (self.count[self.known] - d * s.tables) / AVERAGED
-                ask += (STRENGTH + d * s.in_room) / AVERAGED
-        return own / (STRENGTH + self.customers[self.room]), ask / (STRENGTH + self.customers)
+                ask += d * np.bincount(s.room, s.tables, s.rooms) / AVERAGED
+        return own, ask
 
 
-SCORES = pa.schema([("doc_id", LONG), ("held_out", pa.bool_()), ("n_tokens", LONG), ("n_known", LONG), ("train_tokens", LONG), ("base_score", pa.float64()), ("score", pa.float64())])
+SCORES = [("doc_id", LONG), ("held_out", pa.bool_()), ("n_tokens", LONG), ("n_known", LONG), ("train_tokens", LONG), ("base_score", pa.float64()), ("score", pa.float64()), ("token_scores", pa.list_(pa.float64()))]
 
 
-def score(docs: DataFrame, held_out, seed: int = 6, chunk_bytes: int = parcels.CHUNK_BYTES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text, ...).
+def score(docs: DataFrame, held_out, seed: int = 6, chunk_bytes: int = parcels.CHUNK_BYTES, part_size: int = PART, token_scores: bool = False) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text, ...), and token_scores if asked for: the log10 probability of each token.
 
     Tokens are words [^\\x20\\x09-\\x0D]+ with A-Z in lower case and one end of each text (null: empty). The model learns
     from the documents where held_out (a condition on doc_id; null counts as false) is not true, and scores all of them:
     score is the log10 probability of all tokens, each given the one before; base_score that of single tokens with 0.5
-    added to each count. Without training documents every token is unknown. Rows of one doc_id each count. Other columns
-    are ignored.
+    added to each count. Without training documents every token is unknown, and both scores are 0: there is nothing else that a token could be. Rows of one
+    doc_id each count. Other columns are ignored.
     """
     docs, chunks = parcels.deal(docs, chunk_bytes)
     docs = docs.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
-    word_buckets, context_buckets = parcels.buckets(chunks), max(12, chunks // 4)
+    word_buckets, context_buckets, start_parts = parcels.buckets(chunks), max(12, chunks // 4), max(1, chunks // 16)
+    schema = pa.schema(SCORES if token_scores else SCORES[:-1])
 
     def words(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         t = Texts(table, word_buckets)
-        return sent([(1, b, key[0].as_py(), parcels.pack(t.own[s], t.trained[s].astype(np.uint32))) for b in range(word_buckets) if (s := slice(t.parts[b], t.parts[b + 1])).stop > s.start])
+        rows = [(1, b, key[0].as_py(), parcels.pack(t.own[i:j], t.trained[i:j].astype(np.uint32))) for b, i, j in zip(t.buckets.tolist(), t.begins, t.ends, strict=True)]
+        return sent(rows, [(8, -1, 0, 0, table.num_rows - sum(table["held_out"].to_pylist()))])
 
     def known_words(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         bucket, rows = key[0].as_py(), loads(table, 1)
         ids, counts, total = lexicon(rows, bucket, word_buckets)
-        by = {of: (i, c) for (of, _), i, c in zip(rows, ids, counts, strict=True)}
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        stats = np.array([total.sum(), (total > 0).sum()], np.int64)
         narrow = np.int64 if len(total) * word_buckets >> 31 else np.uint32
-        # every chunk hears of every bucket's totals
-        return sent([(2, c, bucket, parcels.pack(by.get(c, none)[0].astype(narrow), by.get(c, none)[1], stats)) for c in range(chunks)])
+        replies = [(2, of, bucket, parcels.pack(i.astype(narrow), c)) for (of, _), i, c in zip(rows, ids, counts, strict=True)]
+        return sent(replies, [(8, -1, total.sum(), (total > 0).sum(), 0)])
 
-    def with_ids(table: pa.Table, replies: pa.Table) -> tuple[Texts, Pairs, np.ndarray, np.ndarray]:
+    def with_ids(table: pa.Table, replies: pa.Table) -> tuple[Texts, Pairs, np.ndarray]:
         t = Texts(table, word_buckets)
         rows = [x for _, x in loads(replies, 2)]
         ids, counts = (np.concatenate([x[k] for x in rows]).astype(np.int64) for k in (0, 1))
-        return t, Pairs(t, ids, context_buckets), counts, sum(x[2] for x in rows)
+        return t, Pairs(t, ids, counts, start_parts, part_size, context_buckets), counts
 
     def pairs(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return sent([])
-        _, p, _, _ = with_ids(table, replies)
+        _, p, _ = with_ids(table, replies)
         rows, narrow = [], p.word.dtype if max(p.word.max(), p.before.max()) >> 31 else np.uint32
-        for b in range(context_buckets):
-            s = slice(p.parts[b], p.parts[b + 1])
-            if s.stop > s.start:
-                begin = p.context[np.searchsorted(p.context, s.start) : np.searchsorted(p.context, s.stop)]
-                rows.append((3, b, key[0].as_py(), parcels.pack(p.before[begin].astype(narrow), np.diff(np.append(begin, s.stop)).astype(np.uint32), p.word[s].astype(narrow), p.trained[s].astype(np.uint32))))
+        for b, i, j in zip(p.buckets.tolist(), p.begins, p.ends, strict=True):
+            some = slice(p.room[i], p.room[j - 1] + 1)
+            begin = p.context[some]
+            rows.append((3, b, key[0].as_py(), parcels.pack(p.before[begin].astype(narrow), np.diff(np.append(begin, j)).astype(np.uint32), p.word[i:j].astype(narrow), p.trained[i:j].astype(np.uint32), p.parts[some].astype(np.uint32))))
         return sent(rows)
 
     def seated(bucket: int, table: pa.Table) -> Contexts:
         return Contexts(loads(table, 3), seed * 1_000_003 + bucket)
 
+    def by_bucket(ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """The order of ids by bucket of words and id, and (bucket, begin, end) of each bucket with some."""
+        order = np.lexsort((ids, ids % word_buckets))
+        own, begins = np.unique(ids[order] % word_buckets, return_index=True)
+        ends = [*begins[1:].tolist(), len(ids)] if len(ids) else []
+        return order, list(zip(own.tolist(), begins.tolist(), ends, strict=True))
+
     def tables(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         ids, customers = seated(key[0].as_py(), table).to_parent()
-        order = np.lexsort((ids, ids % word_buckets))
-        ids, customers = ids[order], customers[order]
-        parts = parcels.bounds(ids % word_buckets, word_buckets)
-        return sent([(4, b, key[0].as_py(), parcels.pack(ids[s].astype(np.int64), customers[s].astype(np.uint32))) for b in range(word_buckets) if (s := slice(parts[b], parts[b + 1])).stop > s.start])
+        order, parts = by_bucket(ids)
+        return sent([(4, b, key[0].as_py(), parcels.pack(ids[order][i:j], customers[order][i:j].astype(np.uint32))) for b, i, j in parts])
 
     def parent(bucket: int, table: pa.Table):
         rows = loads(table, 4)
-        some = [(o, [x[0][x[1] > 0], x[1][x[1] > 0]]) for o, x in rows]
-        return rows, *parent_seating(some, word_buckets, seed * 1_000_033 + bucket)
+        return rows, *parent_seating(rows, word_buckets, seed * 1_000_033 + bucket)
 
     def lookup(ids: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(ids, wanted), max(len(ids) - 1, 0))
@@ -286,57 +353,84 @@ def score(docs: DataFrame, held_out, seed: int = 6, chunk_bytes: int = parcels.C
     def parent_to_contexts(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
         rows, ids, values, stats = parent(bucket, table)
-        by = {o: lookup(ids, values, x[0]) for o, x in rows}
-        none = np.zeros(0, np.float32)
-        return sent([(5, c, bucket, parcels.pack(by.get(c, none), stats)) for c in range(context_buckets)])
+        return sent([(5, o, bucket, parcels.pack(lookup(ids, values, x[0]))) for o, x in rows], [(9, -1, *stats)])
 
     def parent_to_chunks(key: tuple[pa.Scalar, ...], words: pa.Table, table: pa.Table) -> pa.Table:
         bucket, rows = key[0].as_py(), loads(words, 1)
         if not rows:
             return sent([])
-        ids, values, stats = parent(bucket, table)[1:] if table.num_rows else (np.zeros(0, np.int64), np.zeros(0), np.zeros(3))
-        by = {of: lookup(ids, values, i) for (of, _), i in zip(rows, lexicon(rows, bucket, word_buckets)[0], strict=True)}
-        none = np.zeros(0, np.float32)
-        return sent([(6, c, bucket, parcels.pack(by.get(c, none), stats)) for c in range(chunks)])
+        ids, values = parent(bucket, table)[1:3] if loads(table, 4) else (np.zeros(0, np.int64), np.zeros(0))
+        asked = [x for _, x in loads(table, 10)] or [[np.zeros(0, np.int64), np.zeros(0)]]
+        contexts, of = np.unique(np.concatenate([x[0] for x in asked]), return_inverse=True)
+        asked = np.bincount(of, np.concatenate([x[1] for x in asked]), len(contexts))
+        return sent([(6, of, bucket, parcels.pack(lookup(ids, values, i), lookup(contexts, asked, i))) for (of, _), i in zip(rows, lexicon(rows, bucket, word_buckets)[0], strict=True)])
 
     def predictive(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return sent([])
-        c, answers = seated(key[0].as_py(), table), [x for _, x in loads(replies, 5)]
-        order = np.lexsort((c.words, c.words % word_buckets))
-        value = np.empty(len(c.words))
-        value[order] = np.concatenate([x[0] for x in answers])
-        own, ask = c.predictive(parent_probability(value, sum(x[1] for x in answers)))
+        c = seated(key[0].as_py(), table)
+        ids = c.to_parent()[0]
+        value, order = np.empty(len(ids)), by_bucket(ids)[0]
+        value[order] = np.concatenate([x[0] for _, x in loads(replies, 5)] or [np.zeros(0)])
+        own, ask = c.predictive(parent_probability(value, totals_of(replies, 9)))
         rows, begin = [], 0
         for (of, x), end in zip(loads(table, 3), c.ends.tolist(), strict=True):
             rows.append((7, of, key[0].as_py(), parcels.pack(own[c.of[begin:end]].astype(np.float32), ask[np.searchsorted(c.room_ids, x[0].astype(np.int64))].astype(np.float32))))
             begin = end
-        return sent(rows)
+        # a context in parts sends what all of them ask by way of its word, so that a chunk needs no answer of each part
+        split = np.flatnonzero(c.parts > 1)
+        ids, asked = c.room_ids[split], ask[split]
+        order, parts = by_bucket(ids)
+        return sent(rows + [(10, b, key[0].as_py(), parcels.pack(ids[order][i:j], asked[order][i:j])) for b, i, j in parts])
 
     def scores(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return SCORES.empty_table()
-        t, p, counts, (train_tokens, known) = with_ids(table, replies)
-        roots = [x for _, x in loads(replies, 6)]
-        root = parent_probability(np.concatenate([x[0] for x in roots]).astype(float), sum(x[1] for x in roots))
+            return schema.empty_table()
+        t, p, counts = with_ids(table, replies)
+        train_tokens, known, train_docs = totals_of(replies, 8)
+        root, of_parts = (np.concatenate([x[k] for _, x in loads(replies, 6)]).astype(float) for k in (0, 1))
+        root = parent_probability(root, totals_of(replies, 9))
         answers = [x for _, x in loads(replies, 7)]
         own, ask = (np.concatenate([x[k] for x in answers]).astype(float) for k in (0, 1))
-        context = np.repeat(np.arange(len(p.context)), np.diff(np.append(p.context, len(p.before))))
-        log = np.log10(own[p.of] + ask[context[p.of]] * root[t.word])
+        customers = counts.copy()
+        customers[t.start] = int(train_docs)
+        asked = of_parts
+        whole = p.parts == 1
+        asked[p.own_before[p.context[whole]]] = ask[whole]
+        before = p.own_before
+        probability = (own + (STRENGTH + asked[before]) * root[p.own_word]) / (STRENGTH + customers[before])
+        log = np.log10(probability)[p.of]
         base = np.log10((counts + 0.5) / (train_tokens + 0.5 * (known + 1)))
         n = len(t.sizes)
-        columns = [t.docs["doc_id"].combine_chunks(), t.docs["held_out"].combine_chunks(), pa.array(t.sizes, LONG), pa.array(np.bincount(t.doc, counts[t.word] > 0, n).astype(np.int64)), pa.array(np.full(n, train_tokens, np.int64)), pa.array(np.bincount(t.doc, base[t.word], n)), pa.array(np.bincount(t.doc, log, n))]
-        return pa.table(columns, schema=SCORES)
+        columns = [t.docs["doc_id"].combine_chunks(), t.docs["held_out"].combine_chunks(), pa.array(t.sizes, LONG), pa.array(np.bincount(t.doc, counts[t.word] > 0, n).astype(np.int64)), pa.array(np.full(n, int(train_tokens), np.int64)), pa.array(np.bincount(t.doc, base[t.word], n)), pa.array(np.bincount(t.doc, log, n))]
+        if token_scores:
+            columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(t.sizes)).astype(np.int32)), pa.array(log)))
+        return pa.table(columns, schema=schema)
+
+    kind = lambda df, k: df.where(F.col("kind") == k)
+    summed = lambda df: df.agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in "abc"))
+
+    def to_each(totals: DataFrame, k: int, n: int) -> DataFrame:
+        """One row of totals for each of n chunks or buckets."""
+        every = docs.sparkSession.range(n).crossJoin(F.broadcast(totals))
+        return every.select(F.lit(k).alias("kind"), F.col("id").alias("to"), F.lit(None).cast("long").alias("of"), F.lit(None).cast("binary").alias("load"), "a", "b", "c")
 
     dealt = docs.groupBy("chunk")
-    asked = dealt.applyInArrow(words, SENT).groupBy("to")
-    lexicon_rows = asked.applyInArrow(known_words, SENT)
+    word_rows = dealt.applyInArrow(words, SENT)
+    asked = kind(word_rows, 1).groupBy("to")
+    lexicon_all = asked.applyInArrow(known_words, SENT)
+    lexicon_rows, counted = kind(lexicon_all, 2), summed(kind(word_rows, 8).unionByName(kind(lexicon_all, 8)))
     pair_rows = dealt.cogroup(lexicon_rows.groupBy("to")).applyInArrow(pairs, SENT).groupBy("to")
-    table_rows = pair_rows.applyInArrow(tables, SENT).groupBy("to")
-    parent_rows = table_rows.applyInArrow(parent_to_contexts, SENT)
-    answers = pair_rows.cogroup(parent_rows.groupBy("to")).applyInArrow(predictive, SENT)
-    replies = lexicon_rows.unionByName(asked.cogroup(table_rows).applyInArrow(parent_to_chunks, SENT)).unionByName(answers)
-    return dealt.cogroup(replies.groupBy("to")).applyInArrow(scores, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    table_rows = pair_rows.applyInArrow(tables, SENT)
+    parent_all = table_rows.groupBy("to").applyInArrow(parent_to_contexts, SENT)
+    of_parent = summed(kind(parent_all, 9))
+    to_contexts = kind(parent_all, 5).unionByName(to_each(of_parent, 9, context_buckets))
+    answers = pair_rows.cogroup(to_contexts.groupBy("to")).applyInArrow(predictive, SENT)
+    to_words = table_rows.unionByName(kind(answers, 10)).groupBy("to")
+    replies = lexicon_rows.unionByName(asked.cogroup(to_words).applyInArrow(parent_to_chunks, SENT)).unionByName(kind(answers, 7))
+    replies = replies.unionByName(to_each(of_parent, 9, chunks)).unionByName(to_each(counted, 8, chunks))
+    names = {LONG: "long", pa.bool_(): "boolean", pa.float64(): "double", pa.list_(pa.float64()): "array<double>"}
+    return dealt.cogroup(replies.groupBy("to")).applyInArrow(scores, ", ".join(f"{f.name} {names[f.type]}" for f in schema))
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, chunk_bytes: int = parcels
     where nothing goes. Windows are equal where two hashes of 64 bits are, of themselves and of their anchor.
     """
     given = docs.schema
-    docs, _ = parcels.deal(docs, chunk_bytes, keep)
+    docs, chunks = parcels.deal(docs, chunk_bytes, keep)
     names, lengths = ["doc_id", "kept", "n_words", "n_removed"], levels(window, base)
     dealt = docs.groupBy("chunk")
 
@@ -125,7 +125,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, chunk_bytes: int = parcels
     for level in range(2, len(lengths)):
         found = repeated(dealt.cogroup(found.groupBy("chunk")).applyInArrow(next_anchors(level), "hash long, chunk long"))
 
-    columns = [("anchor", LONG), ("full", LONG), ("doc", LONG), ("row", LONG), ("place", LONG), ("chunk", LONG)]
+    columns = [("anchor", LONG), ("full", LONG), ("doc", LONG), ("row", LONG), ("place", LONG)]
 
     def windows(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -136,7 +136,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, chunk_bytes: int = parcels
         starts, anchor = starts[one], anchor[one]
         text = w.words.text[starts]
         doc = w.docs["doc_id"].fill_null(np.iinfo(np.int64).max).to_numpy()[text]
-        return pa.table([signed(anchor), signed(w.hashes[-1][starts]), pa.array(doc), pa.array(w.docs["row"].to_numpy()[text]), pa.array(starts - w.words.first[text]), pa.array(np.full(len(starts), key[0].as_py(), np.int64))], schema=pa.schema(columns))
+        return pa.table([signed(anchor), signed(w.hashes[-1][starts]), pa.array(doc), pa.array(w.docs["row"].to_numpy()[text]), pa.array(starts - w.words.first[text])], schema=pa.schema(columns))
 
     def kept(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -165,7 +165,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, chunk_bytes: int = parcels
 
     sent = dealt.cogroup(found.groupBy("chunk")).applyInArrow(windows, ", ".join(f"{n} long" for n, _ in columns))
     earlier = F.row_number().over(Window.partitionBy("full", "anchor").orderBy("doc", "row", "place")) - 1
-    later = sent.withColumn("earlier", earlier).where("earlier > 0").select("chunk", "row", "place")
+    later = sent.withColumn("earlier", earlier).where("earlier > 0").select(parcels.chunk_of("row", chunks).alias("chunk"), "row", "place")
     kinds = ["long", "string", "long", "long", *(given[c].dataType.simpleString() for c in keep)]
     schema = ", ".join(f"{n} {k}" for n, k in zip([*names, *(f"keep{i}" for i in range(len(keep)))], kinds, strict=True))
     out = dealt.cogroup(later.groupBy("chunk")).applyInArrow(kept, schema)
