@@ -74,8 +74,6 @@ class Seating:
         t = self.tables[self.large]
         self.dish, self.size = np.repeat(np.arange(len(t)), t), np.ones(int(t.sum()), np.int64)
         self.size[np.cumsum(t) - t] = self.count[self.large] - t + 1
-        for _ in range(2):
-            self.sweep()
 
     def _counted(self) -> None:
         self.in_room = np.bincount(self.room, self.tables, self.rooms) * self.scale
@@ -98,12 +96,24 @@ class Seating:
         rows = max(1, most // c)
         for begin in range(0, len(of), rows):
             some = of[begin : begin + rows]
-            others = self.in_room[self.room[some]] - self.tables[some]
-            step = np.log(self.strength + self.d * (np.maximum(others, 0)[:, None] + np.arange(c))) + np.log(self.parent[some])[:, None]
-            weight = self.stirling[c, 1 : c + 1] + np.cumsum(step, 1)
-            weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
+            others = np.maximum(self.in_room[self.room[some]] - self.tables[some], 0)
+            # weights of 1, 2, ... tables as products of their ratios; beyond what a double holds, by logarithms
+            weight = np.ones((len(some), c))
+            np.multiply(self.ratio(c), self.strength + self.d * (others[:, None] + np.arange(1, c)), out=weight[:, 1:])
+            weight[:, 1:] *= self.parent[some][:, None]
+            with np.errstate(over="ignore", invalid="ignore"):
+                weight = np.cumsum(np.cumprod(weight, 1), 1)
+            far = np.flatnonzero(~np.isfinite(weight[:, -1]))
+            if len(far):
+                step = np.log(self.strength + self.d * (others[far, None] + np.arange(c))) + np.log(self.parent[some[far]])[:, None]
+                log = self.stirling[c, 1 : c + 1] + np.cumsum(step, 1)
+                weight[far] = np.cumsum(np.exp(log - log.max(1, keepdims=True)), 1)
             self.tables[some] = 1 + (weight < (self.rng.random(len(some)) * weight[:, -1])[:, None]).sum(1)
 
+    def ratio(self, c: int) -> np.ndarray:
+        """Of Stirling numbers of t + 1 and t tables, for t from 1 to c - 1."""
+        return np.exp(np.diff(self.stirling[c, 1 : c + 1]))
+
     def _reseat(self) -> None:
         """One customer in BATCHES of each large dish, any of them alike, leaves and is seated anew."""
         n = len(self.large)
