@@ -250,24 +250,26 @@ def parent_probability(value: np.ndarray, totals: np.ndarray) -> np.ndarray:
 
 
 class Contexts:
-    """The restaurants of a bucket, or parts of them: distinct pairs with training customers, from the pairs that all chunks have sent."""
-
-    def __init__(self, rows: list[tuple[int, list[np.ndarray]]], seed: int):
-        before = np.concatenate([np.repeat(x[0], x[1]) for _, x in rows]).astype(np.int64)
-        word, trained = (np.concatenate([x[k] for _, x in rows]).astype(np.int64) for k in (2, 3))
-        self.ends = np.cumsum([len(x[2]) for _, x in rows])
-        self.room_ids, room = np.unique(before, return_inverse=True)
-        self.parts = np.ones(len(self.room_ids))
-        for _, x in rows:
-            self.parts[np.searchsorted(self.room_ids, x[0].astype(np.int64))] = x[4]
+    """The whole restaurants of a bucket, or its parts of those that are split: distinct pairs with training customers, from the pairs that all chunks have sent. pairs, runs: which of those sent are of these."""
+
+    def __init__(self, rows: list[tuple[int, list[np.ndarray]]], split: bool, seed: int):
+        before, size, word, trained, parts = (np.concatenate([x[k] for _, x in rows]).astype(np.int64) for k in range(5))
+        self.runs = np.flatnonzero((parts > 1) == split)
+        self.pairs = np.flatnonzero(np.repeat((parts > 1) == split, size))
+        before, size, parts, word, trained = before[self.runs], size[self.runs], parts[self.runs], word[self.pairs], trained[self.pairs]
+        self.room_ids, first, self.room_of_run = np.unique(before, return_index=True, return_inverse=True)
         self.words, dish = np.unique(word, return_inverse=True)
-        key, self.of = np.unique(room * len(self.words) + dish, return_inverse=True)
-        self.room, self.dish = key // len(self.words), key % len(self.words)
+        key, self.of = np.unique(np.repeat(self.room_of_run, size) * len(self.words) + dish, return_inverse=True)
+        self.room, self.dish = key // max(1, len(self.words)), key % max(1, len(self.words))
         self.count = np.bincount(self.of, trained, len(key)).astype(np.int64)
         self.known = np.flatnonzero(self.count)
-        count, here = self.count[self.known], np.bincount(self.dish, self.count, len(self.words))
+        self.parts, self.seed = parts[first].astype(float), 2 * seed + split
+
+    def seat(self, d: float) -> None:
+        """Under that discount, given a rough parent."""
+        here = np.bincount(self.dish, self.count, len(self.words))
         rough = here[self.dish[self.known]] / (here.sum() + 1)
-        self.seats = Seating(count, self.room[self.known], len(self.room_ids), rough, discount(count), STRENGTH, seed, self.parts)
+        self.seats = Seating(self.count[self.known], self.room[self.known], len(self.room_ids), rough, d, STRENGTH, self.seed, self.parts)
         for _ in range(ROUGH):
             self.seats.sweep()
 
@@ -276,12 +278,10 @@ class Contexts:
         tables = np.bincount(self.dish[self.known], self.seats.tables, len(self.words)).astype(np.int64)
         return self.words[tables > 0], tables[tables > 0]
 
-    def predictive(self, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each pair its customers less the discounts of its tables, and of each context the discounts of all tables here, averaged over sweeps given the parent's probabilities of the words with tables (to_parent)."""
+    def predictive(self, ids: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each pair its customers less the discounts of its tables, and of each context the discounts of all tables here, averaged over sweeps given the parent's probabilities of ids (ascending, all words with tables among them)."""
         s, d = self.seats, self.seats.d
-        of_word = np.zeros(len(self.words))
-        of_word[np.unique(self.dish[self.known])] = parent
-        s.parent = of_word[self.dish[self.known]]
+        s.parent = parent[np.searchsorted(ids, self.words[self.dish[self.known]])]
         own, ask = np.zeros(len(self.count)), np.zeros(len(self.room_ids))
         for i in range(BURN_IN + AVERAGED):
             s.sweep()
@@ -311,7 +311,7 @@ def score(docs: DataFrame, held_out, seed: int = 6, chunk_bytes: int = parcels.C
     def words(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         t = Texts(table, word_buckets)
         rows = [(1, b, key[0].as_py(), parcels.pack(t.own[i:j], t.trained[i:j].astype(np.uint32))) for b, i, j in zip(t.buckets.tolist(), t.begins, t.ends, strict=True)]
-        return sent(rows, [(8, -1, 0, 0, table.num_rows - sum(table["held_out"].to_pylist()))])
+        return sent(rows)
 
     def known_words(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         bucket, rows = key[0].as_py(), loads(table, 1)
@@ -337,8 +337,17 @@ def score(docs: DataFrame, held_out, seed: int = 6, chunk_bytes: int = parcels.C
             rows.append((3, b, key[0].as_py(), parcels.pack(p.before[begin].astype(narrow), np.diff(np.append(begin, j)).astype(np.uint32), p.word[i:j].astype(narrow), p.trained[i:j].astype(np.uint32), p.parts[some].astype(np.uint32))))
         return sent(rows)
 
-    def seated(bucket: int, table: pa.Table) -> Contexts:
-        return Contexts(loads(table, 3), seed * 1_000_003 + bucket)
+    def seated(bucket: int, rows: list, kinds: tuple[bool, ...] = (False, True)) -> list[Contexts]:
+        return [Contexts(rows, split, seed * 1_000_003 + bucket) for split in kinds]
+
+    def tables_in(contexts: list[Contexts]) -> tuple[np.ndarray, np.ndarray, float]:
+        """Words with tables in a bucket, how many, and the discount of all its restaurants."""
+        d = discount(np.concatenate([c.count[c.known] for c in contexts]))
+        for c in contexts:
+            c.seat(d)
+        ids, customers = (np.concatenate(x) for x in zip(*(c.to_parent() for c in contexts), strict=True))
+        ids, of = np.unique(ids, return_inverse=True)
+        return ids, np.bincount(of, customers, len(ids)).astype(np.int64), d
 
     def by_bucket(ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         """The order of ids by bucket of words and id, and (bucket, begin, end) of each bucket with some."""
@@ -348,9 +357,9 @@ def score(docs: DataFrame, held_out, seed: int = 6, chunk_bytes: int = parcels.C
         return order, list(zip(own.tolist(), begins.tolist(), ends, strict=True))
 
     def tables(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        ids, customers = seated(key[0].as_py(), table).to_parent()
+        ids, customers, d = tables_in(seated(key[0].as_py(), loads(table, 3)))
         order, parts = by_bucket(ids)
-        return sent([(4, b, key[0].as_py(), parcels.pack(ids[order][i:j], customers[order][i:j].astype(np.uint32))) for b, i, j in parts])
+        return sent([(4, b, key[0].as_py(), parcels.pack(ids[order][i:j], customers[order][i:j].astype(np.uint32), np.array([d]))) for b, i, j in parts])
 
     def parent(bucket: int, table: pa.Table):
         rows = loads(table, 4)
@@ -363,7 +372,7 @@ def score(docs: DataFrame, held_out, seed: int = 6, chunk_bytes: int = parcels.C
     def parent_to_contexts(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
         rows, ids, values, stats = parent(bucket, table)
-        return sent([(5, o, bucket, parcels.pack(lookup(ids, values, x[0]))) for o, x in rows], [(9, -1, *stats)])
+        return sent([(5, o, bucket, parcels.pack(x[0], lookup(ids, values, x[0]), x[2])) for o, x in rows], [(9, -1, *stats)])
 
     def parent_to_chunks(key: tuple[pa.Scalar, ...], words: pa.Table, table: pa.Table) -> pa.Table:
         bucket, rows = key[0].as_py(), loads(words, 1)
@@ -375,23 +384,35 @@ def score(docs: DataFrame, held_out, seed: int = 6, chunk_bytes: int = parcels.C
         asked = np.bincount(of, np.concatenate([x[1] for x in asked]), len(contexts))
         return sent([(6, of, bucket, parcels.pack(lookup(ids, values, i), lookup(contexts, asked, i))) for (of, _), i in zip(rows, lexicon(rows, bucket, word_buckets)[0], strict=True)])
 
+    def answered(bucket: int, table: pa.Table, replies: pa.Table, kinds: tuple[bool, ...]):
+        """What chunks have sent, and of each kind of contexts what their final sweeps give."""
+        rows = loads(table, 3)
+        given = [x for _, x in loads(replies, 5)]
+        ids, value, d = (np.concatenate([x[k] for x in given] or [np.zeros(0)]) for k in range(3))
+        order = np.argsort(ids)
+        ids, value = ids[order], parent_probability(value[order].astype(float), totals_of(replies, 9))
+        contexts = seated(bucket, rows, kinds)
+        for c in contexts:
+            c.seat(float(d[0]) if len(d) else 0.5)
+        return rows, [(c, *c.predictive(ids, value)) for c in contexts]
+
     def predictive(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return sent([])
-        c = seated(key[0].as_py(), table)
-        ids = c.to_parent()[0]
-        value, order = np.empty(len(ids)), by_bucket(ids)[0]
-        value[order] = np.concatenate([x[0] for _, x in loads(replies, 5)] or [np.zeros(0)])
-        own, ask = c.predictive(parent_probability(value, totals_of(replies, 9)))
-        rows, begin = [], 0
-        for (of, x), end in zip(loads(table, 3), c.ends.tolist(), strict=True):
-            rows.append((7, of, key[0].as_py(), parcels.pack(own[c.of[begin:end]].astype(np.float32), ask[np.searchsorted(c.room_ids, x[0].astype(np.int64))].astype(np.float32))))
-            begin = end
-        # a context in parts sends what all of them ask by way of its word, so that a chunk needs no answer of each part
-        split = np.flatnonzero(c.parts > 1)
-        ids, asked = c.room_ids[split], ask[split]
-        order, parts = by_bucket(ids)
-        return sent(rows + [(10, b, key[0].as_py(), parcels.pack(ids[order][i:j], asked[order][i:j])) for b, i, j in parts])
+        rows, found = answered(key[0].as_py(), table, replies, (False, True))
+        runs, pairs = (np.cumsum([len(x[k]) for _, x in rows]) for k in (0, 2))
+        own, ask = np.zeros(int(pairs[-1]), np.float32), np.zeros(int(runs[-1]), np.float32)
+        for c, mine, asked in found:
+            own[c.pairs], ask[c.runs] = mine[c.of], asked[c.room_of_run]
+        return sent([(7, of, key[0].as_py(), parcels.pack(x, y)) for (of, _), x, y in zip(rows, np.split(own, pairs[:-1]), np.split(ask, runs[:-1]), strict=True)])
+
+    def asked_by_parts(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
+        """What the parts of split contexts ask the parent, by way of the context's word, so that a chunk needs no answer of each part."""
+        if not table.num_rows or not any((x[4] > 1).any() for _, x in loads(table, 3)):
+            return sent([])
+        _, ((c, _, ask),) = answered(key[0].as_py(), table, replies, (True,))
+        order, parts = by_bucket(c.room_ids)
+        return sent([(10, b, key[0].as_py(), parcels.pack(c.room_ids[order][i:j], ask[order][i:j])) for b, i, j in parts])
 
     def scores(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -427,17 +448,19 @@ def score(docs: DataFrame, held_out, seed: int = 6, chunk_bytes: int = parcels.C
 
     dealt = docs.groupBy("chunk")
     word_rows = dealt.applyInArrow(words, SENT)
-    asked = kind(word_rows, 1).groupBy("to")
+    asked = word_rows.groupBy("to")
     lexicon_all = asked.applyInArrow(known_words, SENT)
-    lexicon_rows, counted = kind(lexicon_all, 2), summed(kind(word_rows, 8).unionByName(kind(lexicon_all, 8)))
+    learned = docs.agg(F.count_if(~F.col("held_out")).cast("double").alias("c"))
+    lexicon_rows, counted = kind(lexicon_all, 2), summed(kind(lexicon_all, 8)).drop("c").crossJoin(F.broadcast(learned))
     pair_rows = dealt.cogroup(lexicon_rows.groupBy("to")).applyInArrow(pairs, SENT).groupBy("to")
     table_rows = pair_rows.applyInArrow(tables, SENT)
     parent_all = table_rows.groupBy("to").applyInArrow(parent_to_contexts, SENT)
     of_parent = summed(kind(parent_all, 9))
     to_contexts = kind(parent_all, 5).unionByName(to_each(of_parent, 9, context_buckets))
-    answers = pair_rows.cogroup(to_contexts.groupBy("to")).applyInArrow(predictive, SENT)
-    to_words = table_rows.unionByName(kind(answers, 10)).groupBy("to")
-    replies = lexicon_rows.unionByName(asked.cogroup(to_words).applyInArrow(parent_to_chunks, SENT)).unionByName(kind(answers, 7))
+    both = pair_rows.cogroup(to_contexts.groupBy("to"))
+    answers = both.applyInArrow(predictive, SENT)
+    to_words = table_rows.unionByName(both.applyInArrow(asked_by_parts, SENT)).groupBy("to")
+    replies = lexicon_rows.unionByName(asked.cogroup(to_words).applyInArrow(parent_to_chunks, SENT)).unionByName(answers)
     replies = replies.unionByName(to_each(of_parent, 9, chunks)).unionByName(to_each(counted, 8, chunks))
     names = {LONG: "long", pa.bool_(): "boolean", pa.float64(): "double", pa.list_(pa.float64()): "array<double>"}
     return dealt.cogroup(replies.groupBy("to")).applyInArrow(scores, ", ".join(f"{f.name} {names[f.type]}" for f in schema))

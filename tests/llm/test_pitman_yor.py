@@ -164,13 +164,15 @@ def test_predictive_is_a_distribution():
     before, word = rng.integers(0, 20, n), np.minimum(rng.zipf(1.4, n), words) - 1
     key, count = np.unique(before * words + word, return_counts=True)
     load = [key // words, np.ones(len(key), int), key % words, count, np.ones(len(key), int)]
-    c = P.Contexts([(0, load)], 1)
+    assert not len(P.Contexts([(0, load)], True, 1).known)
+    c = P.Contexts([(0, load)], False, 1)
+    c.seat(P.discount(count))
     ids, customers = c.to_parent()
     of, value, stats = P.parent_seating([(0, [ids, customers])], 1, 2)
     parent = P.parent_probability(value, stats)
     unknown = P.parent_probability(np.zeros(1), stats)[0]
     assert parent.sum() + unknown == pytest.approx(1)
-    own, ask = c.predictive(parent)
+    own, ask = c.predictive(of, parent)
     for room in range(len(c.room_ids)):
         here = c.room == room
         assert own[here].sum() + ask[room] == pytest.approx(c.count[here].sum())
