@@ -23,10 +23,12 @@ def session(app: str = "hubflow", master: str | None = None, **conf: str) -> Spa
 
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
-    """df written in the folder that spark.checkpoint.dir names (a new one where it is unset, as in tests) and read again."""
+    """df written in the folder that spark.checkpoint.dir names and read again. Where it is unset a session in one process gets a new folder; on a cluster that is an error."""
     spark = df.sparkSession
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     path = f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
