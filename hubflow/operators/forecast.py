@@ -47,6 +47,16 @@ def walk_forward_folds(days: DataFrame, folds: int = 4, width: int = 7) -> DataF
     return k.select("fold", F.expr(f"date_sub(end, {width} * ({folds} - fold + 1) - 1)").alias("first"), F.expr(f"date_sub(end, {width} * ({folds} - fold))").alias("last"))
 
 
+def leakage_guard(days: DataFrame, start, end, folds: int = 4, width: int = 7) -> DataFrame:
+    """The rows of a backtest's window. It must not start before the last fold's validation window, which models have learned from, nor end after the last date of days: else a ValueError."""
+    fold = walk_forward_folds(days, folds, width).where(F.col("fold") == folds).first()
+    if fold is None or fold.last is None:
+        raise ValueError("no days to test on")
+    if start < fold.first or end > fold.last:
+        raise ValueError(f"a backtest from {start} to {end} is not within {fold.first} to {fold.last}")
+    return days.where(F.col("date").between(F.lit(start), F.lit(end)))
+
+
 #: Boosting rounds. On the scaled target, near 1, each moves a prediction by up to 0.1, so the absolute loss takes effect.
 ROUNDS = 30
 

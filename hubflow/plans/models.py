@@ -1,5 +1,7 @@
 """Queries: splits, models, corrections and forecasts. Models have no SQL twin."""
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from hubflow import adapters as V
@@ -32,10 +34,10 @@ def walk_forward_folds(spark, sf):
 
 @query("leakage_guard", "SELECT lane, date FROM lane_day WHERE date >= (SELECT max(date) FROM lane_day) - CAST(6 AS INTEGER)")
 def leakage_guard(spark, sf):
-    """Rows of the only window that a backtest may look at: the last fold's."""
+    """Rows of the longest window that a backtest may look at."""
     d = V.lane_day(spark, sf)
-    fold = F.broadcast(forecast.walk_forward_folds(d).where("fold = 4"))
-    return d.join(fold, d["date"].between(F.col("first"), F.col("last"))).select("lane", "date")
+    end = d.agg(F.max("date")).first()[0]
+    return forecast.leakage_guard(d, end - timedelta(6), end).select("lane", "date")
 
 
 @query("correction_chain", """

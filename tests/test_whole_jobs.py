@@ -93,3 +93,16 @@ def test_bands_are_in_units_of_the_scale(spark):
     assert (r.low, r.high) == (pytest.approx(-0.8), pytest.approx(0.8))
     got = {x.scale_factor: (x.q10, x.q90) for x in forecast.with_bands(rows, bands).collect()}
     assert got == {s: (pytest.approx(0.2 * s), pytest.approx(1.8 * s)) for s in (10.0, 1000.0)}
+
+
+def test_backtests_that_leak_are_rejected(spark):
+    first = dt.date(1999, 1, 1)
+    days = spark.createDataFrame([("a", first + dt.timedelta(i)) for i in range(60)], "lane string, date date")
+    last = first + dt.timedelta(59)
+    assert forecast.leakage_guard(days, last - dt.timedelta(6), last).count() == 7
+    assert forecast.leakage_guard(days, last - dt.timedelta(2), last - dt.timedelta(1)).count() == 2
+    for start, end in ((last - dt.timedelta(7), last), (last, last + dt.timedelta(1))):
+        with pytest.raises(ValueError):
+            forecast.leakage_guard(days, start, end)
+    with pytest.raises(ValueError):
+        forecast.leakage_guard(days.limit(0), first, last)
