@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hubflow.llm.components import HUB, components, hubs, joined
+from hubflow.llm.memory import give_back, lean
 from hubflow.llm.scratch import release, written
 from hubflow.llm.words import GOLDEN, Words, combine, mix, runs, slices
 
@@ -131,19 +132,22 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, rows: int = 4) -> DataFr
     """doc_id, copy (hash of the whole text), sign (a byte of each coordinate), bands (a hash of each so many coordinates; empty without words)."""
     n_bands = COORDINATES // rows
 
+    def signed(part: pa.RecordBatch) -> pa.RecordBatch:
+        found = darts(Shingles(part["text"], shingle))
+        bands = found.reshape(len(found) * n_bands, rows)
+        hashes = bands[:, 0] + np.tile(np.arange(n_bands, dtype=np.uint64), len(found)) * np.uint64(GOLDEN)
+        for i in range(1, rows):
+            hashes = combine(hashes, bands[:, i])
+        hashes = hashes.view(np.int64).reshape(-1, n_bands)
+        some = found.any(1)
+        sign = (found >> np.uint64(40)).astype(np.uint8)
+        return pa.record_batch([part["doc_id"], part["copy"], pa.array([x.tobytes() for x in sign], pa.binary()), pa.array([h.tolist() if ok else [] for h, ok in zip(hashes, some.tolist(), strict=True)], pa.list_(pa.int64()))], names=["doc_id", "copy", "sign", "bands"])
+
     def compute(batches):
         for batch in batches:
             for begin, end in slices(batch["text"]):
-                part = batch.slice(begin, end - begin)
-                found = darts(Shingles(part["text"], shingle))
-                bands = found.reshape(len(found) * n_bands, rows)
-                hashes = bands[:, 0] + np.tile(np.arange(n_bands, dtype=np.uint64), len(found)) * np.uint64(GOLDEN)
-                for i in range(1, rows):
-                    hashes = combine(hashes, bands[:, i])
-                hashes = hashes.view(np.int64).reshape(-1, n_bands)
-                some = found.any(1)
-                sign = (found >> np.uint64(40)).astype(np.uint8)
-                yield pa.record_batch([part["doc_id"], part["copy"], pa.array([x.tobytes() for x in sign], pa.binary()), pa.array([h.tolist() if ok else [] for h, ok in zip(hashes, some.tolist(), strict=True)], pa.list_(pa.int64()))], names=["doc_id", "copy", "sign", "bands"])
+                yield signed(batch.slice(begin, end - begin))
+            give_back()
 
     return docs.mapInArrow(compute, "doc_id long, copy binary, sign binary, bands array<long>")
 
@@ -253,7 +257,7 @@ def connect(items: DataFrame, similar: float, shingle: int, block: int, block_by
                     add(MEMBER, grp, int(of.node[x]), int(of.node[r]))
         return made(*out)
 
-    within = written(cut.select(where.alias("bin"), "grp", "tile", *names).groupBy("bin").applyInArrow(inside, MADE), "links")
+    within = written(cut.select(where.alias("bin"), "grp", "tile", *names).groupBy("bin").applyInArrow(lean(inside), MADE), "links")
     links = within.where(F.col("kind") == LINK).select("a", "b")
     if large.isEmpty():
         return links
@@ -261,7 +265,7 @@ def connect(items: DataFrame, similar: float, shingle: int, block: int, block_by
     roots = members.where("node = root").select("grp", "node")
     few = roots.groupBy("grp").count().where(F.col("count") <= block).select("grp")
     tops = items.select("grp", *names).join(roots, ["grp", "node"]).join(few, "grp").withColumn("tile", F.lit(0))
-    between = written(tops.withColumn("bin", F.pmod(F.xxhash64("grp"), F.lit(bins))).groupBy("bin").applyInArrow(inside, MADE), "links")
+    between = written(tops.withColumn("bin", F.pmod(F.xxhash64("grp"), F.lit(bins))).groupBy("bin").applyInArrow(lean(inside), MADE), "links")
     links = links.unionByName(between.where(F.col("kind") == LINK).select("a", "b"))
     label = between.where(F.col("kind") == MEMBER).select("grp", F.col("a").alias("root"), F.col("b").alias("label"))
     members = written(members.join(label, ["grp", "root"], "left").select("grp", "node", F.coalesce("label", "root").alias("label")), "members")
@@ -284,7 +288,7 @@ def connect(items: DataFrame, similar: float, shingle: int, block: int, block_by
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table([pa.array(of.node[list(x)], pa.int64()) for x in (a, b)], names=["a", "b"])
 
-    bridges = at_home.select(columns).unionByName(visiting.select(columns)).groupBy("grp", "tile", "slice").applyInArrow(across, "a long, b long")
+    bridges = at_home.select(columns).unionByName(visiting.select(columns)).groupBy("grp", "tile", "slice").applyInArrow(lean(across), "a long, b long")
     return links.unionByName(bridges)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hubflow.llm import tokens
+from hubflow.llm.memory import give_back
 from hubflow.llm.scratch import written
 
 PIECES = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -47,6 +48,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4096) -> Da
             place = np.array(out["at"], np.int64)
             long = pa.int64()
             yield pa.record_batch([pa.array(out["doc"], long), pa.array(out["start"], long), pa.array(out["length"], long), pa.array(out["ids"], pa.binary()), pa.array(out["crc"], long), pa.array(out["total"], long), pa.array(place // length), pa.array(place % length)], names=["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            give_back()
 
     return rows.join(part_starts(rows), "part").select("doc_id", "ids", "start", "part_start").mapInArrow(cut, PIECES)
 

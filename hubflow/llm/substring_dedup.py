@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hubflow.llm import parcels
+from hubflow.llm.memory import lean
 from hubflow.llm.words import Words, combine, runs, shifted
 
 #: Words of the first level's windows at least.
@@ -121,9 +122,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, chunk_bytes: int = parcels
     def next_anchors(level: int):
         return lambda key, table, replies: anchors(level, key, table, replies)
 
-    found = repeated(dealt.applyInArrow(first_anchors, "hash long, chunk long"))
+    found = repeated(dealt.applyInArrow(lean(first_anchors), "hash long, chunk long"))
     for level in range(2, len(lengths)):
-        found = repeated(dealt.cogroup(found.groupBy("chunk")).applyInArrow(next_anchors(level), "hash long, chunk long"))
+        found = repeated(dealt.cogroup(found.groupBy("chunk")).applyInArrow(lean(next_anchors(level)), "hash long, chunk long"))
 
     columns = [("anchor", LONG), ("full", LONG), ("doc", LONG), ("row", LONG), ("place", LONG)]
 
@@ -163,12 +164,12 @@ def remove_repeats(docs: DataFrame, window: int = 20, chunk_bytes: int = parcels
             out.append(b" ".join([x for x, ok in zip(words, here.tolist(), strict=True) if ok] if removed[-1] else words).decode())
         return pa.table([w.docs["doc_id"], pa.array(out, pa.string()), pa.array(np.diff(first), LONG), pa.array(removed, LONG), *(w.docs[f"keep{i}"] for i in range(len(keep)))], names=[*names, *(f"keep{i}" for i in range(len(keep)))])
 
-    sent = dealt.cogroup(found.groupBy("chunk")).applyInArrow(windows, ", ".join(f"{n} long" for n, _ in columns))
+    sent = dealt.cogroup(found.groupBy("chunk")).applyInArrow(lean(windows), ", ".join(f"{n} long" for n, _ in columns))
     earlier = F.row_number().over(Window.partitionBy("full", "anchor").orderBy("doc", "row", "place")) - 1
     later = sent.withColumn("earlier", earlier).where("earlier > 0").select(parcels.chunk_of("row", chunks).alias("chunk"), "row", "place")
     kinds = ["long", "string", "long", "long", *(given[c].dataType.simpleString() for c in keep)]
     schema = ", ".join(f"{n} {k}" for n, k in zip([*names, *(f"keep{i}" for i in range(len(keep)))], kinds, strict=True))
-    out = dealt.cogroup(later.groupBy("chunk")).applyInArrow(kept, schema)
+    out = dealt.cogroup(later.groupBy("chunk")).applyInArrow(lean(kept), schema)
     return out.select(*names, *(F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)))
 
 

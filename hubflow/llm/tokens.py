@@ -10,6 +10,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hubflow.llm.memory import give_back
+
 #: Marks that end a run of letters or digits and start a run of their own, and are in no special token or contraction.
 TAIL = '!"#$%&()*+,-./:;=?@[\\]^_`{}~'
 #: How a byte-level tokenizer shows bytes over 127 that aren't printable characters of Latin-1.
@@ -119,6 +121,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             n = len(loads)
             yield pa.record_batch([batch["doc_id"], pa.array(np.full(n, part, np.int64)), pa.array(place + np.arange(n)), pa.array(starts), pa.array(sizes), pa.array(loads, pa.binary())], names=["doc_id", "part", "place", "start", "n_tokens", "ids"])
             place, start = place + n, start + int(sizes.sum())
+            give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(encode, TOKENS)
 
