@@ -4,6 +4,8 @@ Sums of powers modulo 2 ** 64 can be made to collide by strings of a thousand by
 doubles itself with its complement), so words over LONG bytes are hashed by xxh3 instead.
 """
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,17 +37,18 @@ def combine(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * np.uint64(GOLDEN) + (right ^ np.uint64(MIX_B)))
 
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes that are hashed at once.
+BLOCK = 1 << 18
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and its inverse modulo 2 ** 64, for i in 0..n-1."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            x = np.full(max(n, 1 << 21), base, np.uint64)
-            x[0] = 1
-            _powers[k] = np.cumprod(x)
-    return _powers[0][:n], _powers[1][:n]
+@functools.cache
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """BASE ** i and its inverse modulo 2 ** 64, for the bytes of a block and of a word that begins in it."""
+    out = np.ones((2, BLOCK + LONG), np.uint64)
+    for x, base in zip(out, (BASE, pow(BASE, -1, 1 << 64)), strict=True):
+        x[1:] = base
+        np.cumprod(x, out=x)
+    return out[0], out[1]
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -71,10 +74,15 @@ class Words:
         begins[at] = True
         start = np.flatnonzero(ink & (begins[:-1] | ~np.concatenate(([False], ink[:-1])))) if n else np.zeros(0, np.int64)
         end = np.flatnonzero(ink & (begins[1:] | ~np.concatenate((ink[1:], [False])))) + 1 if n else np.zeros(0, np.int64)
-        power, inverse = powers(n)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((LOWER if lower else BYTES)[data] * power, out=total[1:])
-        self.hash = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(GOLDEN))
+        power, inverse = powers()
+        table, self.hash = LOWER if lower else BYTES, np.empty(len(start), np.uint64)
+        cut = np.searchsorted(start, np.arange(0, n + BLOCK, BLOCK))
+        for k, low in enumerate(range(0, n, BLOCK)):
+            part, here = data[low : low + BLOCK + LONG], slice(cut[k], cut[k + 1])
+            s, e = start[here] - low, np.minimum(end[here] - low, len(part))  # longer words follow below
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(table[part] * power[: len(part)], out=total[1:])
+            self.hash[here] = mix((total[e] - total[s]) * inverse[s] + (end[here] - start[here]).astype(np.uint64) * np.uint64(GOLDEN))
         long = np.flatnonzero(end - start > LONG)
         if len(long):
             raw = (LOWERED[data] if lower else data).tobytes()
