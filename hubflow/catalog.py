@@ -10,7 +10,7 @@ import re
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-MODULES = ("rollups", "windows", "dates", "formulas", "scores", "network", "ledgers", "audits", "ingest", "models")
+MODULES = ("rollups", "windows", "dates", "formulas", "scores", "network", "ledgers", "audits", "routes", "ingest", "models")
 
 
 def query(name: str, sql: str | None = None):
@@ -40,7 +40,8 @@ def with_views(sql: str) -> str:
     if not views:
         return sql
     body = sql.strip()
-    return f"WITH {views},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {views}\n{body}"
+    start = next((w for w in ("WITH RECURSIVE ", "WITH ") if body.upper().startswith(w)), "")
+    return f"{start}{views},\n{body[len(start) :]}" if start else f"WITH {views}\n{body}"
 
 
 def load() -> None:

@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 from hubflow import adapters as V
 from hubflow.catalog import query
 from hubflow.functions import timecost as T
-from hubflow.operators import calendar
+from hubflow.operators import calendar, carry
 from hubflow.plans.dates import HOUR
 from hubflow.plans.ledgers import ASSIGNED, SPLIT, TRUCKS, assignments, buckets, empty_rental_union, truck_ledger_of, vehicle_shares
 from hubflow.sources.readers import plan_of_demands
 
+#: What a truck holds.
+TRUCK = V.VEHICLES[0][1]
+
 #: A shipped plan with mistakes, so that the checks find some: every 97th demand is missing and every 101st short.
 FAULTY = "(SELECT demand_id, CASE WHEN (hash_no % 101) = 0 THEN share - 2 ELSE share END AS share FROM (SELECT demand_id, share, len(demand_id) * 7 + CAST(floor(volume / 1000) AS BIGINT) AS hash_no FROM sh WHERE share > 0.001) WHERE hash_no % 97 <> 0)"
 
@@ -38,39 +41,6 @@ def volume_conservation(spark, sf):
     return d.where(F.abs(missing) > 1).select("demand_id", F.round(missing, 4).alias("missing"), F.col("moved").isNull().alias("never"))
 
 
-SLA = f"""
-    {ASSIGNED}, lt AS (SELECT demand_id, is_rental, volume, target_days, greatest(0, ceil((ceil(round(hours * 60, 9)) + ceil(round(volume * 0.01, 9)) - target_days * 300) / 60)) AS late FROM asg),
-    st AS (SELECT *, round(volume * late * 0.4, 4) AS expected, round(volume * (late + CASE WHEN CAST(floor(volume / 1000) AS BIGINT) % 13 = 0 THEN 1 ELSE 0 END) * 0.4, 4) AS reported FROM lt),
-    ss AS (SELECT demand_id, is_rental, expected, reported, CASE WHEN abs(expected - reported) <= 0.02 THEN 'OK' ELSE 'MISMATCH' END AS status FROM st)"""
-
-
-def sla_states(spark, sf):
-    """Penalties computed anew against those of a plan in which every 13th load is one hour off."""
-    late = F.greatest(F.lit(0), F.ceil((T.travel_minutes("hours") + T.handling_minutes("volume") - F.col("target_days") * 300) / 60))
-    off = ((F.col("volume") / 1000).cast("long") % 13 == 0).cast("int")
-    d = assignments(spark, sf).withColumn("late", late)
-    d = d.select("demand_id", "is_rental", F.round(T.sla_penalty("volume", "late"), 4).alias("expected"), F.round(T.sla_penalty("volume", F.col("late") + off), 4).alias("reported"))
-    return d.withColumn("status", F.when(F.abs(F.col("expected") - F.col("reported")) <= 0.02, "OK").otherwise("MISMATCH"))
-
-
-@query("sla_recheck", f"WITH {SLA} SELECT * FROM ss")
-def sla_recheck(spark, sf):
-    return sla_states(spark, sf)
-
-
-@query("status_summary", f"WITH {SLA} SELECT status, count(*) AS n, round(sum(reported - expected), 2) AS difference FROM ss GROUP BY status")
-def status_summary(spark, sf):
-    return sla_states(spark, sf).groupBy("status").agg(F.count("*").alias("n"), F.round(F.sum(F.col("reported") - F.col("expected")), 2).alias("difference"))
-
-
-@query("truck_limit", f"WITH {ASSIGNED}, {TRUCKS} SELECT hub, day, CAST(tr.trucks AS BIGINT) AS used, coalesce(h.trucks, 0) AS capacity FROM tr LEFT JOIN (SELECT * FROM hub_capacity WHERE trucks <> 8) h USING (hub) WHERE tr.trucks > coalesce(h.trucks, 0)")
-def truck_limit(spark, sf):
-    """Hub-days with more trucks than fit; a hub without a figure fits none."""
-    cap = F.broadcast(V.hub_capacity(spark, sf).where("trucks != 8").select("hub", F.col("trucks").alias("capacity")))
-    used = truck_ledger_of(buckets(assignments(spark, sf))).withColumnRenamed("trucks", "used")
-    return used.join(cap, "hub", "left").withColumn("capacity", F.coalesce("capacity", F.lit(0))).where("used > capacity").select("hub", "day", "used", "capacity")
-
-
 USED = f"""
     {SPLIT}, us AS (SELECT source, destination, day, count(DISTINCT vehicle) AS used FROM sh WHERE share > 0.001 AND is_rental GROUP BY ALL),
     ct AS (SELECT r.source, r.destination, d.day, r.vehicle_count AS contract, coalesce(us.used, 0) AS used FROM rentals r CROSS JOIN (SELECT DISTINCT day FROM demands) d LEFT JOIN us ON us.source = r.source AND us.destination = r.destination AND us.day = d.day)"""
@@ -103,49 +73,73 @@ def min_occupancy(spark, sf):
     return b.where(F.col("occupancy") < least).select("source", "destination", "day", "slot", "vehicle_type", F.round("occupancy", 9).alias("occupancy"))
 
 
-@query("truck_continuity", f"""
-    WITH {SPLIT}, v AS (SELECT DISTINCT vehicle_type || vehicle AS vehicle, day, slot, source, destination FROM sh WHERE share > 0.001 AND is_rental),
-    o AS (SELECT *, lag(destination) OVER (PARTITION BY vehicle ORDER BY day, slot, source, destination) AS before FROM v)
-    SELECT source AS hub, day, count(*) AS departures FROM o WHERE before IS NULL OR before <> source GROUP BY ALL""")
-def truck_continuity(spark, sf):
-    """Departures of rented trucks that didn't just arrive at that hub."""
-    v = vehicle_shares(spark, sf).where("is_rental").select(F.concat("vehicle_type", F.col("vehicle").cast("string")).alias("vehicle"), "day", "slot", "source", "destination").distinct()
-    before = F.lag("destination").over(Window.partitionBy("vehicle").orderBy("day", "slot", "source", "destination"))
-    return v.withColumn("before", before).where("before is null or before != source").groupBy(F.col("source").alias("hub"), "day").agg(F.count("*").alias("departures"))
-
-
+#: The plan of deferrals by a recursion over days, all lanes at once: what each lane carries after a day's first and second slot.
 CARRY = f"""
-    ds AS (SELECT source, destination, day, slot, CAST(day AS TIMESTAMP) + to_hours({HOUR}) AS began, sum(volume) AS demand FROM demands GROUP BY ALL),
-    cr AS (SELECT *, greatest(0, demand - 22400) AS deferred, lag(greatest(0, demand - 22400)) OVER (PARTITION BY source, destination ORDER BY began) AS before, lead(began) OVER (PARTITION BY source, destination ORDER BY began) AS next FROM ds)"""
-
-
-def carried(spark, sf):
-    """Each lane and slot carries a truck load of its own demand and defers the rest to its next slot."""
-    d = V.demands(spark, sf).groupBy("source", "destination", "day", "slot").agg(F.sum("volume").alias("demand")).withColumn("began", F.unix_timestamp(calendar.slot_timestamp("day", "slot")))
-    w = Window.partitionBy("source", "destination").orderBy("began")
-    d = d.withColumn("deferred", F.greatest(F.lit(0.0), F.col("demand") - 22400))
-    return d.withColumns({"before": F.lag("deferred").over(w), "next": F.lead("began").over(w)})
-
-
-@query("deferral_penalty", f"WITH {CARRY} SELECT source, destination, day, slot, round(deferred * coalesce((epoch(next) - epoch(began)) / 3600, 0) * 0.4, 4) AS penalty FROM cr WHERE deferred > 0")
+    x AS MATERIALIZED (SELECT source, destination, day, sum(volume) FILTER (slot = '09:00') AS a, sum(volume) FILTER (slot = '17:00') AS b FROM demands GROUP BY ALL),
+    dy AS MATERIALIZED (SELECT day, row_number() OVER (ORDER BY day) AS i, lead(day) OVER (ORDER BY day) AS after FROM (SELECT DISTINCT day FROM demands)),
+    ln AS MATERIALIZED (SELECT l.*, coalesce(vehicle_count, 0) AS stock, row_number() OVER (ORDER BY l.source, l.destination) AS n FROM (SELECT DISTINCT source, destination FROM demands) l LEFT JOIN rentals r ON r.source = l.source AND r.destination = l.destination),
+    gd AS MATERIALIZED (SELECT ln.*, dy.*, CAST(coalesce(a, 0) AS DOUBLE) AS a, CAST(coalesce(b, 0) AS DOUBLE) AS b FROM ln CROSS JOIN dy LEFT JOIN x ON x.source = ln.source AND x.destination = ln.destination AND x.day = dy.day),
+    ca AS (SELECT list(CAST(stock * {TRUCK} + {TRUCK} AS DOUBLE) ORDER BY n) AS c FROM ln),
+    dd AS MATERIALIZED (SELECT i, list(a ORDER BY n) AS a, list(b ORDER BY n) AS b FROM gd GROUP BY i),
+    rc AS (SELECT CAST(0 AS BIGINT) AS i, [CAST(0 AS DOUBLE) for z in c] AS p, [CAST(0 AS DOUBLE) for z in c] AS q FROM ca
+      UNION ALL SELECT i, p, list_transform(list_zip(p, b), lambda t: greatest(CAST(0 AS DOUBLE), t[1] + t[2] - {TRUCK})) FROM (
+        SELECT dd.i, list_transform(list_zip(rc.q, dd.a, ca.c), lambda t: greatest(CAST(0 AS DOUBLE), t[1] + t[2] - t[3])) AS p, dd.b FROM rc JOIN dd ON dd.i = rc.i + 1, ca)),
+    un AS MATERIALIZED (SELECT i, unnest(range(1, len(p) + 1)) AS n, unnest(p) AS p, unnest(q) AS q FROM rc),
+    sl AS MATERIALIZED (SELECT gd.source, gd.destination, gd.day, '09:00' AS slot, gd.stock, a AS demand, o.q AS inbound, u.p AS deferred, FALSE AS last, gd.stock * {TRUCK} AS rented, 8 AS hours, CAST(gd.day AS TIMESTAMP) + INTERVAL 9 HOUR AS began
+        FROM gd JOIN un u ON u.n = gd.n AND u.i = gd.i JOIN un o ON o.n = gd.n AND o.i = gd.i - 1
+      UNION ALL SELECT gd.source, gd.destination, gd.day, '17:00', gd.stock, b, u.p, CASE WHEN after IS NULL THEN 0 ELSE u.q END, after IS NULL, 0, coalesce(date_diff('day', gd.day, after) * 24 - 8, 0), CAST(gd.day AS TIMESTAMP) + INTERVAL 17 HOUR
+        FROM gd JOIN un u ON u.n = gd.n AND u.i = gd.i),
+    pl AS MATERIALIZED (SELECT *, inbound + demand - deferred AS moved, least(inbound + demand - deferred, rented) AS rental_load, inbound + demand - deferred - least(inbound + demand - deferred, rented) AS spot_load FROM sl)"""
+
+
+def deferred_plan(spark, sf):
+    """Of each lane and slot of the calendar what waits, what goes and by which vehicles: rented trucks at 09:00, one more truck in each slot, all in the last."""
+    return carry.weekly_plan(V.demands(spark, sf), V.rentals(spark, sf), TRUCK, V.SLOTS)
+
+
+@query("deferral_penalty", f"WITH RECURSIVE {CARRY} SELECT source, destination, day, slot, deferred, round_even(deferred * hours * 0.4, 0) AS penalty FROM pl WHERE deferred > 0")
 def deferral_penalty(spark, sf):
+    """What waits in a slot, for as long as it takes to the next one; the same volume may wait several times."""
     hours = F.coalesce((F.col("next") - F.col("began")) / 3600, F.lit(0.0))
-    return carried(spark, sf).where("deferred > 0").select("source", "destination", "day", "slot", F.round(F.col("deferred") * hours * T.PENALTY, 4).alias("penalty"))
-
-
-@query("carry_balance", f"WITH {CARRY} SELECT source, destination, day, slot, round(coalesce(before, 0) + demand - deferred, 4) AS carried, next IS NULL AND deferred > 0 AS left_at_end FROM cr WHERE coalesce(before, 0) + demand - deferred > 22400 OR (next IS NULL AND deferred > 0)")
+    return deferred_plan(spark, sf).where("deferred > 0").select("source", "destination", "day", "slot", "deferred", F.bround(T.sla_penalty("deferred", hours), 0).alias("penalty"))
+
+
+@query("carry_balance", f"""
+    WITH RECURSIVE {CARRY},
+    fn AS (SELECT *, dayofyear(day) + 3 * length(source) + length(destination) AS k, CAST(ceil(rental_load / {TRUCK} - 1e-9) AS BIGINT) AS rv, CAST(ceil(spot_load / {TRUCK} - 1e-9) AS BIGINT) AS sv FROM pl),
+    fp AS MATERIALIZED (SELECT source, destination, day, slot, began, last, stock, demand, rental_load, sv, rv + CASE WHEN k % 89 = 0 AND slot = '09:00' THEN 1 ELSE 0 END AS rv,
+      CASE WHEN last AND length(source) % 3 = 0 THEN greatest(0, spot_load - 10) WHEN k % 83 = 0 AND spot_load > 20000 THEN spot_load + 5000 ELSE spot_load END AS spot_load,
+      CASE WHEN last AND length(source) % 3 = 0 THEN deferred + least(10, spot_load) WHEN k % 97 = 0 THEN deferred + 1 WHEN k % 83 = 0 AND spot_load > 20000 THEN deferred - 5000 ELSE deferred END AS deferred FROM fn),
+    fw AS (SELECT *, coalesce(lag(deferred) OVER (PARTITION BY source, destination ORDER BY began), 0) AS before, sum(rv) OVER (PARTITION BY source, destination, day) AS day_rentals FROM fp)
+    SELECT source, destination, day, slot, 'balance' AS rule, round(before + demand - rental_load - spot_load - deferred, 4) AS amount FROM fw WHERE abs(before + demand - rental_load - spot_load - deferred) > 1e-6
+    UNION ALL SELECT source, destination, day, slot, 'left_at_end', round(deferred, 4) FROM fw WHERE last AND deferred > 1e-6
+    UNION ALL SELECT source, destination, day, slot, 'rental_stock', CAST(day_rentals - stock AS DOUBLE) FROM fw WHERE day_rentals > stock
+    UNION ALL SELECT source, destination, day, slot, 'load', round(rental_load + spot_load - (rv + sv) * {TRUCK}, 4) FROM fw WHERE rental_load + spot_load > (rv + sv) * {TRUCK} + 1e-6
+    UNION ALL SELECT source, destination, day, slot, 'low_load', round(spot_load, 4) FROM fw WHERE NOT last AND spot_load + 1e-6 < 0.1 * sv * {TRUCK}""")
 def carry_balance(spark, sf):
-    """Where the balance of deferred, new and carried volume breaks the rules: over a truck load, or volume left at the end."""
-    moved = F.coalesce("before", F.lit(0.0)) + F.col("demand") - F.col("deferred")
-    left = F.col("next").isNull() & (F.col("deferred") > 0)
-    return carried(spark, sf).where((moved > 22400) | left).select("source", "destination", "day", "slot", F.round(moved, 4).alias("carried"), left.alias("left_at_end"))
-
-
-@query("carry_over_view", f"WITH {CARRY} SELECT source, day, slot, sum(demand) AS demand, sum(demand - deferred) AS on_time, sum(deferred) AS deferred, coalesce(sum(before), 0) AS inbound, array_to_string(list_sort(list(DISTINCT destination) FILTER (deferred > 0)), ', ') AS late_to FROM cr GROUP BY source, day, slot")
+    """The rules that a plan breaks in which some slots were tampered with: volume that vanishes, that is left at the end or over capacity, and a rented truck too many."""
+    k = F.dayofyear("day") + 3 * F.length("source") + F.length("destination")
+    end, over = F.col("next").isNull() & (F.length("source") % 3 == 0), (k % 83 == 0) & (F.col("spot_load") > 20000)
+    plan = deferred_plan(spark, sf).withColumns({
+        "rental_vehicles": F.col("rental_vehicles") + ((k % 89 == 0) & (F.col("slot") == "09:00")).cast("int"),
+        "deferred": F.when(end, F.col("deferred") + F.least(F.lit(10.0), F.col("spot_load"))).when(k % 97 == 0, F.col("deferred") + 1).when(over, F.col("deferred") - 5000).otherwise(F.col("deferred")),
+        "spot_load": F.when(end, F.greatest(F.lit(0.0), F.col("spot_load") - 10)).when(over, F.col("spot_load") + 5000).otherwise(F.col("spot_load")),
+    })
+    return carry.broken_rules(plan, TRUCK)
+
+
+@query("carry_over_view", f"""
+    WITH RECURSIVE {CARRY},
+    ax AS MATERIALIZED (SELECT *, greatest(0, moved - inbound) AS on_time, demand - greatest(0, moved - inbound) AS late, round(sum(demand) OVER w, 4) AS asked, round(sum(moved) OVER w, 4) AS gone FROM pl WINDOW w AS (PARTITION BY source, destination ORDER BY began)),
+    mv AS MATERIALIZED (SELECT source, destination, began, gone FROM ax WHERE moved > 0),
+    lt AS MATERIALIZED (SELECT source, destination, began, round(asked - late, 4) AS low, asked AS high FROM ax WHERE late > 1e-6),
+    ft AS (SELECT lt.source, lt.destination, lt.began, mv.began AS target FROM lt ASOF JOIN mv ON mv.source = lt.source AND mv.destination = lt.destination AND lt.low < mv.gone),
+    tt AS (SELECT lt.source, lt.destination, lt.began, mv.began AS target FROM lt ASOF JOIN mv ON mv.source = lt.source AND mv.destination = lt.destination AND lt.high <= mv.gone)
+    SELECT ax.source, ax.destination, ax.day, ax.slot, demand, on_time, late AS deferred, moved - on_time AS inbound, ft.target AS first_target, tt.target AS last_target, demand > 0 AND late > 1e-6 AND on_time <= 0 AS cancelled, late > 1e-6 AND on_time > 0 AS partial
+    FROM ax LEFT JOIN ft ON ft.source = ax.source AND ft.destination = ax.destination AND ft.began = ax.began LEFT JOIN tt ON tt.source = ax.source AND tt.destination = ax.destination AND tt.began = ax.began WHERE demand > 0 OR moved > 0""")
 def carry_over_view(spark, sf):
-    late = F.array_join(F.array_sort(F.collect_set(F.when(F.col("deferred") > 0, F.col("destination")))), ", ")
-    d = carried(spark, sf).groupBy("source", "day", "slot").agg(F.sum("demand").alias("demand"), F.sum(F.col("demand") - F.col("deferred")).alias("on_time"), F.sum("deferred").alias("deferred"), F.coalesce(F.sum("before"), F.lit(0.0)).alias("inbound"), late.alias("late_to"))
-    return d.withColumn("late_to", F.when(F.col("late_to") != "", F.col("late_to")))
+    """What goes in time and what waits of each slot's demand, until when, and what came in from before."""
+    return carry.waiting(deferred_plan(spark, sf))
 
 
 @query("read_results", f"WITH {SPLIT} SELECT sh.demand_id, sh.source, sh.destination, round(sh.share, 6) AS volume, l.target_days FROM sh LEFT JOIN lanes l ON l.source = sh.source AND l.destination = sh.destination WHERE share > 0.001")

@@ -96,14 +96,6 @@ def vehicle_split(spark, sf):
     return vehicle_shares(spark, sf).select("demand_id", "is_rental", "vehicle", R("share", 6))
 
 
-@query("vehicle_codes", f"WITH {SPLIT}, d AS (SELECT DISTINCT day, source, destination, vehicle_type, is_rental, vehicle FROM sh WHERE share > 0.001) SELECT day, source, destination, vehicle_type, is_rental, CAST(vehicle AS INTEGER) AS vehicle, format('V{{:04d}}', row_number() OVER (PARTITION BY day ORDER BY source, destination, vehicle_type, is_rental, vehicle)) AS code FROM d")
-def vehicle_codes(spark, sf):
-    """Numbers of a day's vehicles: the window is partitioned by day, so it doesn't hold the whole plan."""
-    d = vehicle_shares(spark, sf).select("day", "source", "destination", "vehicle_type", "is_rental", "vehicle").distinct()
-    n = F.row_number().over(Window.partitionBy("day").orderBy("source", "destination", "vehicle_type", "is_rental", "vehicle"))
-    return d.withColumn("code", F.format_string("V%04d", n))
-
-
 @query("piece_ids", f"WITH {SPLIT} SELECT demand_id, CAST(vehicle AS INTEGER) AS vehicle, is_rental, CASE WHEN count(*) OVER (PARTITION BY demand_id) > 1 THEN demand_id || '-' || row_number() OVER (PARTITION BY demand_id ORDER BY is_rental DESC, vehicle) ELSE demand_id END AS piece_id FROM sh WHERE share > 0.001")
 def piece_ids(spark, sf):
     w = Window.partitionBy("demand_id")
@@ -134,28 +126,6 @@ def vehicle_cost(spark, sf):
     return vehicle_costs(spark, sf).select(*DAY_LEG, "vehicle", "cost")
 
 
-@query("plan_fact", f"""
-    WITH {COSTED} SELECT s.demand_id, s.is_rental, CAST(s.vehicle AS INTEGER) AS vehicle, round(s.share, 6) AS share, round(k.cost * s.share / k.load, 4) AS cost,
-      round(CASE WHEN s.is_rental THEN 0 ELSE s.share * greatest(0, ceil((ceil(round(s.hours * 60, 9)) + ceil(round(k.load * 0.01, 9)) - s.target_days * 300) / 60)) * 0.4 END, 4) AS penalty
-    FROM sh s JOIN vk k ON k.source = s.source AND k.destination = s.destination AND k.day = s.day AND k.vehicle_type = s.vehicle_type AND k.is_rental = s.is_rental AND k.vehicle = s.vehicle WHERE s.share > 0.001""")
-def plan_fact(spark, sf):
-    """A row for each piece on a vehicle, with its part of the vehicle's cost and, by spot, its penalty (five hours for a target day)."""
-    d = vehicle_shares(spark, sf).withColumn("load", F.sum("share").over(Window.partitionBy(*DAY_LEG, "vehicle")))
-    d = d.withColumn("vehicle_cost", cost_of_load(F.col("load")))
-    late = F.greatest(F.lit(0), F.ceil((T.travel_minutes("hours") + T.handling_minutes("load") - F.col("target_days") * 300) / 60))
-    penalty = F.when(F.col("is_rental"), 0.0).otherwise(T.sla_penalty("share", late))
-    return d.select("demand_id", "is_rental", "vehicle", R("share", 6), F.round(F.col("vehicle_cost") * F.col("share") / F.col("load"), 4).alias("cost"), F.round(penalty, 4).alias("penalty"))
-
-
-@query("cost_summary", f"""
-    WITH {COSTED} SELECT coalesce(CAST(day AS VARCHAR), 'all') AS day, sum(cost) FILTER (is_rental) AS rental_handling, sum(cost) FILTER (NOT is_rental) AS spot, sum(cost) AS total, count(*) AS vehicles FROM vk GROUP BY ROLLUP (day)""")
-def cost_summary(spark, sf):
-    """Costs of each day and in all, in one pass."""
-    c = vehicle_costs(spark, sf)
-    out = c.rollup("day").agg(F.sum(F.when(F.col("is_rental"), F.col("cost"))).alias("rental_handling"), F.sum(F.when(~F.col("is_rental"), F.col("cost"))).alias("spot"), F.sum("cost").alias("total"), F.count("*").alias("vehicles"))
-    return out.withColumn("day", F.coalesce(F.col("day").cast("string"), F.lit("all")))
-
-
 HANDLED = f"""
     {ASSIGNED},
     op AS MATERIALIZED (SELECT source AS hub, CAST(day AS TIMESTAMP) + to_hours({HOUR}) AS began, volume, CAST(ceil(round(volume * 0.01, 9)) AS BIGINT) AS minutes FROM bk
@@ -280,18 +250,6 @@ def overloaded_hub_days(spark, sf):
     return handling_ledger_of(buckets(assignments(spark, sf))).join(cap, "hub").where("handled > 0.85 * handling").select("hub", "day", F.round(F.col("handled") / F.col("handling"), 6).alias("load"))
 
 
-@query("violation_penalty", f"""
-    WITH {HANDLED}, x AS (SELECT hub, day FROM hd JOIN hub_capacity USING (hub) WHERE handled > handling + 1e-6)
-    SELECT demand_id, sum(1000 * volume * ((SELECT count(*) FROM x WHERE x.hub = asg.source AND x.day = asg.day) + (SELECT count(*) FROM x WHERE x.hub = asg.destination AND x.day = asg.day))) AS penalty FROM asg GROUP BY demand_id""")
-def violation_penalty(spark, sf):
-    """1000 for each unit and overloaded end of a demand's legs on its day."""
-    a = assignments(spark, sf)
-    cap = F.broadcast(V.hub_capacity(spark, sf).select("hub", "handling"))
-    over = handling_ledger_of(buckets(a)).join(cap, "hub").where("handled > handling + 1e-6").select("hub", "day", F.lit(1).alias("over"))
-    ends = a.select("demand_id", "day", "volume", F.explode(F.array("source", "destination")).alias("hub")).join(over, ["hub", "day"], "left")
-    return ends.groupBy("demand_id").agg(F.sum(F.coalesce("over", F.lit(0)) * F.col("volume") * 1000).alias("penalty"))
-
-
 @query("eviction_set", f"""
     WITH {HANDLED}, x AS (SELECT hub, day, handled - handling AS excess FROM hd JOIN hub_capacity USING (hub) WHERE handled > handling + 1e-6),
     o AS (SELECT d.demand_id, d.volume, x.*, coalesce(sum(volume) OVER (PARTITION BY hub, x.day ORDER BY volume, demand_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM demands d JOIN x ON x.hub = d.source AND x.day = d.day)
@@ -327,16 +285,6 @@ def merge_duplicates(spark, sf):
     return out.select(F.col("legs")[0]["source"].alias("source"), F.col("legs")[0]["destination"].alias("destination"), "day", F.col("legs")[0]["vehicle_type"].alias("vehicle_type"), "volume", "n")
 
 
-@query("objective", f"""
-    WITH {COSTED.replace(ASSIGNED, HANDLED)} SELECT round((SELECT sum(cost) FROM vk) + 1000 * (SELECT coalesce(sum(greatest(0, handled - handling)), 0) FROM hd JOIN hub_capacity USING (hub)), 2) AS objective""")
-def objective(spark, sf):
-    """Vehicle costs and the price of handling beyond capacity."""
-    cap = F.broadcast(V.hub_capacity(spark, sf).select("hub", "handling"))
-    cost = vehicle_costs(spark, sf).agg(F.sum("cost").alias("a"))
-    over = handling_ledger_of(buckets(assignments(spark, sf))).join(cap, "hub").agg((1000 * F.coalesce(F.sum(F.greatest(F.lit(0.0), F.col("handled") - F.col("handling"))), F.lit(0.0))).alias("b"))
-    return cost.crossJoin(over).select(F.round(F.col("a") + F.col("b"), 2).alias("objective"))
-
-
 @query("empty_rental_union", f"""
     WITH {SPLIT}, u AS (SELECT source, destination, day, sum(volume) AS v FROM asg WHERE is_rental GROUP BY ALL), g AS (SELECT r.*, d.day FROM rentals r, (SELECT DISTINCT day FROM demands) d)
     SELECT source, destination, day, vehicle_type, demand_id, round(share, 6) AS volume FROM sh WHERE share > 0.001

@@ -166,14 +166,3 @@ def leg_timetable(spark, sf):
     d = d.withColumn("depart_1", T.plus_minutes("began", "hm")).withColumn("arrive_1", T.plus_minutes("depart_1", T.travel_minutes("h1")))
     d = d.withColumn("depart_2", T.plus_minutes("arrive_1", F.col("hm") * 2)).withColumn("arrive_2", T.plus_minutes("depart_2", T.travel_minutes("h2")))
     return d.select("demand_id", "depart_1", "arrive_1", "depart_2", "arrive_2")
-
-
-@query("vehicle_times", f"""
-    WITH {RELAYED}, a AS (SELECT *, CAST(ceil(round(volume * 0.01, 9)) AS BIGINT) AS hm FROM rl), b AS (SELECT *, began + to_minutes(hm + CAST(ceil(round(h1 * 60, 9)) AS BIGINT)) + to_minutes(2 * hm) AS ready FROM a)
-    SELECT r AS hub, destination, day, slot, max(ready) AS departure, max(ready) + to_minutes(CAST(ceil(round(any_value(h2) * 60, 9)) AS BIGINT)) AS arrival, count(*) AS feeders FROM b GROUP BY r, destination, day, slot""")
-def vehicle_times(spark, sf):
-    """A vehicle of the second leg goes when all that feed it have come and been handled twice."""
-    d = relayed(spark, sf).withColumn("began", calendar.slot_timestamp("day", "slot")).withColumn("hm", T.handling_minutes("volume"))
-    d = d.withColumn("ready", T.plus_minutes("began", F.col("hm") * 3 + T.travel_minutes("h1")))
-    v = d.groupBy(F.col("r").alias("hub"), "destination", "day", "slot").agg(F.max("ready").alias("departure"), F.first("h2").alias("h2"), F.count("*").alias("feeders"))
-    return v.select("hub", "destination", "day", "slot", "departure", T.plus_minutes("departure", T.travel_minutes("h2")).alias("arrival"), "feeders")

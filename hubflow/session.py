@@ -1,5 +1,7 @@
 """Sessions set up as the operators expect them."""
 
+import atexit
+import sys
 import tempfile
 import uuid
 
@@ -22,8 +24,12 @@ def session(app: str = "hubflow", master: str | None = None, **conf: str) -> Spa
     return builder.getOrCreate()
 
 
+#: Folders that cut_lineage wrote and nobody has released, by application.
+_written: dict[str, SparkSession] = {}
+
+
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
-    """df written in the folder that spark.checkpoint.dir names and read again. Where it is unset a session in one process gets a new folder; on a cluster that is an error."""
+    """df written in the folder that spark.checkpoint.dir names and read again. Where it is unset a session in one process gets a new folder; on a cluster that is an error. release removes it; what nobody released goes at the end of the application."""
     spark = df.sparkSession
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
@@ -33,4 +39,28 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", path)
     path = f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written[path] = spark
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that cut_lineage gave, once nothing that is still to run reads them."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            _remove(next((p for p in _written if folder.endswith(p.split(":", 1)[-1].lstrip("/"))), ""))
+
+
+def _remove(path: str) -> None:
+    spark = _written.pop(path, None)
+    if spark is not None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path in list(_written):
+        try:
+            _remove(path)
+        except Exception:  # noqa: BLE001, the application's JVM has gone, and with it the way to the folder
+            print(f"left behind: {path}", file=sys.stderr)
