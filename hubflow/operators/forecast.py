@@ -61,9 +61,9 @@ def leakage_guard(days: DataFrame, start, end, folds: int = 4, width: int = 7) -
 ROUNDS = 30
 
 
-def regressor(label: str, iterations: int = ROUNDS, depth: int = 4) -> Pipeline:
+def regressor(label: str, iterations: int = ROUNDS, depth: int = 4, inputs: list[str] | None = None) -> Pipeline:
     """Absolute-loss boosted trees of weighted rows: an estimate of the median."""
-    return Pipeline(stages=[VectorAssembler(inputCols=INPUTS, outputCol="inputs", handleInvalid="keep"), GBTRegressor(featuresCol="inputs", labelCol=label, weightCol="weight", predictionCol="q50", lossType="absolute", maxIter=iterations, maxDepth=depth, seed=42)])
+    return Pipeline(stages=[VectorAssembler(inputCols=inputs or INPUTS, outputCol="inputs", handleInvalid="keep"), GBTRegressor(featuresCol="inputs", labelCol=label, weightCol="weight", predictionCol="q50", lossType="absolute", maxIter=iterations, maxDepth=depth, seed=42)])
 
 
 def weighted(train: DataFrame, value: str) -> DataFrame:
@@ -104,44 +104,17 @@ def surge_correction(rows: DataFrame, correction: str, cap: float = 0.20) -> Dat
     return d.withColumn("q90", F.greatest("q90", F.col("q50") + 0.15 * F.col("surge_added")))
 
 
-def correction_chain(rows: DataFrame, sunday: float = 0.55, eve: float = 0.10) -> DataFrame:
-    """The order matters: Sundays without an own ratio, then campaign eves that aren't surges, then the bias ratio, then the Sunday ceiling on what came before all."""
+def correction_chain(rows: DataFrame, sunday: float | None = 0.55, eve: float = 0.10) -> DataFrame:
+    """The order matters: Sundays without an own ratio, then campaign eves that aren't surges, then the bias ratio, then the Sunday ceiling on what came before all. Without a factor of Sundays they have neither it nor the ceiling."""
     bands = ("q10", "q50", "q90")
-    is_sunday = F.weekday("date") == 6
+    is_sunday = F.weekday("date") == 6 if sunday is not None else F.lit(False)
     d = rows.withColumn("_raw", F.col("q50"))
     factor = F.when(is_sunday & F.col("sunday_ratio").isNull(), sunday).otherwise(1.0)
     d = d.withColumns({c: F.col(c) * factor for c in bands})
     on_eve = F.col("is_eve") & ~F.col("is_surge")
     multiplier = F.when(on_eve, F.col("multiplier")).otherwise(1.0)
     d = d.withColumns({"q10": F.col("q10") * multiplier, "q50": F.col("q50") * multiplier, "q90": F.col("q90") * F.when(on_eve, F.col("multiplier") + eve).otherwise(1.0)})
-    ratio = F.coalesce(F.when(is_sunday, F.col("sunday_ratio")), F.col("lane_ratio"), F.lit(1.0))
+    ratio = F.coalesce(F.when(F.weekday("date") == 6, F.col("sunday_ratio")), F.col("lane_ratio"), F.lit(1.0))
     d = d.withColumns({c: F.col(c) * ratio for c in bands})
-    ceiling = F.when(is_sunday & (F.col("q50") > sunday * F.col("_raw")) & (F.col("q50") > 0), sunday * F.col("_raw") / F.col("q50")).otherwise(1.0)
+    ceiling = F.when(is_sunday & (F.col("q50") > sunday * F.col("_raw")) & (F.col("q50") > 0), sunday * F.col("_raw") / F.col("q50")).otherwise(1.0) if sunday is not None else F.lit(1.0)
     return d.withColumns({c: F.col(c) * ceiling for c in bands}).drop("_raw")
-
-
-def predict_sequential(models: list, history: DataFrame, value: str, bands: DataFrame, holidays: DataFrame, campaigns: DataFrame, horizon: int = 7) -> DataFrame:
-    """The next days one after the other: a day's prediction is mixed with the mean of the last seven and stands for its actual value in the features of the next.
-
-    One job a day, over the last CONTEXT rows of each lane; the growing context is written out after each, so no plan grows.
-    """
-    context = features.context_tail(history, CONTEXT).select("lane", "source", "dest", "date", value)
-    end = history.agg(F.max("date")).first()[0]
-    out = None
-    for h in range(1, horizon + 1):
-        day = F.date_add(F.lit(end), h)
-        grid = context.select("lane", "source", "dest").distinct().select("lane", "source", "dest", day.alias("date"), F.lit(0.0).alias(value))
-        both = context.unionByName(grid)
-        x = feature_matrix(both, value, holidays, campaigns).where(F.col("date") == day).na.fill(0.0, INPUTS)
-        for i, model in enumerate(models):
-            x = model.transform(x).withColumnRenamed("q50", f"_m{i}").drop("inputs")
-        made = F.array_sort(F.array(*(f"_m{i}" for i in range(len(models)))))
-        n = len(models)
-        median = made[n // 2] if n % 2 else (made[n // 2 - 1] + made[n // 2]) / 2
-        x = x.withColumn("q50", F.greatest(F.lit(0.0), median * F.col("scale_factor")))
-        a = max(0.35, 1 - 0.11 * (h - 1))
-        x = with_bands(x, bands).withColumn(value, a * F.col("q50") + (1 - a) * F.coalesce("rolling_mean_7", F.lit(0.0)))
-        x = cut_lineage(x.select("lane", "source", "dest", "date", F.bround("q10", 4).alias("q10"), F.bround("q50", 4).alias("q50"), F.bround("q90", 4).alias("q90"), value), "forecast-day")
-        context = cut_lineage(features.context_tail(context.unionByName(x.select("lane", "source", "dest", "date", value)), CONTEXT), "forecast-context")
-        out = x if out is None else out.unionByName(x)
-    return out.drop(value)

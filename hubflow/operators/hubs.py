@@ -20,16 +20,20 @@ def hub_lag(days: DataFrame, value: str) -> DataFrame:
     return days.join(lag, ["source", "date"])
 
 
-def hub_pressure(days: DataFrame, value: str, width: int = 7) -> DataFrame:
-    """Mean of the source hub's outgoing and the destination's incoming volume over the days before, their ratio, and the source's share of the network."""
-    w = by_hub().rowsBetween(-width, -1)
-    out = hub_days(days, "source", value).withColumn("hub_out", F.avg("total").over(w)).withColumn("hub_out_yesterday", F.lag("total").over(by_hub()))
-    into = hub_days(days, "dest", value).withColumn("hub_in", F.avg("total").over(w))
-    network = out.groupBy("date").agg(F.avg("hub_out").alias("network"))
-    out = out.select(F.col("hub").alias("source"), "date", "hub_out", "hub_out_yesterday")
-    into = into.select(F.col("hub").alias("dest"), "date", "hub_in")
-    d = days.join(out, ["source", "date"]).join(into, ["dest", "date"]).join(network, "date")
-    return d.withColumns({"pressure": F.col("hub_in") / (F.col("hub_out") + EPS), "centrality": F.col("hub_out") / (F.col("network") + EPS), "neighbours": F.col("hub_out_yesterday") - F.lag(value).over(by_lane())}).drop("network", "hub_out_yesterday")
+def hub_pressure(days: DataFrame, value: str, widths: tuple[int, ...] = (1, 7)) -> DataFrame:
+    """For each width the means of the source hub's outgoing and the destination's incoming volume over so many days before, their ratio, and the source's share of the network's mean; and yesterday's volume of the neighbours: of order 1 what left the source on its other lanes, of order 2 all that came into the destination.
+
+    Neighbours are sums of hubs less the lane's own row, so no lane meets another; each end is joined once, for all widths.
+    """
+    back = {w: by_hub().rowsBetween(-w, -1) for w in widths}
+    yesterday = F.lag("total").over(by_hub())
+    out = hub_days(days, "source", value).withColumns({f"hub_out_{w}": F.avg("total").over(f) for w, f in back.items()} | {"_left": yesterday})
+    into = hub_days(days, "dest", value).withColumns({f"hub_in_{w}": F.avg("total").over(f) for w, f in back.items()} | {"neighbours_2": yesterday})
+    network = out.groupBy("date").agg(*(F.avg(f"hub_out_{w}").alias(f"_network_{w}") for w in widths))
+    d = days.join(out.drop("total").withColumnRenamed("hub", "source"), ["source", "date"]).join(into.drop("total").withColumnRenamed("hub", "dest"), ["dest", "date"]).join(network, "date")
+    made = {f"pressure_{w}": F.col(f"hub_in_{w}") / (F.col(f"hub_out_{w}") + EPS) for w in widths} | {f"centrality_{w}": F.col(f"hub_out_{w}") / (F.col(f"_network_{w}") + EPS) for w in widths}
+    made["neighbours_1"] = F.greatest(F.lit(0.0), F.col("_left") - F.lag(value).over(by_lane()))
+    return d.withColumns(made).drop("_left", *(f"_network_{w}" for w in widths))
 
 
 def hub_share(days: DataFrame, value: str, steps: tuple[int, ...] = (7, 14, 21)) -> DataFrame:

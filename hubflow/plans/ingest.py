@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from hubflow import adapters as V
 from hubflow.catalog import query
 from hubflow.operators import grid, impute
+from hubflow.sources import files
 from hubflow.sources import readers as S
 
 R = lambda c, n=6: F.round(c, n).alias(c)
@@ -25,10 +26,12 @@ def clean_dims(spark, sf):
 
 @query("load_demand_history", "SELECT source, dest, date, volume, slot FROM demand_log")
 def load_demand_history(spark, sf):
-    """The whole log under other names, found by them and by place."""
+    """The whole log as a CSV file under other names, found by them and by place."""
     d = V.demand_log(spark, sf)
-    raw = d.select(F.col("source").alias("Çıkış TM"), F.col("dest").alias("Varış TM"), F.col("date").alias("Tarih"), F.col("volume").alias("Toplam Desi"), F.col("slot").alias("x5"))
-    return S.standard_log(raw)
+    spark = d.sparkSession
+    path = files.folder(spark, "demand-log") + ".csv"
+    d.select(F.col("source").alias("Çıkış TM"), F.col("dest").alias("Varış TM"), F.col("date").alias("Tarih"), F.col("volume").alias("Toplam Desi"), F.col("slot").alias("x5")).write.option("header", True).csv(path)
+    return S.read_demand_history(spark, path)
 
 
 @query("split_lane_label", "SELECT DISTINCT source, dest FROM demand_log")
@@ -53,23 +56,38 @@ def load_plan_for_view(spark, sf):
     return d.select("demand_id", day.alias("day"), F.substring("slot", 1, 5).alias("slot"), grid.lane_key("source", "destination").alias("lane"), (F.col("source") < "C").alias("is_first_leg"))
 
 
+def plan_inputs(spark, sf):
+    """The folder of the plan's inputs, written from the tables."""
+    hubs = V.hub_capacity(spark, sf)
+    path = files.folder(spark, "plan-inputs")
+    tables = {"forecast": V.demands(spark, sf), "route_matrix": V.lanes(spark, sf), "vehicle_costs": V.vehicle_types(spark), "rental_limits": V.rentals(spark, sf), "handling_capacity": hubs, "truck_capacity": hubs}
+    files.write_plan_inputs(tables, path, "demands")
+    return path
+
+
 @query("read_solver_input", "SELECT vehicle_type, lower(trim(vehicle_type)) IN ('tır', 'tir') AS is_truck, coalesce(sum(vehicle_count), 0) AS stock FROM vehicle_types LEFT JOIN rentals USING (vehicle_type) GROUP BY vehicle_type")
 def read_solver_input(spark, sf):
-    stock = V.rentals(spark, sf).groupBy("vehicle_type").agg(F.sum("vehicle_count").alias("stock"))
-    truck = F.lower(F.trim("vehicle_type")).isin("tır", "tir")
-    return V.vehicle_types(spark).join(stock, "vehicle_type", "left").select("vehicle_type", truck.alias("is_truck"), F.coalesce("stock", F.lit(0)).alias("stock"))
+    """From the files of the plan's inputs."""
+    return files.solver_dimensions(files.read_plan_inputs(spark, plan_inputs(spark, sf)))
 
 
 @query("read_contract", "SELECT source, destination, vehicle_count, vehicle_type FROM rentals")
 def read_contract(spark, sf):
-    return S.require(V.rentals(spark, sf).select("source", "destination", "vehicle_count", "vehicle_type"), ["source", "destination", "vehicle_count", "vehicle_type"], exactly=True)
+    """A contract's file, which must have these four columns and no others."""
+    path, columns = files.folder(spark, "contract"), "source string, destination string, vehicle_count int, vehicle_type string"
+    files.publish(V.rentals(spark, sf).select("source", "destination", "vehicle_count", "vehicle_type"), path)
+    return files.published(spark, path, columns)
 
 
 @query("write_plan_inputs", "SELECT (SELECT count(*) FROM demands) AS demands, (SELECT count(*) FROM lanes) AS lanes, (SELECT count(DISTINCT vehicle_type) FROM lane_vehicle) AS vehicle_types")
 def write_plan_inputs(spark, sf):
-    """The metadata row beside the written tables."""
-    one = V.demands(spark, sf).agg(F.count("*").alias("demands"))
-    return one.crossJoin(V.lanes(spark, sf).agg(F.count("*").alias("lanes"))).crossJoin(V.lane_vehicle(spark, sf).agg(F.count_distinct("vehicle_type").alias("vehicle_types")))
+    """The metadata written beside the tables, held against what is in their files."""
+    path = plan_inputs(spark, sf)
+    read = files.read_plan_inputs(spark, path)
+    about = spark.read.schema("forecast_rows long, route_matrix_rows long, vehicle_type_count long").option("multiLine", True).json(f"{path}/metadata.json")
+    found = read["forecast"].agg(F.count("*").alias("demands")).crossJoin(read["route_matrix"].agg(F.count("*").alias("lanes"))).crossJoin(read["vehicle_costs"].agg(F.count_distinct("vehicle_type").alias("vehicle_types")))
+    same = (F.col("demands") == F.col("forecast_rows")) & (F.col("lanes") == F.col("route_matrix_rows")) & (F.col("vehicle_types") == F.col("vehicle_type_count"))
+    return found.crossJoin(about).where(same).select("demands", "lanes", "vehicle_types")
 
 
 @query("prepare_group", "SELECT lane, date, volume_0900 FROM lane_day WHERE lane = 'ASIA → EUROPE'")
@@ -138,6 +156,8 @@ def impute_bfill(spark, sf):
 
 @query("plan_tables", "SELECT day, source, destination, count(*) AS n, sum(volume) AS volume FROM demands GROUP BY ALL")
 def plan_tables(spark, sf):
-    """Rows of a day's table, in the order in which they are written."""
-    d = V.demands(spark, sf).groupBy("day", "source", "destination").agg(F.count("*").alias("n"), F.sum("volume").alias("volume"))
-    return d.sortWithinPartitions("day", "source", "destination")
+    """The plan as CSV by month, each file in order of day and lane, read back and counted by day and lane."""
+    d = V.demands(spark, sf).withColumn("month", F.date_format("day", "yyyy-MM"))
+    path, columns = files.folder(spark, "plan"), "demand_id string, source string, destination string, day date, slot string, volume double, month string"
+    files.publish(d.select("demand_id", "source", "destination", "day", "slot", "volume", "month"), path, partition_by=("month",), order=("day", "slot", "source", "destination", "demand_id"))
+    return files.published(spark, path, columns).groupBy("day", "source", "destination").agg(F.count("*").alias("n"), F.sum("volume").alias("volume"))
\ No newline at end of file

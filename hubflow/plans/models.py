@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hubflow import adapters as V
 from hubflow.catalog import query
-from hubflow.operators import calendar, forecast, scores
+from hubflow.operators import calendar, forecast, forecaster, quantiles, scores
 from hubflow.plans.windows import FIRST, LAST
 from hubflow.session import cut_lineage
 
@@ -65,38 +65,87 @@ def feature_matrix(spark, sf):
     return forecast.feature_matrix(V.lane_day(spark, sf), X, *tables(spark))
 
 
-def fitted(spark, sf):
-    days = V.lane_day(spark, sf)
-    matrix = cut_lineage(forecast.feature_matrix(days, X, *tables(spark)), "feature-matrix")
-    folds = [tuple(r) for r in forecast.walk_forward_folds(days).orderBy("fold").collect()]
-    models, residuals = forecast.fit_folds(matrix, X, folds)
-    return days, models, cut_lineage(residuals.select("fold", "lane", "source", "dest", "date", "is_weekend", "scale_factor", "y", "q50"), "residuals")
+#: Values of the slots, and the factor of Sundays without a ratio of their own.
+SLOTS = {"09:00": (X, None), "17:00": ("volume_1700", 0.55)}
+_fitted: dict[tuple, forecaster.Forecaster] = {}
+
+
+def fitted(spark, sf, slot: str = "09:00") -> forecaster.Forecaster:
+    """The forecaster of a slot, fitted once in an application: queries of its parts share it. 17:00 sees the same day's 09:00."""
+    key = (spark.sparkContext.applicationId, sf, slot)
+    if key not in _fitted:
+        value, sunday = SLOTS[slot]
+        days = V.lane_day(spark, sf)
+        days = days.select("lane", "source", "dest", "date", value, *([F.col(X).alias(forecaster.SAME_DAY)] if value != X else []))
+        _fitted[key] = forecaster.fit(days, value, *tables(spark), sunday=sunday)
+    return _fitted[key]
 
 
 @query("quantile_model")
 def quantile_model(spark, sf):
-    """Out-of-fold predictions with their bands, scored by fold."""
-    _, _, residuals = fitted(spark, sf)
-    return scores.evaluate(forecast.with_bands(residuals, forecast.residual_bands(residuals)), "fold")
+    """Out-of-fold predictions, with bands from the residuals of the other folds, scored by fold."""
+    residuals = fitted(spark, sf).residuals
+    parts = [forecast.with_bands(residuals.where(F.col("fold") == k).drop("bucket"), forecast.residual_bands(residuals.where(F.col("fold") != k))) for k in range(1, 5)]
+    return scores.evaluate(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]), "fold")
 
 
 @query("residual_bands")
 def residual_bands(spark, sf):
     """What is added to a prediction, in units of its scale, for its lower and upper quantile, from out-of-fold residuals."""
-    _, _, residuals = fitted(spark, sf)
-    return forecast.residual_bands(residuals)
+    return fitted(spark, sf).bands
+
+
+@query("surge_model")
+def surge_model(spark, sf):
+    """Surges of the last fold, corrected by a model that learned from the folds before."""
+    f = fitted(spark, sf)
+    seen, last = f.residuals.where("fold < 4"), f.residuals.where("fold = 4").drop("bucket")
+    rows = forecaster.add_surge(forecast.with_bands(last, forecast.residual_bands(seen)), forecaster.fit_surge(seen, f.inputs))
+    return rows.select("lane", "date", "is_surge", R("y"), R("surge_added"), R("q50"), R("q90"))
+
+
+@query("predict_batch")
+def predict_batch(spark, sf):
+    """Seven days ahead for every lane, all at once."""
+    days = V.lane_day(spark, sf).select("lane", "source", "dest", "date", X)
+    return forecaster.predict_batch(fitted(spark, sf), days, forecaster.next_days(days, 1, 7)).drop("rolling_mean_7")
 
 
 @query("predict_sequential")
 def predict_sequential(spark, sf):
-    """Seven days ahead for every lane."""
-    days, models, residuals = fitted(spark, sf)
-    return forecast.predict_sequential(models, days, X, forecast.residual_bands(residuals), *tables(spark))
+    """Seven days ahead for every lane, one after the other."""
+    days = V.lane_day(spark, sf).select("lane", "source", "dest", "date", X)
+    return forecaster.predict_sequential(fitted(spark, sf), days).drop("rolling_mean_7")
+
+
+@query("cascade_slots")
+def cascade_slots(spark, sf):
+    """Seven days of both slots: 17:00 of a day sees what was predicted for its 09:00."""
+    return forecaster.cascade({slot: fitted(spark, sf, slot) for slot in SLOTS}, V.lane_day(spark, sf)).drop("rolling_mean_7")
 
 
 @query("feature_importance")
 def feature_importance(spark, sf):
     """Mean importance of each input over the folds' models, highest first."""
-    _, models, _ = fitted(spark, sf)
-    rows = [(name, float(sum(m.stages[-1].featureImportances[i] for m in models) / len(models))) for i, name in enumerate(forecast.INPUTS)]
+    f = fitted(spark, sf)
+    rows = [(name, float(sum(m.stages[-1].featureImportances[i] for m in f.models) / len(f.models))) for i, name in enumerate(f.inputs)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
+#: Quantiles that the sweep tries, and the validation windows that it pools.
+ALPHAS, SWEPT = [0.5, 0.58, 0.66, 0.74], 2
+
+
+@query("alpha_sweep_fits")
+def alpha_sweep_fits(spark, sf):
+    """For each alpha, by a model of its own: the share of unseen days below, the scores, and whether it has the best hybrid score or the least regret."""
+    days = V.lane_day(spark, sf)
+    x = cut_lineage(forecaster.matrix(days, X, *tables(spark)).na.fill(0.0, forecast.INPUTS).withColumn("y", F.col(X)).select("lane", "date", "y", "scaled", "scale_factor", *forecast.INPUTS), "sweep-matrix").cache()
+    folds = [tuple(r) for r in forecast.walk_forward_folds(days).orderBy("fold").collect()][-SWEPT:]
+    rows = cut_lineage(quantiles.sweep(x, tuple(forecast.INPUTS), folds, ALPHAS), "swept")
+    x.unpersist()
+    rows = forecast.with_bands(rows, forecast.residual_bands(rows.where(F.col("alpha") == ALPHAS[0])))
+    below = rows.groupBy("alpha").agg(F.avg((F.col("y") <= F.col("q50")).cast("double")).alias("below"))
+    out = below.join(scores.evaluate(rows, "alpha").select("alpha", "n", R("wape"), R("regret")), "alpha").join(scores.hybrid_score(rows, 0.5988, "alpha").select("alpha", R("hybrid")), "alpha")
+    best = out.agg(F.min_by("alpha", "hybrid").alias("best_hybrid"), F.min_by("alpha", "regret").alias("best_regret"))
+    return out.crossJoin(F.broadcast(best)).withColumns({c: F.col(c) == F.col("alpha") for c in ("best_hybrid", "best_regret")})  # a row an alpha

@@ -7,6 +7,7 @@ from hubflow.catalog import query
 from hubflow.functions import timecost as T
 from hubflow.operators import calendar
 from hubflow.operators import network as N
+from hubflow.operators import options as O
 from hubflow.plans.dates import HOUR
 
 R = lambda c, n=4: F.round(c, n).alias(c)
@@ -109,6 +110,45 @@ def rental_first_allocation(spark, sf):
     return N.waterfall(d, ["source", "destination", "day"], "stock").select("demand_id", "rental_volume", "spot_volume")
 
 
+_next = lambda at, hours: f"(CAST(floor(({at} + {hours} * 3600) / 86400) * 86400 AS BIGINT) + CASE WHEN {at} + {hours} * 3600 - floor(({at} + {hours} * 3600) / 86400) * 86400 < 32400 THEN 32400 WHEN {at} + {hours} * 3600 - floor(({at} + {hours} * 3600) / 86400) * 86400 < 61200 THEN 61200 ELSE 118800 END)"
+OPTION_TOTAL = f"""
+    {RELAYS}, {OPTIONS},
+    ds AS MATERIALIZED (SELECT d.*, l.target_days, CAST(epoch(CAST(d.day AS TIMESTAMP) + to_hours({HOUR})) AS BIGINT) AS slot_at, CAST(ceil(round(d.volume * 0.01, 9)) AS BIGINT) AS hm, CAST(ceil(round(d.volume * 0.01 * 2, 9)) AS BIGINT) AS hm2,
+        CASE WHEN r.vehicle_count IS NOT NULL AND slot = '09:00' THEN greatest(0, least(d.volume, r.vehicle_count * t.capacity - coalesce(sum(d.volume) OVER (PARTITION BY d.source, d.destination, d.day, slot ORDER BY d.volume DESC, demand_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) ELSE 0 END AS rented,
+        t.spot_hourly AS truck_hourly, CAST(ceil(round(t.hours * 60, 9)) AS BIGINT) AS truck_minutes
+      FROM demands d JOIN lanes l ON l.source = d.source AND l.destination = d.destination LEFT JOIN rentals r ON r.source = d.source AND r.destination = d.destination LEFT JOIN lane_vehicle t ON t.source = d.source AND t.destination = d.destination AND t.vehicle_type = 'Tır'),
+    os AS MATERIALIZED (SELECT source, destination, array_to_string(path, '>') AS option, milk_run, len(path) AS stops, unnest(range(1, len(path))) AS i, path FROM options),
+    oy AS MATERIALIZED (SELECT os.source, os.destination, option, milk_run, stops, CASE WHEN milk_run THEN 0 ELSE i - 1 END AS part, v.vehicle_type, any_value(v.capacity) AS capacity, any_value(v.spot_hourly) AS h, sum(v.hours) AS hours, CAST(sum(ceil(round(v.hours * 60, 9))) AS BIGINT) AS minutes,
+        list(round_even(v.spot_hourly * v.hours + v.spot_km * v.distance_km, 0)) AS drives, list(CASE WHEN milk_run THEN CAST(i = 1 AS INTEGER) + CAST(i = stops - 1 AS INTEGER) ELSE 2 END) AS touches
+      FROM os JOIN lane_vehicle v ON v.source = path[i] AND v.destination = path[i + 1] GROUP BY os.source, os.destination, option, milk_run, stops, CASE WHEN milk_run THEN 0 ELSE i - 1 END, v.vehicle_type),
+    oc AS (SELECT ds.*, y.option, y.milk_run, y.stops, y.part, y.hours, y.minutes, y.vehicle_type, CASE WHEN stops = 2 THEN volume - rented ELSE volume END AS spot, y.capacity, y.h, y.drives, y.touches FROM ds JOIN oy y ON y.source = ds.source AND y.destination = ds.destination),
+    od AS (SELECT *, ceil(spot / capacity - 1e-9) * list_sum(drives) + list_sum([round_even(k * ceil(round(spot * 0.01, 9)) / 60 * h, 0) FOR k IN touches]) AS c FROM oc),
+    ob AS MATERIALIZED (SELECT * FROM od QUALIFY row_number() OVER (PARTITION BY demand_id, option, milk_run, part ORDER BY c, hours, vehicle_type) = 1),
+    ow AS MATERIALIZED (SELECT demand_id, option, milk_run, any_value(stops) AS stops, any_value(volume) AS volume, any_value(rented) AS rented, any_value(slot_at) AS slot_at, any_value(target_days) AS target_days, any_value(hm) AS hm, any_value(hm2) AS hm2, any_value(truck_hourly) AS truck_hourly, any_value(truck_minutes) AS truck_minutes,
+        sum(c) AS spot_cost, max(spot) AS spot, {', '.join(f"max(hours) FILTER (part = {k}) AS h{k}, max(minutes) FILTER (part = {k}) AS m{k}" for k in range(3))} FROM ob GROUP BY demand_id, option, milk_run),
+    z1 AS (SELECT *, slot_at + 60 * hm + 60 * CASE WHEN stops = 2 AND rented > 1e-9 THEN CASE WHEN spot > 1e-9 THEN greatest(m0, truck_minutes) ELSE truck_minutes END ELSE m0 END AS d0, {_next('slot_at', 'h0')} AS at1 FROM ow),
+    z2 AS (SELECT *, CASE WHEN h1 IS NULL THEN d0 ELSE greatest(at1, d0 + 60 * hm2) + 60 * m1 END AS d1, {_next('at1', 'h1')} AS at2 FROM z1),
+    z3 AS (SELECT *, CASE WHEN h2 IS NULL THEN d1 ELSE greatest(at2, d1 + 60 * hm2) + 60 * m2 END AS d2 FROM z2),
+    z4 AS (SELECT *, spot_cost + CASE WHEN stops = 2 AND rented > 1e-9 THEN round_even(2 * ceil(round(rented * 0.01, 9)) / 60 * truck_hourly, 0) ELSE 0 END AS cost, CAST(greatest(0, ceil((d2 + 60 * hm - slot_at - target_days * 86400) / 3600)) AS INTEGER) AS late_hours FROM z3),
+    tot AS MATERIALIZED (SELECT demand_id, volume, option, milk_run, cost, late_hours, round(volume * late_hours * 0.4, 2) AS penalty, cost + round(volume * late_hours * 0.4, 2) AS total FROM z4)"""
+
+
+def total_inputs(spark, sf):
+    lanes = V.lanes(spark, sf)
+    return V.demands(spark, sf), N.path_options(lanes, N.relay_candidates(lanes)), V.lane_vehicle(spark, sf), lanes, V.rentals(spark, sf), V.VEHICLES[0][0]
+
+
+@query("option_total", f"WITH {OPTION_TOTAL} SELECT demand_id, option, milk_run, cost, late_hours, penalty, total FROM tot")
+def option_total(spark, sf):
+    """What each way of carrying each demand costs with its delay, rented trucks first."""
+    return O.option_totals(*total_inputs(spark, sf))
+
+
+@query("best_total", f"WITH {OPTION_TOTAL}, k AS (SELECT *, row_number() OVER (PARTITION BY demand_id ORDER BY total / volume, option, milk_run) AS n FROM tot) SELECT demand_id, option, milk_run, cost, penalty, total FROM k WHERE n = 1")
+def best_total(spark, sf):
+    return O.best_totals(*total_inputs(spark, sf))
+
+
 @query("related_demands", """
     WITH seed AS (SELECT * FROM demands ORDER BY volume DESC, demand_id LIMIT 1)
     SELECT d.demand_id, CASE WHEN d.source = s.source AND d.destination = s.destination THEN 10 ELSE 3 * (CAST(d.source = s.source AS INTEGER) + CAST(d.destination = s.destination AS INTEGER)) END

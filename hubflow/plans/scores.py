@@ -6,6 +6,7 @@ from hubflow import adapters as V
 from hubflow.catalog import query
 from hubflow.functions import risk
 from hubflow.operators import rollups, scores
+from hubflow.sources import files
 
 P = "predictions"
 R = lambda c, n=6: F.round(c, n).alias(c)
@@ -254,25 +255,22 @@ def forecast_table(spark, sf):
 
 
 def payloads(spark, sf):
-    """One JSON document for each date: metadata, counts of classes, and its demands."""
-    d = bands(spark, sf)
-    demand = F.struct("lane", "slot", "q50", "recommended", "risk_class")
-    counts = F.map_from_entries(F.transform(F.array(*map(F.lit, ("LOW", "MEDIUM", "HIGH"))), lambda c: F.struct(c, F.size(F.filter("demands", lambda x: x["risk_class"] == c)))))
-    one = d.groupBy("date").agg(F.array_sort(F.collect_list(demand)).alias("demands"))  # a date has two rows for a lane
-    return one.select("date", F.to_json(F.struct(F.struct(F.col("date").cast("string").alias("date"), F.size("demands").alias("n")).alias("metadata"), counts.alias("risk_summary"), "demands")).alias("payload"))
-
-
-PAYLOAD = "metadata struct<date:string,n:int>, risk_summary map<string,int>, demands array<struct<lane:string,slot:string,q50:double,recommended:double,risk_class:string>>"
+    """A folder of payloads written from the forecasts, a document for each date and slot."""
+    path = files.folder(spark, "payloads")
+    d = bands(spark, sf).withColumn("demand_id", F.concat_ws("|", "lane", F.col("date").cast("string"), "slot"))
+    files.write_payloads(d.select("date", "slot", "demand_id", "lane", "q10", "q50", "q90", "recommended", "risk_class"), path)
+    return files.published(spark, path, files.PAYLOAD)
 
 
 @query("write_payload", f"WITH {BAND} SELECT date, count(*) AS n, count(*) FILTER (risk_class = 'HIGH') AS high FROM k GROUP BY date")
 def write_payload(spark, sf):
-    p = payloads(spark, sf).withColumn("p", F.from_json("payload", PAYLOAD))
-    return p.select("date", F.col("p.metadata.n").cast("long").alias("n"), F.coalesce(F.col("p.risk_summary")["HIGH"], F.lit(0)).cast("long").alias("high"))
+    """What the documents say about themselves: demands and those of the highest class."""
+    high = F.coalesce(F.col("risk_summary")["HIGH"], F.lit(0))
+    d = payloads(spark, sf).groupBy(F.to_date("metadata.date").alias("date"))
+    return d.agg(F.sum("metadata.demands").alias("n"), F.sum(high).alias("high"))
 
 
 @query("read_payload", f"WITH {BAND} SELECT date, lane, slot, coalesce(recommended, q50) AS volume FROM k")
 def read_payload(spark, sf):
-    """Rows of a payload again, with what stands for a missing recommendation."""
-    rows = payloads(spark, sf).select(F.from_json("payload", PAYLOAD).alias("p")).select("p.metadata", F.explode("p.demands").alias("d"))
-    return rows.select(F.to_date("metadata.date").alias("date"), "d.lane", "d.slot", F.coalesce("d.recommended", "d.q50").alias("volume"))
+    """The demands of all documents again, with what stands for a missing recommendation."""
+    return files.payload_rows(payloads(spark, sf)).select("date", "lane", "slot", F.col("recommended").alias("volume"))

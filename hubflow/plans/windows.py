@@ -160,16 +160,20 @@ def hub_lag(spark, sf):
     return hubs.hub_lag(V.lane_day(spark, sf), X).select("lane", "date", "hub_lag_1")
 
 
+_means = lambda name, end: ", ".join(f"avg(total) OVER (PARTITION BY {end} ORDER BY date ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING) AS {name}_{w}" for w in (1, 7))
+_pressures = ", ".join(f"round(hub_out_{w}, 5) AS hub_out_{w}, round(hub_in_{w}, 5) AS hub_in_{w}, round(hub_in_{w} / (hub_out_{w} + 1e-5), 5) AS pressure_{w}, round(hub_out_{w} / (network_{w} + 1e-5), 5) AS centrality_{w}" for w in (1, 7))
+
+
 @query("hub_pressure", f"""
     WITH o AS (SELECT source, date, sum({X}) AS total FROM lane_day GROUP BY ALL), i AS (SELECT dest, date, sum({X}) AS total FROM lane_day GROUP BY ALL),
-    a AS (SELECT source, date, avg(total) OVER (PARTITION BY source ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS hub_out, lag(total) OVER (PARTITION BY source ORDER BY date) AS y FROM o),
-    b AS (SELECT dest, date, avg(total) OVER (PARTITION BY dest ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS hub_in FROM i), n AS (SELECT date, avg(hub_out) AS network FROM a GROUP BY date),
+    a AS (SELECT source, date, {_means('hub_out', 'source')}, lag(total) OVER (PARTITION BY source ORDER BY date) AS y FROM o),
+    b AS (SELECT dest, date, {_means('hub_in', 'dest')}, lag(total) OVER (PARTITION BY dest ORDER BY date) AS neighbours_2 FROM i), n AS (SELECT date, avg(hub_out_1) AS network_1, avg(hub_out_7) AS network_7 FROM a GROUP BY date),
     d AS (SELECT *, lag({X}) {L} AS own FROM lane_day)
-    SELECT lane, date, round(hub_out, 5) AS hub_out, round(hub_in, 5) AS hub_in, round(hub_in / (hub_out + 1e-5), 5) AS pressure, round(hub_out / (network + 1e-5), 5) AS centrality, y - own AS neighbours
+    SELECT lane, date, {_pressures}, CASE WHEN y IS NULL THEN 0 ELSE greatest(0, y - own) END AS neighbours_1, neighbours_2
     FROM d JOIN a USING (source, date) JOIN b USING (dest, date) JOIN n USING (date)""")
 def hub_pressure(spark, sf):
     d = hubs.hub_pressure(V.lane_day(spark, sf), X)
-    return d.select("lane", "date", *(R(c, 5) for c in ("hub_out", "hub_in", "pressure", "centrality")), "neighbours")
+    return d.select("lane", "date", *(R(f"{c}_{w}", 5) for w in (1, 7) for c in ("hub_out", "hub_in", "pressure", "centrality")), "neighbours_1", "neighbours_2")
 
 
 @query("hub_share", f"""

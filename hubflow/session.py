@@ -28,19 +28,23 @@ def session(app: str = "hubflow", master: str | None = None, **conf: str) -> Spa
 _written: dict[str, SparkSession] = {}
 
 
-def cut_lineage(df: DataFrame, name: str) -> DataFrame:
-    """df written in the folder that spark.checkpoint.dir names and read again. Where it is unset a session in one process gets a new folder; on a cluster that is an error. release removes it; what nobody released goes at the end of the application."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset a session in one process gets a new folder; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
-    path = f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return path.rstrip("/")
+
+
+def cut_lineage(df: DataFrame, name: str) -> DataFrame:
+    """df written in shared_dir and read again. release removes it; what nobody released goes at the end of the application."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = df.sparkSession
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(*tables: DataFrame) -> None:
