@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from hubflow.llm.scratch import written
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Words whose sums the dynamic program looks at; of what is beyond each length first gives its share.
-FITTED = 1 << 18
+#: Words up and down from a first choice within which the dynamic program looks at every sum.
+REACH = 1 << 22
 #: Documents of a group that one task puts in order; larger groups are cut by their hash.
 ORDERED = 1000
 
@@ -31,58 +31,71 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
     return total.withColumn("level", level).withColumn("level", F.max("level").over(everything)).select("key", "source_size", F.least("most", F.col("level") * F.col("weight")).alias("target"))
 
 
-def fit(size: np.ndarray, count: np.ndarray, budget: int, seed: int, fitted: int = FITTED) -> np.ndarray:
+def fit(size: np.ndarray, count: np.ndarray, budget: int, seed: int, reach: int = REACH) -> np.ndarray:
     """How many documents of each size, at most count, so that their sizes add up to budget or as near below as can be.
 
-    Where all words are at most fitted, a bounded knapsack of sizes in seeded order looks at every sum, so no other choice
-    is nearer. Beyond that each size first gives the same share of its documents; documents are then given to the larger
-    sizes, or taken back from sizes in seeded order, until some half of fitted words are open, and the knapsack fits
-    these. A sum that hits budget is the best there is; only if it misses, which needs sizes with few sums between
-    them, may one outside of these words be nearer.
+    Each size first gives the same share of its documents, then larger ones more while they fit; the knapsack then looks at
+    all sums of documents given and taken back that stay within reach words (or twice the largest size) of that,
+    and again from the best of them until none is nearer. Where all words are at most reach these are all sums there are, so no
+    choice is nearer. Otherwise budget is hit unless sizes are large and few, and every such sum in reach is tried.
     """
-    take = np.zeros(len(size), np.int64)
     total = int((size * count).sum())
     if budget <= 0 or not total:
-        return take
+        return np.zeros(len(size), np.int64)
     if budget >= total:
         return count.copy()
     order = sorted(np.flatnonzero((size > 0) & (count > 0)).tolist(), key=lambda i: pd.util.hash_array(np.array([int(size[i]) * 1_000_003 + seed]))[0])
-    rest = budget
-    if total > fitted:
-        take = np.array([int(n) * budget // total for n in count.tolist()], np.int64)
-        rest = budget - int((size * take).sum())
-        for i in np.argsort(-size, kind="stable").tolist():
-            if rest > fitted // 2 and size[i] > 0:
-                k = min(int(count[i] - take[i]), -(-(rest - fitted // 2) // int(size[i])), rest // int(size[i]))
-                take[i] += k
-                rest -= k * int(size[i])
-        for i in order:
-            if take[i] and rest + int(size[i]) <= fitted // 2:
-                take[i] -= 1
-                rest += int(size[i])
-    first = np.full(rest + 1, -1, np.int32)  # the step by which a sum was reached
-    reach, mask, steps = 1, (1 << rest + 1) - 1, []
-    for i in order:
-        free, k = int(count[i] - take[i]) if size[i] <= rest else 0, 1
-        while free and not reach >> rest & 1:
-            k = min(k, free)
-            new = reach << k * int(size[i]) & mask & ~reach
-            if new:
-                bits = np.frombuffer(new.to_bytes(rest // 8 + 1, "little"), np.uint8)
-                some = np.flatnonzero(bits)
-                at = (some[:, None] * 8 + np.arange(8))[np.unpackbits(bits[some, None], axis=1, bitorder="little").astype(bool)]
-                first[at] = len(steps)
-                reach |= new
-            steps.append((i, k))
-            free, k = free - k, 2 * k
-        if reach >> rest & 1:
+    take = np.array([int(n) * budget // total for n in count.tolist()], np.int64)
+    rest = budget - int((size * take).sum())
+    for i in np.argsort(-size, kind="stable").tolist():
+        if size[i] > 0:
+            k = min(int(count[i] - take[i]), rest // int(size[i]))
+            take[i] += k
+            rest -= k * int(size[i])
+    width, step = min(total, max(reach, 2 * int(size.max()))), int(np.gcd.reduce(size[order]))
+    while rest >= step:
+        change = exchanged(size, count - take, take, order, rest // step * step, width)
+        rest -= int((size * change).sum())
+        if not change.any():
             break
-    at = reach.bit_length() - 1
-    while at:
+        take += change
+    return take
+
+
+def exchanged(size: np.ndarray, free: np.ndarray, taken: np.ndarray, order: list[int], rest: int, width: int) -> np.ndarray:
+    """The change of how many documents are taken, at most free more and taken less of each size, whose sum is nearest below rest (or rest), of all that stay within width on the way. Sums are bits of one number, width up and down from 0."""
+    top, steps = width + min(rest, width), []
+    first = np.full(2 * width + 1, -1, np.int32)  # the step by which a sum was reached
+    sums, mask = 1 << width, (1 << 2 * width + 1) - 1
+    moves = ((i, k) for i in order for left, sign in ((int(free[i]), 1), (int(taken[i]), -1)) for k in chunks(min(left, 2 * width // int(size[i])), sign))
+    for i, k in moves:
+        by = k * int(size[i])
+        new = (sums << by if by > 0 else sums >> -by) & mask & ~sums
+        if new:
+            bits = np.frombuffer(new.to_bytes(width // 4 + 1, "little"), np.uint8)
+            some = np.flatnonzero(bits)
+            at = (some[:, None] * 8 + np.arange(8))[np.unpackbits(bits[some, None], axis=1, bitorder="little").astype(bool)]
+            first[at] = len(steps)
+            sums |= new
+        steps.append((i, k))
+        if sums >> top & 1:
+            break
+    out = np.zeros(len(size), np.int64)
+    at = (sums & (1 << top + 1) - 1).bit_length() - 1
+    while at != width:
         i, k = steps[first[at]]
-        take[i] += k
+        out[i] += k
         at -= k * int(size[i])
-    return take
+    return out
+
+
+def chunks(n: int, sign: int):
+    """1, 2, 4 and on, and what is left of n: sums of some of them are all numbers up to n."""
+    k = 1
+    while n:
+        k = min(k, n)
+        yield sign * k
+        n, k = n - k, 2 * k
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 8, keep: tuple[str, ...] = ()) -> DataFrame:

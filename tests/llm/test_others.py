@@ -235,6 +235,27 @@ def test_fit():
     assert take.tolist() == [12]
 
 
+def test_fit_of_long_documents():
+    """Sums that only giving many of one size and taking back many of another can hit, far beyond any one size."""
+    for size, count, budget, best in (
+        ([150_000, 170_000, 210_000], [5, 5, 5], 1_000_000, 1_000_000),
+        ([100_001, 100_003, 99_999], [10, 10, 10], 1_400_007, 1_400_006),
+        ([3_000_000, 5_000_000], [40, 40], 101_000_000, 101_000_000),
+    ):
+        take = mixing.fit(np.array(size), np.array(count), budget, 8)
+        assert (take * size).sum() == best and (take <= count).all() and (take >= 0).all()
+    rng = np.random.default_rng(11)
+    for _ in range(25):
+        size = np.unique(rng.integers(20_000, 200_000, rng.integers(2, 6)))
+        count = rng.integers(1, 6, len(size))
+        budget = int(rng.integers(1, (size * count).sum()))
+        take = mixing.fit(size, count, budget, 3)
+        sums = {0}
+        for s, c in zip(size.tolist(), count.tolist()):
+            sums = {a + s * k for a in sums for k in range(c + 1)}
+        assert (take >= 0).all() and (take <= count).all() and (take * size).sum() == max(s for s in sums if s <= budget)
+
+
 def test_mixing(spark, sf_dir, odd, clashing, empty):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = mixing.op8_mixing(spark, sf_dir).collect()
