@@ -169,11 +169,12 @@ def cascade(forecasters: dict[str, Forecaster], history: DataFrame, horizon: int
     values = [f.value for f in forecasters.values()]
     tail = cut_lineage(features.context_tail(history, forecast.CONTEXT).select(*ids, "date", *values), "forecast-context")
     contexts = {slot: tail.select(*ids, "date", f.value, *([F.col(first[1].value).alias(SAME_DAY)] if second and slot == second[0][0] else [])) for slot, f in forecasters.items()}
+    ahead, end = cut_lineage(next_days(tail, 1, horizon), "forecast-frame"), tail.agg(F.max("date")).first()[0]
     out = None
     for h in range(1, horizon + 1):
         before = None
         for slot, f in forecasters.items():
-            frame = next_days(tail, h, h)
+            frame = ahead.where(F.col("date") == F.date_add(F.lit(end), h))
             if before is not None:
                 frame = frame.join(before.select("lane", "date", F.col("q50").alias(SAME_DAY)), ["lane", "date"], "left").na.fill(0.0, [SAME_DAY])
             made = cut_lineage(predict_batch(f, contexts[slot], frame).withColumn("slot", F.lit(slot)), "forecast-day")

@@ -121,7 +121,8 @@ def predict_sequential(spark, sf):
 @query("cascade_slots")
 def cascade_slots(spark, sf):
     """Seven days of both slots: 17:00 of a day sees what was predicted for its 09:00."""
-    return forecaster.cascade({slot: fitted(spark, sf, slot) for slot in SLOTS}, V.lane_day(spark, sf)).drop("rolling_mean_7")
+    both = forecaster.in_threads([lambda slot=slot: fitted(spark, sf, slot) for slot in SLOTS], spark)
+    return forecaster.cascade(dict(zip(SLOTS, both, strict=True)), V.lane_day(spark, sf)).drop("rolling_mean_7")
 
 
 @query("feature_importance")
