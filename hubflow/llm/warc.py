@@ -195,8 +195,11 @@ def page_of(record_id: str) -> tuple[int | None, int]:
 
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> bytes:
-    """A dictionary of at most DICT_BYTES from the first SAMPLE_BYTES of so many pages, dealt by hash; empty if they are too few or too alike."""
-    chosen = pages.where("bytes > 0").select("digest", F.substring("payload", 1, SAMPLE_BYTES).alias("payload")).orderBy(F.xxhash64("digest"), "digest").limit(sample)
+    """A dictionary of at most DICT_BYTES from the first SAMPLE_BYTES of at most so many pages, dealt by a hash of their numbers; empty if they are too few or too alike. Only rows whose hash is under twice the sample's share are looked at, so tasks send few, however many there are."""
+    full = pages.where("bytes > 0")
+    space, n = 1 << 40, full.count()
+    draw = F.pmod(F.xxhash64("number"), F.lit(space))
+    chosen = full.where(draw < F.lit(min(space, 2 * sample * space // max(n, 1)))).select(draw.alias("draw"), "number", F.substring("payload", 1, SAMPLE_BYTES).alias("payload")).orderBy("draw", "number").limit(sample)
     try:
         return zstandard.train_dictionary(DICT_BYTES, [bytes(r.payload) for r in chosen.collect()]).as_bytes()
     except zstandard.ZstdError:
