@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from hubflow.functions import risk
 from hubflow.operators import calendar, features, rollups
-from hubflow.session import cut_lineage
+from hubflow.operators.selection import percentiles
+from hubflow.session import cut_lineage, release
 
 #: Columns that a model is trained on.
 INPUTS = ["lag_1", "lag_7", "lag_14", "rolling_mean_7", "rolling_std_7", "rolling_mean_14", "rolling_std_14", "momentum", "weekday", "month", "is_weekend", "is_payday", "backlog_release_index", "campaign_release_index"]
@@ -87,8 +88,11 @@ def fit_folds(matrix: DataFrame, value: str, folds: list, iterations: int = ROUN
 
 def residual_bands(residuals: DataFrame, low: float = 0.1, high: float = 0.9) -> DataFrame:
     """bucket, low, high: quantiles of out-of-fold residuals by scale_factor, by weekend or not; times scale_factor and added to q50 they give q10 and q90."""
-    p = F.percentile((F.col("y") - F.col("q50")) / F.col("scale_factor"), F.array(F.lit(low), F.lit(high)))
-    return residuals.groupBy(F.col("is_weekend").alias("bucket")).agg(p.alias("p")).select("bucket", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+    ratio = (F.col("y") - F.col("q50")) / F.col("scale_factor")
+    d = cut_lineage(residuals.select(F.col("is_weekend").alias("bucket"), ratio.alias("ratio")), "residual-ratios")
+    found = percentiles(d, ["bucket"], "ratio", [low, high])
+    release(d)
+    return found.select("bucket", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
 
 
 def with_bands(rows: DataFrame, bands: DataFrame) -> DataFrame:

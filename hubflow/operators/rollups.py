@@ -3,6 +3,9 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hubflow.operators.selection import percentiles, summarised
+from hubflow.session import cut_lineage, release
+
 
 def lane_total(log: DataFrame) -> DataFrame:
     return log.groupBy("source", "dest").agg(F.sum("volume").alias("volume"), F.count("*").alias("n"))
@@ -75,9 +78,9 @@ def abnormal_weeks(days: DataFrame, value: str, over: float = 1.4) -> DataFrame:
 
 def threshold_report(rows: DataFrame, value: str, thresholds: tuple[float, ...]) -> DataFrame:
     """For each threshold how many rows reach it, and percentiles of the value."""
-    points = F.percentile(value, F.array(*map(F.lit, (0.5, 0.75, 0.9, 0.95))))
     hits = F.array(*(F.struct(F.lit(t).alias("threshold"), F.count_if(F.col(value) > t).alias("n_over")) for t in thresholds))
-    one = rows.agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), points.alias("p"), hits.alias("hits"))
+    counts = [F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), hits.alias("hits")]
+    one = summarised(rows.select(value), [], counts, value, [0.5, 0.75, 0.9, 0.95], "thresholds")
     return one.select("n", "least", "most", *(F.col("p")[i].alias(f"p{x}") for i, x in enumerate((50, 75, 90, 95))), F.inline("hits"))
 
 
@@ -91,13 +94,15 @@ def moments(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def risk_params(bands: DataFrame, keys: list[str]) -> DataFrame:
     """floor, scale, tau for the risk score, from the distribution of forecasts; 5000 where there are none over 1."""
-    over = F.col("q50") > 1
-    first = bands.groupBy(*keys).agg(F.percentile(F.when(over, F.col("q50")), F.array(F.lit(0.1), F.lit(0.25), F.lit(0.5))).alias("p"))
-    first = first.select(*keys, F.col("p")[0].alias("p10"), F.greatest(F.col("p")[1], F.greatest(F.lit(50.0), 0.1 * F.col("p")[2])).alias("floor"))
     ratio = (F.col("q90") - F.col("q10")) / F.greatest("q50", F.lit(1.0))
-    second = bands.join(F.broadcast(first), keys).where(F.col("q50") > F.col("p10")).groupBy(*keys).agg(F.percentile(ratio, 0.5).alias("scale"))
-    bounded = F.lit(2 / 3.141592653589793) * F.atan(F.greatest(ratio, F.lit(0.0)) / F.col("scale"))
-    third = bands.join(F.broadcast(second), keys).groupBy(*keys).agg(F.percentile(F.when(F.col("scale") > 0, bounded).otherwise(1.0), 0.5).alias("tau"))
+    b = cut_lineage(bands.select(*keys, "q50", ratio.alias("ratio")), "risk-bands")
+    first = percentiles(b, keys, F.when(F.col("q50") > 1, F.col("q50")), [0.1, 0.25, 0.5])
+    floor = F.when(F.col("p").isNotNull(), F.greatest(F.col("p")[1], F.greatest(F.lit(50.0), 0.1 * F.col("p")[2])))
+    first = first.select(*keys, F.col("p")[0].alias("p10"), floor.alias("floor"))
+    second = percentiles(b.join(F.broadcast(first), keys).where(F.col("q50") > F.col("p10")), keys, "ratio", [0.5]).select(*keys, F.col("p")[0].alias("scale"))
+    bounded = F.lit(2 / 3.141592653589793) * F.atan(F.greatest("ratio", F.lit(0.0)) / F.col("scale"))
+    third = percentiles(b.join(F.broadcast(second), keys), keys, F.when(F.col("scale") > 0, bounded).otherwise(1.0), [0.5]).select(*keys, F.col("p")[0].alias("tau"))
+    release(b)
     return first.join(second, keys, "left").join(third, keys, "left").select(*keys, F.coalesce("floor", F.lit(5000.0)).alias("floor"), "scale", "tau")
 
 
@@ -109,8 +114,9 @@ def reference_level(days: DataFrame, value: str, n: int = 7) -> DataFrame:
 
 def regret_capacity(days: DataFrame, value: str, least_n: int = 5) -> DataFrame:
     """90th percentile by lane; over all lanes where a lane has fewer than least_n positive days."""
-    positive = days.where(F.col(value) > 0)
-    overall = positive.agg(F.percentile(value, 0.9).alias("overall"))
+    positive = cut_lineage(days.where(F.col(value) > 0).select(value), "positive-days")
+    overall = percentiles(positive, [], value, [0.9]).select(F.col("p")[0].alias("overall"))
+    release(positive)
     by = days.groupBy("lane").agg(F.count_if(F.col(value) > 0).alias("n"), F.percentile(F.when(F.col(value) > 0, F.col(value)), 0.9).alias("own"))
     return by.crossJoin(F.broadcast(overall)).select("lane", "n", F.when(F.col("n") >= least_n, F.col("own")).otherwise(F.col("overall")).alias("capacity"))
 

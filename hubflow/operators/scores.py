@@ -3,6 +3,9 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hubflow.operators.selection import percentiles, summarised
+from hubflow.session import cut_lineage, release
+
 E = lambda: F.col("y") - F.col("q50")
 
 
@@ -58,23 +61,27 @@ def lane_errors(rows: DataFrame, bias: float = 15.0) -> DataFrame:
 
 def binned(rows: DataFrame, value: str, bins: int) -> DataFrame:
     """bin of each row by quantiles of value: right-closed, the lowest edge in the first bin, equal edges as one."""
-    edges = F.array_distinct(F.percentile(value, F.array(*(F.lit(i / bins) for i in range(1, bins)))))
-    one = F.broadcast(rows.agg(edges.alias("_edges")))
+    values = cut_lineage(rows.select(F.col(value)), "binned-values")
+    found = percentiles(values, [], value, [i / bins for i in range(1, bins)])
+    release(values)
+    one = F.broadcast(found.select(F.array_distinct("p").alias("_edges")))
     return rows.crossJoin(one).withColumn("bin", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
 
 
+def _percent_errors(rows: DataFrame, key: str, aggregates: list) -> DataFrame:
+    """aggregates over y, q50 and pct, the error in percent where y > 0, by key, with pct's median."""
+    d = rows.withColumn("pct", F.when(F.col("y") > 0, (F.col("q50") - F.col("y")) / F.col("y") * 100)).select(key, "y", "q50", "pct")
+    return summarised(d, [key], aggregates, "pct", [0.5], f"errors-by-{key}").withColumn("median_pct", F.col("p")[0]).drop("p")
+
+
 def bin_errors(rows: DataFrame) -> DataFrame:
-    over = F.col("q50") - F.col("y")
-    pct = over / F.col("y") * 100
-    return rows.groupBy("bin").agg(F.count("*").alias("n"), F.avg(F.when(F.col("y") > 0, pct)).alias("mean_pct"), F.percentile(F.when(F.col("y") > 0, pct), 0.5).alias("median_pct"), F.sum(F.greatest(over, F.lit(0.0))).alias("over"))
+    return _percent_errors(rows, "bin", [F.count("*").alias("n"), F.avg("pct").alias("mean_pct"), F.sum(F.greatest(-E(), F.lit(0.0))).alias("over")])
 
 
 def weekday_errors(rows: DataFrame, low: float = 60.0, high: float = 1200.0) -> DataFrame:
-    d = rows.where((F.col("q50") >= low) & (F.col("q50") < high))
-    return d.groupBy(F.weekday("date").alias("weekday")).agg(
-        F.count("*").alias("n"), F.percentile(F.when(F.col("y") > 0, (F.col("q50") - F.col("y")) / F.col("y") * 100), 0.5).alias("median_pct"), F.count_if(E() > 0).alias("n_under"), F.count_if(E() < 0).alias("n_over"),
-        F.sum(F.greatest(E(), F.lit(0.0))).alias("under"), F.sum(F.greatest(-E(), F.lit(0.0))).alias("over"), decision_regret().alias("regret"),
-    )
+    d = rows.where((F.col("q50") >= low) & (F.col("q50") < high)).withColumn("weekday", F.weekday("date"))
+    sums = [F.sum(F.greatest(E(), F.lit(0.0))).alias("under"), F.sum(F.greatest(-E(), F.lit(0.0))).alias("over"), decision_regret().alias("regret")]
+    return _percent_errors(d, "weekday", [F.count("*").alias("n"), F.count_if(E() > 0).alias("n_under"), F.count_if(E() < 0).alias("n_over"), *sums])
 
 
 def ids_in_order(bands: DataFrame) -> DataFrame:
