@@ -10,6 +10,7 @@ from hubflow.session import cut_lineage, release
 
 #: Groups that may be asked for; what is said about them passes the driver. Many small groups are for F.percentile.
 MOST_GROUPS = 10_000
+_CHANGED = "values changed between passes: write rows as a table first"
 _TARGET = "group int, rank long, low double, high double, new_low double, new_high double"
 
 
@@ -99,20 +100,27 @@ def percentiles(rows: DataFrame, keys: list[str], value: str | Column, points: l
         )
         seen = {(c.group, c["rank"]): c for c in counts.collect()}
         for t in large:
-            c = seen.get((t.group, t.rank))
+            c, cut = seen.get((t.group, t.rank)), bool(t.grid)
             if c is None or c.n != t.n:
-                raise RuntimeError("values changed between passes: write rows as a table first")
+                raise RuntimeError(_CHANGED)
             t.enter(*cuts[t.group, t.rank], c.less, c.at_low, c.between, c.at_high, c.grid or [])
+            if cut and t.value is None and t.n == c.n:  # cuts are values of the bracket: at least one has to go
+                raise RuntimeError(_CHANGED)
         if any(t.value is None and t.n > c.n / 2 for t in large for c in [seen[t.group, t.rank]]):
             finer = min(finer * 10, 1000)
 
     small = [t for t in targets.values() if t.value is None]
     if small:
         found = inside([(t.group, t.rank, t.low, t.high, float(t.rank - t.before), None) for t in small])
-        picked = found.groupBy("group", "rank").agg(F.get(F.sort_array(F.collect_list("v")), F.first("new_low").cast("int")).alias("value"))
+        picked = found.groupBy("group", "rank").agg(F.get(F.sort_array(F.collect_list("v")), F.first("new_low").cast("int")).alias("value"), F.count("*").alias("n"))
         for r in picked.collect():
+            if r.n != targets[r.group, r["rank"]].n:
+                raise RuntimeError(_CHANGED)
             targets[r.group, r["rank"]].value = r["value"]
 
+    if any(t.value is None for t in targets.values()):
+        raise RuntimeError(_CHANGED)
+
     def at(i: int, x: float) -> float:
         low, high = targets[i, int(x)].value, targets[i, min(int(x) + 1, groups[i].n - 1)].value
         return low if low == high or x == int(x) else (int(x) + 1 - x) * low + (x - int(x)) * high
