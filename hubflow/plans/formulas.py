@@ -106,7 +106,11 @@ def fixed_rental_cost(spark, sf):
     SELECT hub, day, CAST(least(sum(n), any_value(trucks)) AS BIGINT) AS trucks FROM e JOIN hub_capacity USING (hub) WHERE day IN (SELECT day FROM days) GROUP BY hub, day""")
 def fixed_truck_usage(spark, sf):
     """Rental trucks at each hub and day, going at 09:00 and coming, at most what the hub takes."""
-    days = V.demands(spark, sf).select("day").distinct()
+    return fixed_trucks(spark, sf, V.demands(spark, sf).select("day").distinct())
+
+
+def fixed_trucks(spark, sf, days):
+    """fixed_truck_usage on the given days (distinct)."""
     r = V.rentals(spark, sf).join(V.lane_vehicle(spark, sf).select("source", "destination", "vehicle_type", "hours"), ["source", "destination", "vehicle_type"])
     every = F.broadcast(r).crossJoin(days)
     out = every.select(F.col("source").alias("hub"), "day", F.col("vehicle_count").alias("n"))
