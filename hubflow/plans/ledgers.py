@@ -87,8 +87,12 @@ SPLIT = f"""
 DAY_LEG = ["source", "destination", "day", "vehicle_type", "is_rental"]
 
 
+def vehicle_stretches(spark, sf):
+    return N.stretches_of_vehicles(assignments(spark, sf), DAY_LEG, ["slot", "demand_id"])
+
+
 def vehicle_shares(spark, sf):
-    return N.split_over_vehicles(assignments(spark, sf), DAY_LEG, ["slot", "demand_id"])
+    return N.each_vehicle(vehicle_stretches(spark, sf))
 
 
 @query("vehicle_split", f"WITH {SPLIT} SELECT demand_id, is_rental, CAST(vehicle AS INTEGER) AS vehicle, round(share, 6) AS share FROM sh WHERE share > 0.001")
@@ -98,9 +102,11 @@ def vehicle_split(spark, sf):
 
 @query("piece_ids", f"WITH {SPLIT} SELECT demand_id, CAST(vehicle AS INTEGER) AS vehicle, is_rental, CASE WHEN count(*) OVER (PARTITION BY demand_id) > 1 THEN demand_id || '-' || row_number() OVER (PARTITION BY demand_id ORDER BY is_rental DESC, vehicle) ELSE demand_id END AS piece_id FROM sh WHERE share > 0.001")
 def piece_ids(spark, sf):
+    """Numbers go by stretches of vehicles; a row for each vehicle comes last, behind all shuffles."""
     w = Window.partitionBy("demand_id")
-    d = vehicle_shares(spark, sf).withColumn("n", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy(F.desc("is_rental"), "vehicle")))
-    return d.select("demand_id", "vehicle", "is_rental", F.when(F.col("n") > 1, F.concat_ws("-", "demand_id", F.col("k").cast("string"))).otherwise(F.col("demand_id")).alias("piece_id"))
+    before = F.sum("vehicles").over(w.orderBy(F.desc("is_rental"), "vehicle").rowsBetween(Window.unboundedPreceding, -1))
+    d = vehicle_stretches(spark, sf).select("demand_id", "vehicle", "vehicles", "is_rental", F.sum("vehicles").over(w).alias("n"), (F.coalesce(before, F.lit(0)) + 1).alias("k"))
+    return N.each_vehicle(d, "k").select("demand_id", "vehicle", "is_rental", F.when(F.col("n") > 1, F.concat_ws("-", "demand_id", F.col("k").cast("string"))).otherwise(F.col("demand_id")).alias("piece_id"))
 
 
 COSTED = f"""
@@ -116,14 +122,15 @@ def cost_of_load(load):
 
 
 def vehicle_costs(spark, sf):
-    firsts = [F.first(c).alias(c) for c in ("spot_hourly", "spot_km", "hours", "distance_km")]
-    v = vehicle_shares(spark, sf).groupBy(*DAY_LEG, "vehicle").agg(F.sum("share").alias("load"), *firsts)
+    """A row for each stretch of vehicles: load and cost of one of them."""
+    firsts = [F.first(c).alias(c) for c in ("vehicles", "spot_hourly", "spot_km", "hours", "distance_km")]
+    v = vehicle_stretches(spark, sf).groupBy(*DAY_LEG, "vehicle").agg(F.sum("share").alias("load"), *firsts)
     return v.withColumn("cost", cost_of_load(F.col("load")))
 
 
 @query("vehicle_cost", f"WITH {COSTED} SELECT source, destination, day, vehicle_type, is_rental, CAST(vehicle AS INTEGER) AS vehicle, cost FROM vk")
 def vehicle_cost(spark, sf):
-    return vehicle_costs(spark, sf).select(*DAY_LEG, "vehicle", "cost")
+    return N.each_vehicle(vehicle_costs(spark, sf)).select(*DAY_LEG, "vehicle", "cost")
 
 
 HANDLED = f"""
