@@ -18,6 +18,7 @@ def impute(df: DataFrame, column: str, how: str, group: str | None = None) -> Da
 
 
 def fill_along(df: DataFrame, column: str, group: str, order: list[str], forward: bool = True) -> DataFrame:
-    w = Window.partitionBy(group).orderBy(*order)
-    filled = F.last(column, True).over(w) if forward else F.first(column, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    """Nulls of column as the last value before, or the next one after: the last one before in reverse order, as Spark computes a frame to the end of its group anew for each row."""
+    w = Window.partitionBy(group)
+    filled = F.last(column, True).over(w.orderBy(*order) if forward else w.orderBy(*map(F.desc, order)).rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn(column, filled)

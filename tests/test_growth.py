@@ -1,10 +1,12 @@
 """Steps whose work follows the rows, not the volume that the rows carry nor the square of a group."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from test_runs import lane_vehicle, planned  # noqa: F401, a fixture
 
-from hubflow.operators import network, runs
+from hubflow.operators import impute, network, runs
 from hubflow.plans import routes
 
 PIECES = "g int, i int, volume double, capacity double"
@@ -39,3 +41,12 @@ def test_plans_of_stretches_equal_plans_of_vehicles(spark, lane_vehicle, seed):
     numbers = network.each_vehicle(routes.numbered(short), "number").withColumn("code", runs.code())
     keep = [*runs.VEHICLE, "code"]
     assert sorted(map(tuple, codes.select(keep).collect())) == sorted(map(tuple, numbers.select(keep).collect()))
+
+
+def test_filling_backwards_is_no_frame_to_the_end_of_the_group(spark):
+    rng = random.Random(2)
+    rows = [(rng.randint(0, 2), i, rng.choice((None, float(i)))) for i in range(300)]
+    out = impute.fill_along(spark.createDataFrame(rows, "g int, i int, x double"), "x", "g", ["i"], forward=False)
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+    for r in out.collect():
+        assert r.x == next((x for g, i, x in rows if g == r.g and i >= r.i and x is not None), None)
