@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 from test_runs import lane_vehicle, planned  # noqa: F401, a fixture
 
+from hubflow import adapters
 from hubflow.operators import impute, network, runs
-from hubflow.plans import routes
+from hubflow.plans import models, routes
 
 PIECES = "g int, i int, volume double, capacity double"
 
@@ -50,3 +51,16 @@ def test_filling_backwards_is_no_frame_to_the_end_of_the_group(spark):
     assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
     for r in out.collect():
         assert r.x == next((x for g, i, x in rows if g == r.g and i >= r.i and x is not None), None)
+
+
+@pytest.mark.parametrize("slot", models.SLOTS)
+def test_a_fit_reads_days_that_are_written_once_and_not_the_log(spark, monkeypatch, slot):
+    sf, seen = "/root/testdata/sf0.001", []
+    monkeypatch.setattr(models, "_fitted", {})
+    monkeypatch.setattr(models.forecaster, "fit", lambda days, *_, **__: seen.append((days.inputFiles(), days.columns)))
+    models.fitted(spark, sf, slot)
+    (files, columns), = seen
+    assert files and not any("lineitem" in f for f in files) and models.SLOTS[slot][0] in columns
+    days = models.lane_days(spark, sf)
+    assert not any("lineitem" in f for f in days.inputFiles())
+    assert sorted(map(tuple, days.collect())) == sorted(map(tuple, adapters.lane_day(spark, sf).select(days.columns).collect()))
