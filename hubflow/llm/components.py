@@ -1,6 +1,6 @@
 """Connected components of a table of links."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hubflow.llm.scratch import release, written
@@ -24,6 +24,17 @@ def joined(left: DataFrame, key: str, spread: str, right: DataFrame, on: str, ma
     return a.join(b, (F.col(key) == F.col(on)) & (F.col("salt") == F.col("its_salt"))).drop("salt", "its_salt")
 
 
+def narrowed(links: DataFrame) -> DataFrame:
+    """Links a, b (a < b) that connect what links (a, b) connect, mostly fewer: each node keeps its smallest neighbour below, and that one takes over its other ones.
+
+    Two nodes below the same one are connected through it before and through the smaller of them after, so no connection is
+    lost and none is new. Forests of many buckets that hold the same copies fall together into one star.
+    """
+    d = links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    d = d.withColumn("m", F.min("a").over(Window.partitionBy("b")))
+    return d.select("m", F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("x")).distinct().select(F.col("m").alias("a"), F.col("x").alias("b"))
+
+
 def components(links: DataFrame, hub: int = HUB) -> DataFrame:
     """node, component (its smallest node), for every node in links (a, b).
 
@@ -32,7 +43,9 @@ def components(links: DataFrame, hub: int = HUB) -> DataFrame:
     third of all links, and a label that a third of all nodes have, are dealt over several tasks in the joins; minima are
     aggregated before they are shuffled. Only the number of changed labels comes to the driver.
     """
-    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "links")
+    once = written(narrowed(links), "links-once")
+    both = written(once.unionByName(once.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    release(once)
     centres = written(hubs(both, "b", hub), "hubs")
     labels = written(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
     while True:
