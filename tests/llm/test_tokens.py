@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -77,6 +78,48 @@ def test_odd_rows(frame, request, tokenizer):
     assert all(a + n == b for (a, n), (b, _) in zip(places, places[1:]))
 
 
+#: What splitting and normalizing treat apart: marks, contractions, digits, white space, combining marks, capitals without a lower case of one character, special tokens.
+ODDITIES = [*"abzAZK019.,!?-_=@'\u2019|<>`^ \n", " ", " ", "\n", "\t", "\r\n", "\x00", "\x1c", "\x85", "\xa0", "\u2003", "\u0301", "\u0338", "\u0331", "H\u0331", "=\u0338", "\u212a", "\u0130", "\u03a3", "\u00c9", "\u00e9", "\u00df", "\u017f", "\u0149", "\u00aa", "\u00b2", "\u0661", "\u2014", "\u6f22", "\U0001f600", "'s", "'LL", "'re", "<|endoftext|>", "<|ENDOFTEXT|>", "the", "Hand", "word"]
+
+
+def test_ids_are_the_tokenizers(tokenizer, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(ODDITIES, rng.integers(0, 30))) for _ in range(4000)] + ["", " ", "\n", "", "a", ".", "a."]
+    t = Tokenizer.from_file(PATH)
+    expected = [np.array(t.encode(x, add_special_tokens=False).ids + [7], "<u2").tobytes() for x in texts]
+    rows = pa.array(["before", *texts]).slice(1)
+    # all at once, in many parts, and while nearly all is forgotten
+    for most, remembered in ((1 << 30, 10_000_000), (500, 10_000_000), (500, 500), (1, 500)):
+        monkeypatch.setattr(tokens, "REMEMBERED", remembered)
+        ids = tokens.Ids(tokenizer)
+        for some in (rows, rows.cast(pa.large_string())):
+            assert ids.encode(some, np.array([7], "<u2").tobytes(), most).to_pylist() == expected
+        assert ids.encode(rows.slice(0, 0)).to_pylist() == []
+        if remembered == 500:
+            # what was asked for before, since then, and by one part
+            assert len(ids.memory.words) < 300
+
+
+def test_what_is_learned_grows_with_the_pieces_of_words(tokenizer):
+    """Words joined by a mark are no words of their own, and what is known isn't learned again."""
+    left, right = ([f"{x}{chr(97 + i // 20)}{chr(97 + i % 20)}" for i in range(200)] for x in ("le", "ri"))
+    texts = pa.array([" ".join(f"{a}.{b}" for a in left) for b in right])
+    ids, learned = tokens.Ids(tokenizer), []
+    learn = ids._learn
+    ids._learn = lambda words: learned.extend(words.to_pylist()) or learn(words)
+    assert ids.encode(texts).to_pylist() == ids.encode(texts).to_pylist()
+    # a word at the start of a text has no space before it, and an empty one ends each text
+    assert len(learned) == len(set(learned)) <= len(left) + len(right) + 2
+
+
+def test_long_words_do_not_fill_the_memory(tokenizer, monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 10_000)
+    texts = [f"{chr(97 + i // 8)}{chr(97 + i % 8)}" * 2500 for i in range(64)]
+    ids, t = tokens.Ids(tokenizer), Tokenizer.from_file(PATH)
+    assert ids.encode(pa.array(texts), b"", 5_000).to_pylist() == [np.array(t.encode(x, add_special_tokens=False).ids, "<u2").tobytes() for x in texts]
+    assert ids.memory.words.nbytes + ids.memory.ids.nbytes < 5 * 10_000
+
+
 def test_code_lengths_are_the_shortest():
     rng = np.random.default_rng(1)
     for n in (1, 2, 3, 10, 300):
