@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from hubflow.adapters import VEHICLES
-from hubflow.operators import forecast
-from hubflow.plans import ingest
+from hubflow.operators import forecast, quantiles
+from hubflow.plans import ingest, models
 from hubflow.plans import network as network_plans
 
 LANES = [("A", "B", 500.0, 1.0), ("A", "C", 212.0, 1.0), ("C", "B", 331.0, 1.0), ("C", "D", 120.0, 1.0), ("D", "B", 192.0, 1.0), ("A", "D", 340.0, 1.0)]
@@ -106,3 +106,50 @@ def test_backtests_that_leak_are_rejected(spark):
             forecast.leakage_guard(days, start, end)
     with pytest.raises(ValueError):
         forecast.leakage_guard(days.limit(0), first, last)
+
+
+class Flat:
+    """In a model's place: it predicts the scale."""
+
+    def transform(self, rows):
+        return rows.withColumn("_q", F.lit(1.0))
+
+
+@pytest.fixture
+def flat_fits(monkeypatch):
+    """Last days that fits have seen."""
+    seen = []
+
+    def fit(train, inputs, label, alphas, **how):
+        seen.append(train.agg(F.max("date")).first()[0])
+        return {a: (Flat(), 0.0) for a in alphas}
+
+    monkeypatch.setattr(quantiles, "fit_quantiles", fit)
+    return seen
+
+
+def test_the_sweep_pools_the_windows_of_all_folds(spark, monkeypatch, flat_fits):
+    start, days = dt.date(1996, 1, 1), 70
+    volumes = [[(10.0 + lane) * (1 + (day - 42) // 7 if day >= 42 else 1) for day in range(days)] for lane in range(3)]
+    rows = [(f"L{n}", f"S{n}", f"D{n}", start + dt.timedelta(i), v) for n, lane in enumerate(volumes) for i, v in enumerate(lane)]
+    table = spark.createDataFrame(rows, "lane string, source string, dest string, date date, volume_0900 double")
+    monkeypatch.setattr(models, "lane_days", lambda spark, sf: table)
+    got = models.alpha_sweep_fits(spark, None).collect()
+    unseen = [(lane[i], sum(lane[i - 14 : i]) / 14) for lane in volumes for i in range(days - 28, days)]
+    wape = sum(abs(y - q) for y, q in unseen) / sum(y for y, _ in unseen)
+    below = sum(y <= q + 1e-9 for y, q in unseen) / len(unseen)
+    assert sorted(r.alpha for r in got) == models.ALPHAS
+    assert all((r.n, r.wape, r.below) == (3 * 28, pytest.approx(wape, abs=1e-6), pytest.approx(below)) for r in got)
+    assert sorted(flat_fits) == [start + dt.timedelta(days - 7 * k - 1) for k in (4, 3, 2, 1)]
+
+
+def test_a_sweep_of_a_short_history_has_the_windows_with_days_before_them(spark, flat_fits):
+    start = dt.date(1996, 1, 1)
+    rows = [("a", start + dt.timedelta(i), 5.0, 1.0, 5.0, 0) for i in range(20)]
+    matrix = spark.createDataFrame(rows, "lane string, date date, y double, scaled double, scale_factor double, is_weekend int")
+    folds = [tuple(r) for r in forecast.walk_forward_folds(matrix).orderBy("fold").collect()]
+    got = quantiles.sweep(matrix, (), folds, [0.5])
+    assert sorted((r.fold, r["count"]) for r in got.groupBy("fold").count().collect()) == [(3, 7), (4, 7)]
+    for few in (matrix.where(F.col("date") > F.lit(start + dt.timedelta(12))), matrix.limit(0)):
+        with pytest.raises(ValueError):
+            quantiles.sweep(few, (), [tuple(r) for r in forecast.walk_forward_folds(few).orderBy("fold").collect()], [0.5])
